@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import minhash_dedup
+from . import embed_dedup, minhash_dedup
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -28,6 +32,7 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _shipped(query)
     for name, query in {
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
     }.items()
 }
