@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
-from . import embed_dedup, minhash_dedup
+from . import embed_dedup, minhash_dedup, mixing, pst, url_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.CONTRACT + url_rules.PATTERNS)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -34,6 +46,9 @@ QUERIES: dict[str, Query] = {
     for name, query in {
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
+        "op7_url_filters": op7_url_filters,
+        "op9_source_mixing": op9_source_mixing,
+        "op10_suffix_tree_scores": op10_suffix_tree_scores,
     }.items()
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_url_filters": url_rules.oracle(url_rules.CONTRACT + url_rules.PATTERNS)}
