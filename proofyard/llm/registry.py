@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import embed_dedup, minhash_dedup, mixing, pst, url_rules
+from . import embed_dedup, licenses, minhash_dedup, mixing, pst, url_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document lies in the directory of its language within that of its source."""
+    path = F.concat_ws("/", "source", "lang", "doc_id")
+    return licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +51,7 @@ def _shipped(query: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _shipped(query)
     for name, query in {
+        "op3_license_scan": op3_license_scan,
         "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_minhash_near_dedup": op5_minhash_near_dedup,
         "op7_url_filters": op7_url_filters,
