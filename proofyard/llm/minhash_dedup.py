@@ -15,7 +15,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .blocks import blocked, runs
 from .graph import components
@@ -24,8 +23,9 @@ from .tokens import mix, shingles, words
 
 BANDS, ROWS = 24, 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6
 BITS = 512  # of an odd sketch
-SLACK = 0.25  # below the threshold, where an estimate from 96 samples (deviation 0.04) still counts as a candidate
+SLACK = 0.18  # below the threshold, where an estimate from 96 samples (deviation 0.041 there) still counts as a candidate
 BLOCK = 512
+BROADCAST_ROWS = 1_000_000  # of ids or pairs up to which they go to the sets, not the sets to them
 _LANES = BITS // 64
 
 
@@ -48,10 +48,19 @@ def _sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _marks(s: np.ndarray, seeds, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's bands and odd sketch."""
+    samples = _samples(s, *seeds)
+    return mix((mix(samples) * spread).reshape(BANDS, ROWS).sum(axis=1)).view(np.int64), _sketch(samples)
+
+
+_SPREAD = mix(np.arange(7, 7 + BANDS * ROWS, dtype=np.uint64))
+_LANE_NAMES = [f"s{j}" for j in range(_LANES)]
+
+
 def _signatures(k: int):
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd, add = _seeds()
-        spread = mix(np.arange(7, 7 + BANDS * ROWS, dtype=np.uint64))
+        seeds = _seeds()
         for batch in batches:
             n = batch.num_rows
             size = np.zeros(n, np.int64)
@@ -64,24 +73,30 @@ def _signatures(k: int):
                     if len(s):
                         key[0, i] = mix(s).sum().astype(np.int64)
                         key[1, i] = np.bitwise_xor.reduce(mix(s + np.uint64(77))).astype(np.int64)
-                        samples = _samples(s, odd, add)
-                        bands[i] = mix((mix(samples) * spread).reshape(BANDS, ROWS).sum(axis=1)).view(np.int64)
-                        lanes[i] = _sketch(samples)
+                        bands[i], lanes[i] = _marks(s, seeds, _SPREAD)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size), pa.array(key[0]), pa.array(key[1]), lists, *(pa.array(lanes[:, j].copy()) for j in range(_LANES))],
-                ["id", "n_shingles", "ka", "kb", "bands", *(f"s{j}" for j in range(_LANES))],
+                ["id", "n_shingles", "ka", "kb", "bands", *_LANE_NAMES],
             )
 
     return signatures
 
 
 def _sets(k: int):
+    """Whole sets, with their bands and sketches, of those documents that candidates are found among."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _seeds()
         for batch in batches:
             for chunk in words(batch.column(1)):
-                got = [s.tobytes() for _, s in shingles(chunk, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.lo, len(got)), pa.array(got, pa.binary())], ["id", "members"])
+                got = [(s.tobytes(), *_marks(s, seeds, _SPREAD)) for _, s in shingles(chunk, k)]
+                lanes = np.array([x[2] for x in got], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(chunk.lo, len(got)), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary()),
+                     *(pa.array(lanes[:, j].copy()) for j in range(_LANES))],
+                    ["rep", "members", "codes", *_LANE_NAMES],
+                )
 
     return sets
 
@@ -97,48 +112,74 @@ def _most_bits(similarity: float) -> int:
     return int(np.flatnonzero(estimate(np.arange(BITS // 2)) >= similarity).max())
 
 
-def _confirm(percent: int):
-    def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = []
-            for x, y in zip(f["ma"], f["mb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                inter = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
-                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield f.loc[keep, ["a", "b"]]
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
 
-    return confirm
 
+def _with_pivot(percent: int):
+    """Links of a block's documents with its first one, the pivot."""
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of (a, b) pairs those whose whole sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "id long, members binary").dropDuplicates(["id"])
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
-    both = both.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
-    return both.select("a", "b", "ma", "mb").mapInPandas(_confirm(percent), "a long, b long")
+    def with_pivot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in runs(frames):
+            sets = [np.frombuffer(x, np.uint64) for x in f["members"]]
+            ids = f["rep"].to_numpy()
+            keep = [i for i in range(1, len(f)) if _similar(sets[0], sets[i], percent)]
+            yield pd.DataFrame({"a": ids[keep], "b": np.full(len(keep), ids[0])})
+
+    return with_pivot
 
 
-def _across(most: int):
-    """Pairs of one block that lie in different components so far and whose sketches are close."""
+def _across(most: int, percent: int):
+    """Links that join different components inside a block: of the pairs with close sketches the closest first, each on
+    its whole sets, until all are joined or compared. A pair is left to the first band that it shares."""
 
     def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in runs(frames):
-            ids, comp, side = f["rep"].to_numpy(), f["comp"].to_numpy(), f["side"].to_numpy()
-            lanes = f[[f"s{j}" for j in range(_LANES)]].to_numpy().view(np.uint64)
+            ids, comp, side, t = f["rep"].to_numpy(), f["comp"].to_numpy(), f["side"].to_numpy(), int(f["t"].iloc[0])
+            lanes = f[_LANE_NAMES].to_numpy().view(np.uint64)
+            bands = np.frombuffer(b"".join(f["codes"]), np.int64).reshape(len(f), -1)[:, :t]
             one_block = f["i"].iloc[0] == f["j"].iloc[0]
             left = np.arange(len(f)) if one_block else np.flatnonzero(side == 0)
             right = left if one_block else np.flatnonzero(side == 1)
+            found = []
             for at in range(0, len(left), 64):
                 part = left[at : at + 64]
                 far = np.bitwise_count(lanes[part][:, None, :] ^ lanes[right][None, :, :]).sum(axis=2, dtype=np.int64)
                 x, y = np.nonzero((far <= most) & (comp[part][:, None] != comp[right][None, :]))
-                a, b = ids[part[x]], ids[right[y]]
-                yield pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
+                far, x, y = far[x, y], part[x], right[y]
+                new = (~one_block | (x < y)) & ~(bands[x] == bands[y]).any(axis=1)
+                found.append(np.stack([far[new], x[new], y[new]]))
+            pairs = np.concatenate(found, axis=1)
+            if not pairs.shape[1]:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in f["members"]]
+            above = {c: c for c in comp.tolist()}
+
+            def root(c: int) -> int:
+                while above[c] != c:
+                    above[c] = c = above[above[c]]
+                return c
+
+            links = []
+            for _, x, y in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q and _similar(sets[x], sets[y], percent):
+                    above[max(p, q)] = min(p, q)
+                    links.append((ids[x], ids[y]))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
 
     return across
 
 
+def _near(df: DataFrame) -> DataFrame:
+    """A saved table to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links, itself included) and
     kept (id = component_id). Linked are documents whose sets of distinct k-word shingles have 100 * intersection >=
@@ -149,42 +190,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat an id are one document, each row reported. Other columns of `docs` are ignored; an empty table gives none.
 
     Equal sets are folded into the smallest id by a grouped minimum first. Of the rest, every member of a band's bucket
-    meets the smallest member; then only members of buckets that still hold different components meet in blocks of
-    bounded size, so a group of many copies costs rows in proportion to its size. No document is left out.
+    meets the smallest member; then only members of buckets that still hold different components meet, in blocks of
+    bounded size that carry the whole sets and give back links, not pairs. No document is left out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("n_shingles", "ka", "kb")]
-                          + [T.StructField("bands", T.ArrayType(T.LongType()))] + [T.StructField(f"s{j}", T.LongType()) for j in range(_LANES)])
-    marks = saved(docs.mapInArrow(_signatures(k), schema))
+    longs = "".join(f", {c} long" for c in _LANE_NAMES)
+    marks = saved(docs.mapInArrow(_signatures(k), "id long, n_shingles long, ka long, kb long, bands array<long>" + longs))
     full = marks.where("n_shingles > 0 and id is not null")
     classes = saved(full.groupBy("ka", "kb").agg(F.min("id").alias("rep")))
-    lanes = [f"s{j}" for j in range(_LANES)]
+    lanes = _LANE_NAMES
     reps = full.join(classes, (full.ka == classes.ka) & (full.kb == classes.kb) & (full.id == classes.rep)).select("rep", "bands", *lanes).dropDuplicates(["rep"])
     reps = saved(reps)
-    banded = reps.select("rep", F.explode("bands").alias("band"))
+    banded = reps.select("rep", F.posexplode("bands").alias("t", "band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = saved(banded.join(buckets, "band"))
     most = _most_bits(percent / 100 - SLACK)
     far = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in lanes), F.lit(0))
-    stars = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(reps.alias("x"), F.col("a") == F.col("x.rep")).join(reps.alias("y"), F.col("b") == F.col("y.rep")).where(far <= most).select("a", "b")
+    stars = members.where("rep <> pivot").select("rep", "pivot").distinct()
+    stars = stars.join(reps.alias("x").select(F.col("rep").alias("xr"), *lanes).alias("x"), F.col("rep") == F.col("xr"))
+    stars = stars.join(reps.select(F.col("rep").alias("yr"), *lanes).alias("y"), F.col("pivot") == F.col("yr")).where(far <= most).select("rep", "pivot")
     stars = saved(stars)
-    links = saved(_confirmed(stars, docs, k, percent))
+    asked = saved(members.select(F.col("rep").alias("id")).distinct())
+    sets = docs.join(_near(asked), "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "rep long, members binary, codes binary" + longs)
+    sets = saved(sets)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    salts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    rays = stars.join(salts, "pivot").select("rep", F.col("pivot").alias("bucket"), F.pmod(F.xxhash64("rep"), "m").cast("int").alias("i"), F.lit(1).alias("side"))
+    hubs = salts.select(F.col("pivot").alias("rep"), F.col("pivot").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.lit(0).alias("side"))
+    rays = saved(rays.unionByName(hubs).withColumn("j", F.col("i")))
+    rays = sets.select("rep", "members").join(_near(rays), "rep")
+    rays = rays.repartition(parts, "bucket", "i").sortWithinPartitions("bucket", "i", "side", "rep")
+    links = saved(rays.select("bucket", "i", "j", "rep", "members").mapInPandas(_with_pivot(percent), "a long, b long"))
     comp = saved(components(links))
-    labelled = members.join(comp, members.rep == comp.id, "left").select("rep", "band", "n", F.coalesce("component_id", "rep").alias("comp"))
+
+    labelled = members.join(comp, members.rep == comp.id, "left").select("rep", "t", "band", F.coalesce("component_id", "rep").alias("comp"))
     open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-    rows = labelled.drop("n").join(open_, "band").join(reps.select("rep", *lanes), "rep")
-    rows = blocked(rows, ["band"], "rep", "n", BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    more = rows.select("bucket", "i", "j", "side", "rep", "comp", *lanes).mapInPandas(_across(most), "a long, b long").distinct()
-    more = saved(more.join(stars, ["a", "b"], "left_anti"))
-    found = saved(_confirmed(more, docs, k, percent))
+    rows = saved(labelled.join(open_, "band"))
+    rows = sets.join(_near(rows), "rep")
+    rows = blocked(rows, ["band"], "rep", "n", BLOCK, parts)
+    found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "comp", "codes", "members", *lanes).mapInPandas(_across(most, percent), "a long, b long"))
     if not found.isEmpty():
         comp = saved(components(links.unionByName(found)))
     out = marks.select("id", "n_shingles", "ka", "kb").join(classes, ["ka", "kb"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     group = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep"))
     out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(group, "id")).alias("component_id"))
-    discard(members, more, found, links, reps)
+    discard(members, stars, asked, sets, found, links, reps)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
