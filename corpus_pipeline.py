@@ -4,19 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofyard.llm import minhash_dedup
+from proofyard.llm import decontam, minhash_dedup, mixing, pii, quality
 from proofyard.llm.shared import saved, table
 from proofyard.shipping import ship
 
 
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, gives the top grade."""
+    ship(spark)
+    return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
     ship(spark)
     return minhash_dedup.one_of_each(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
-ORACLE_SQL = None  # the stages are beyond SQL; the tests hold the rows against brute force
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    ship(spark)
+    return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and what gives it away replaced in their texts."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the words (taken) and copies it takes of each."""
+    ship(spark)
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("personal_data", sanitise),
+    ("source_mixing", mix_sources),
+]
+ORACLE_SQL = None  # the stages are beyond SQL; the tests hold their rows against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import embed_dedup, licenses, minhash_dedup, mixing, pst, url_rules
+from . import decontam, embed_dedup, html_text, licenses, minhash_dedup, mixing, pii, pst, quality, url_rules
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document lies in the directory of its language within that of its source."""
     path = F.concat_ws("/", "source", "lang", "doc_id")
@@ -28,10 +36,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.CONTRACT + url_rules.PATTERNS)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,14 +65,10 @@ def _shipped(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {
-    name: _shipped(query)
-    for name, query in {
-        "op3_license_scan": op3_license_scan,
-        "op4_embedding_near_dedup": op4_embedding_near_dedup,
-        "op5_minhash_near_dedup": op5_minhash_near_dedup,
-        "op7_url_filters": op7_url_filters,
-        "op9_source_mixing": op9_source_mixing,
-        "op10_suffix_tree_scores": op10_suffix_tree_scores,
-    }.items()
+    query.__name__: _shipped(query)
+    for query in (
+        op1_personal_data, op2_benchmark_decontamination, op3_license_scan, op4_embedding_near_dedup, op5_minhash_near_dedup,
+        op6_html_extraction, op7_url_filters, op8_quality_classifier, op9_source_mixing, op10_suffix_tree_scores,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op7_url_filters": url_rules.oracle(url_rules.CONTRACT + url_rules.PATTERNS)}

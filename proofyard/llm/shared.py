@@ -54,3 +54,8 @@ def discard(*frames: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """A table that is cheap to count, to be broadcast in a join if it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df

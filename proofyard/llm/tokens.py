@@ -14,6 +14,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_APART = np.ones(256, dtype=bool)  # all but letters, digits and what is beyond ASCII
+_APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _power = np.ones(1, dtype=np.uint64)
 
@@ -24,6 +26,9 @@ class Words(NamedTuple):
     hashes: np.ndarray  # uint64, one a word
     doc: np.ndarray  # document of each word, from lo
     first: np.ndarray  # hi - lo + 1 offsets of documents in hashes
+    low: np.ndarray  # lower-cased bytes of the chunk
+    start: np.ndarray  # of each word in these
+    stop: np.ndarray
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,21 +59,23 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), at
 
 
-def words(column: pa.Array) -> Iterator[Words]:
-    """Hashes of the lower-cased (A-Z) words of each document, chunk by chunk; documents are never split."""
+def words(column: pa.Array, bare: bool = False) -> Iterator[Words]:
+    """Hashes of the lower-cased (A-Z) words of each document, chunk by chunk; documents are never split. Bare words are
+    runs of letters and digits."""
     data, at = text_buffers(column)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CHUNK, side="right")) - 1)
-        yield _words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lo, hi)
+        yield _words(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], lo, hi, _APART if bare else _SPACE)
         lo = hi
 
 
-def _words(data: np.ndarray, at: np.ndarray, lo: int, hi: int) -> Words:
-    if not len(data):
-        return Words(lo, hi, np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(hi - lo + 1, np.int64))
+def _words(data: np.ndarray, at: np.ndarray, lo: int, hi: int, apart: np.ndarray) -> Words:
+    none = np.empty(0, np.int64)
     low = _LOWER[data]
-    space = _SPACE[low]
+    if not len(data):
+        return Words(lo, hi, np.empty(0, np.uint64), none, np.zeros(hi - lo + 1, np.int64), low, none, none)
+    space = apart[low]
     solid = ~space
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= space[:-1]
@@ -79,14 +86,14 @@ def _words(data: np.ndarray, at: np.ndarray, lo: int, hi: int) -> Words:
     end[edge] = solid[edge]
     start, stop = np.flatnonzero(begin), np.flatnonzero(end) + 1
     if not len(start):
-        return Words(lo, hi, np.empty(0, np.uint64), np.empty(0, np.int64), np.zeros(hi - lo + 1, np.int64))
+        return Words(lo, hi, np.empty(0, np.uint64), none, np.zeros(hi - lo + 1, np.int64), low, none, none)
     length = stop - start
     where = np.flatnonzero(solid)
     place = where - np.repeat(start, length)
     value = (low[where].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()) + 1)[place]
     hashes = mix(np.add.reduceat(value, np.concatenate(([0], np.cumsum(length)[:-1]))) + length.astype(np.uint64))
     first = np.searchsorted(start, at)
-    return Words(lo, hi, hashes, np.searchsorted(at, start, side="right") - 1, first)
+    return Words(lo, hi, hashes, np.searchsorted(at, start, side="right") - 1, first, low, start, stop)
 
 
 def shingles(chunk: Words, k: int) -> Iterator[tuple[int, np.ndarray]]:
