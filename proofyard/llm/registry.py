@@ -25,7 +25,9 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document lies in the directory of its language within that of its source."""
     path = F.concat_ws("/", "source", "lang", "doc_id")
-    return licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    found = licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    number = lambda p: F.element_at(F.split(p, "/"), -1).try_cast("long")
+    return found.select(number(F.col("path")).alias("doc_id"), "licence", "score", "origin", number(F.col("inherited_from")).alias("from_doc_id"))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
