@@ -37,7 +37,7 @@ def levels(leaves: DataFrame) -> DataFrame:
         rows = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.array("row"), lambda acc, _: F.concat(acc, F.array(_up(F.element_at(acc, -1)))))
         tiles = tiles.select("tile", F.posexplode(rows).alias("up", "row"))
         nodes = tiles.select((F.lit(level) + F.col("up")).alias("level"), F.posexplode("row").alias("at", "hash"), "tile", "up")
-        nodes = nodes.select("level", (F.col("tile") * F.shiftright(F.lit(TILE), F.col("up")) + F.col("at")).alias("index"), "hash")
+        nodes = nodes.select("level", (F.col("tile") * F.call_function("shiftright", F.lit(TILE).cast("long"), F.col("up")) + F.col("at")).alias("index"), "hash")
         top = nodes.where(F.col("level") == level + 8).select("index", "hash")
         part = nodes.where(F.col("level") < level + 8)
         out = part if out is None else out.unionByName(part)

@@ -1 +1,64 @@
-"""."""
+"""Admission (survey G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import admission as a
+from ..operators import joins
+from . import fixtures as fx
+from .registry import query
+
+
+def submissions(spark, d):
+    """Events as submissions, most of them faulty in one way or another."""
+    i = F.col("sequence_number")
+    e = fx.entries(spark, d)
+    verdicts = joins.cosig_binding(fx.holed(spark, d), fx.LOG).withColumnRenamed("verdict", "cosig_verdict")
+    return e.join(verdicts, "sequence_number", "left").select(
+        i, F.when(i % 31 == 1, 3).otherwise(i * 1000 % 2_000_000 + 100).alias("n_bytes"), F.when(i % 37 == 2, 2).otherwise(1).alias("version"), (i % 41 != 3).alias("decodes"), (i % 43 != 4).alias("normalised"),
+        F.when(i % 47 == 5, "did:log:other").otherwise(fx.LOG).alias("destination"), F.when(i % 53 == 6, 0).otherwise(1000 + i % 200).alias("event_time_s"), (i % 59 != 7).alias("signature_ok"), "cosig_verdict",
+        F.when(i % 61 == 8, "unknown").when(i % 2 == 0, "click").alias("schema_id"), (i % 13).alias("n_pointers"), (i % 3 != 0).alias("session_ok"), F.when(i % 6 == 0, i % 12 == 0).alias("stamp_ok"))
+
+
+_SUBMISSIONS = """SELECT e.sequence_number AS i, CASE WHEN e.sequence_number % 97 <> 13 AND starts_with(e.cosignature_of, 'did:log:main:') AND t.sequence_number % 97 = 13 THEN 'unbound' END AS v FROM f_entries e LEFT JOIN f_entries t ON t.position = e.cosignature_of"""
+_CLASS = """CASE WHEN i % 31 = 1 THEN 'too_short' WHEN i % 37 = 2 THEN 'bad_version' WHEN i % 41 = 3 THEN 'undecodable' WHEN i % 43 = 4 THEN 'not_normalised' WHEN i % 47 = 5 THEN 'wrong_destination'
+WHEN i % 53 = 6 OR abs(1100 - 1000 - i % 200) > 300 THEN 'stale' WHEN i % 59 = 7 THEN 'bad_signature' WHEN v = 'unbound' THEN 'unbound_cosignature' WHEN i % 61 = 8 THEN 'bad_schema'
+WHEN i * 1000 % 2000000 + 100 > 1048576 THEN 'too_large' WHEN i % 13 > 10 THEN 'too_many_pointers' WHEN i % 3 = 0 AND i % 6 <> 0 THEN 'unauthenticated' WHEN i % 3 = 0 AND i % 12 <> 0 THEN 'bad_stamp' END"""
+
+
+@query(f"SELECT i AS sequence_number, {_CLASS} AS reject_class FROM ({_SUBMISSIONS})")
+def admission_gates(spark, d):
+    return a.judge(submissions(spark, d), a.gates(fx.LOG, F.lit(1100), ["click", "view"])).select("sequence_number", "reject_class")
+
+
+@query(f"""SELECT reject_class, CAST(CASE reject_class WHEN 'wrong_destination' THEN 403 WHEN 'bad_signature' THEN 401 WHEN 'too_large' THEN 413 WHEN 'unauthenticated' THEN 401 WHEN 'bad_stamp' THEN 403 ELSE 422 END AS INT) AS status, count(*) AS n
+FROM (SELECT {_CLASS} AS reject_class FROM ({_SUBMISSIONS})) WHERE reject_class IS NOT NULL GROUP BY 1, 2""")
+def reject_counts(spark, d):
+    judged = a.judge(submissions(spark, d), a.gates(fx.LOG, F.lit(1100), ["click", "view"]))
+    return judged.where("reject_class is not null").groupBy("reject_class").agg(F.count("*").alias("n")).join(F.broadcast(a.classes(spark)), "reject_class").select("reject_class", "status", "n")
+
+
+@query(f"SELECT i AS sequence_number, {_CLASS.replace('WHEN i % 53 = 6 OR abs(1100 - 1000 - i % 200) > 300 THEN', 'WHEN false THEN')} AS reject_class FROM ({_SUBMISSIONS})")
+def gates_without_freshness(spark, d):
+    return a.judge(submissions(spark, d), a.gates(fx.LOG, F.lit(1100), ["click", "view"], off=("stale",))).select("sequence_number", "reject_class")
+
+
+@query("SELECT sequence_number AS ord, canonical_hash AS hash, sequence_number > min(sequence_number) OVER w AS replay, first_value(log_time) OVER (PARTITION BY canonical_hash ORDER BY sequence_number) AS log_time FROM f_documents WINDOW w AS (PARTITION BY canonical_hash)")
+def idempotent_replay(spark, d):
+    return a.replays(fx.documents(spark, d).select(F.col("sequence_number").alias("ord"), F.col("canonical_hash").alias("hash"), "log_time"))
+
+
+@query("""SELECT e.sequence_number, count(DISTINCT c.signer_did) >= CASE t.schema_ref WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 0 END AS met
+FROM f_entries e JOIN f_entries t ON t.position = e.target_root LEFT JOIN f_entries c ON c.status = 0 AND c.cosignature_of = e.target_root GROUP BY e.sequence_number, t.schema_ref""")
+def attestation_policy(spark, d):
+    return a.policy_met(joins.policy_candidates(fx.entries(spark, d)), {"click": 1, "purchase": 2}).select("sequence_number", "met")
+
+
+@query("""WITH RECURSIVE p AS (SELECT sequence_number AS spot, CASE WHEN sequence_number % 12 <> 0 THEN sequence_number - 1 END AS next FROM f_holed), w AS (SELECT sequence_number AS start, sequence_number AS spot, 0 AS depth FROM f_holed WHERE sequence_number % 7 = 2
+UNION ALL SELECT start, p.next, depth + 1 FROM w JOIN p USING (spot) WHERE p.next IS NOT NULL AND depth < 9)
+SELECT start, CAST(least(max(depth), 9) AS INT) AS depth, CASE WHEN max(depth) = 9 THEN false ELSE arg_max(p.spot IS NOT NULL, depth) END AS complete FROM w LEFT JOIN p USING (spot) GROUP BY start""")
+def evidence_chain(spark, d):
+    i = F.col("sequence_number")
+    e = fx.holed(spark, d).select(i, F.when(i % 12 != 0, i - 1).alias("evidence_seq"))
+    return a.evidence_chain(e, e.where("sequence_number % 7 = 2"))

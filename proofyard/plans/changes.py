@@ -1 +1,161 @@
-"""."""
+"""Changes to tables and folded state (survey O, R16, M8, X)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import changes as c
+from ..operators import state as s
+from ..schemas import migrations, pending_migrations
+from . import fixtures as fx
+from .registry import query
+
+
+@query("SELECT canonical_hash, sequence_number, 'refused' AS outcome FROM f_documents WHERE status = 0 AND sequence_number % 3 = 0 UNION ALL SELECT canonical_hash, sequence_number, 'appended' FROM f_documents WHERE status = 0 AND sequence_number % 3 = 1")
+def insert_rows(spark, d):
+    docs = fx.documents(spark, d).where("status = 0").select("canonical_hash", "sequence_number")
+    new, refused = c.insert(docs.where("sequence_number % 3 <> 1"), docs.where("sequence_number % 3 <> 2"), ["canonical_hash"])
+    return new.withColumn("outcome", F.lit("appended")).unionByName(refused.withColumn("outcome", F.lit("refused")))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS last_type FROM (SELECT user_id, event_id, event_type FROM events) GROUP BY 1""")
+def upsert_leaves(spark, d):
+    e = fx.table(spark, d, "events").select("user_id", F.col("event_type").alias("last_type"), "event_id")
+    old = c.upsert(e.where("false").select("user_id", "last_type"), e.where("event_id % 2 = 0"), ["user_id"], "event_id")
+    # the second half is written over the first only where it is newer
+    later = e.join(e.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("m")), "user_id", "left").where("event_id % 2 = 1 and (m is null or event_id > m)").drop("m")
+    return c.upsert(old, later, ["user_id"], "event_id")
+
+
+@query("SELECT event_type AS k, min(event_id) AS event_id FROM events WHERE event_type <> 'click' GROUP BY 1")
+def insert_if_absent(spark, d):
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("k"), "event_id")
+    return c.insert_if_absent(e.where("k = 'click'").limit(1), e, ["k"], F.col("event_id"))
+
+
+@query("SELECT leaf_key, origin_tip FROM f_leaves WHERE user_id % 6 <> 0")
+def delete_leaves(spark, d):
+    leaves = fx.leaves(spark, d)
+    return c.delete(leaves.select("leaf_key", "origin_tip"), leaves.where("user_id % 6 = 0"), ["leaf_key"])
+
+
+@query("""SELECT coalesce(k.exchange_did, a.exchange_did) AS exchange_did, coalesce(balance, 0) + coalesce(n, 0) AS balance, coalesce(total_purchased, 0) + coalesce(n, 0) AS total_purchased, coalesce(total_consumed, 0) AS total_consumed
+FROM f_credits k FULL JOIN (SELECT exchange_did, CAST(sum(o_orderkey % 5 - 1) FILTER (o_orderkey % 5 - 1 > 0) AS BIGINT) AS n FROM f_requests GROUP BY 1) a USING (exchange_did)""")
+def credit_purchase(spark, d):
+    return c.purchase(fx.credits(spark, d), fx.requests(spark, d).withColumn("amount", F.col("o_orderkey") % 5 - 1))
+
+
+@query("SELECT exchange_did, o_orderkey, row_number() OVER (PARTITION BY exchange_did ORDER BY o_orderkey) <= coalesce(balance, 0) AS admitted FROM f_requests LEFT JOIN f_credits USING (exchange_did)")
+def credit_admission(spark, d):
+    return c.admit_by_credit(fx.requests(spark, d), fx.credits(spark, d), "o_orderkey")
+
+
+@query("SELECT name, max(value) AS value FROM (SELECT event_type AS name, event_id AS value FROM events WHERE event_id % 10 = 1 UNION ALL SELECT 'builder', CAST(7 AS BIGINT)) GROUP BY 1")
+def monotonic_marks(spark, d):
+    e = fx.table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("value"))
+    marks = spark.range(1).select(F.lit("builder").alias("name"), F.lit(7).cast("long").alias("value"))
+    return c.advance(c.advance(marks, e.where("value % 10 = 1")), e.where("value % 10 = 1 and value < 100"))
+
+
+@query("SELECT CAST(1 AS INT) AS id, max(event_id) AS last FROM events")
+def cursor_set(spark, d):
+    e = fx.table(spark, d, "events")
+    row = lambda x: e.agg(F.lit(1).alias("id"), x.alias("last"))
+    return c.overwrite(row(F.min("event_id")), row(F.max("event_id")))
+
+
+@query("SELECT sequence_number, canonical_hash, sequence_number > min(sequence_number) OVER (PARTITION BY canonical_hash) AS duplicate FROM f_documents")
+def batch_duplicates(spark, d):
+    return c.first_of_batch(fx.documents(spark, d).select("sequence_number", "canonical_hash"), "canonical_hash", "sequence_number")
+
+
+@query("SELECT event_id AS seq, event_type AS kind FROM events WHERE event_id < 200")
+def unnest_batch(spark, d):
+    e = fx.table(spark, d, "events").where("event_id < 200").groupBy(F.expr("event_id div 50").alias("b")).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
+    arrays = e.select(F.transform("x", lambda y: y["event_id"]).alias("seq"), F.transform("x", lambda y: y["event_type"]).alias("kind"))
+    return c.parallel_rows(arrays, "seq", "kind")
+
+
+@query("SELECT CAST(v AS INT) AS version, n AS description FROM (VALUES (5, 'entry status'), (6, 'ghost leaves'), (7, 'root of the state tree in heads'), (8, 'delegate column')) t(v, n)")
+def migrations_pending(spark, d):
+    return pending_migrations(migrations(spark), spark.range(1, 5).select(F.col("id").cast("int").alias("version")))
+
+
+@query("SELECT hash, attempts, CASE WHEN attempts >= 10 THEN 'manual' ELSE 'retry' END AS action FROM f_journal")
+def retry_classes(spark, d):
+    return s.classified_failures(fx.journal(spark, d))
+
+
+@query("SELECT sequence_number, CASE WHEN sequence_number % 41 = 6 THEN 'did:system' ELSE signer_did END AS signer_did, CAST(CASE WHEN sequence_number % 41 = 6 THEN 1 ELSE status END AS INT) AS status FROM f_entries")
+def tombstone_rows(spark, d):
+    e = fx.entries(spark, d).withColumn("dispatch_error", F.when(F.col("sequence_number") % 41 == 6, "cannot decode"))
+    return s.tombstones(e, "did:system").select("sequence_number", "signer_did", "status")
+
+
+@query("SELECT max(event_id) AS cursor FROM events")
+def cursor_commit(spark, d):
+    return s.cursor_commit(fx.entries(spark, d), None)
+
+
+# The journal's state machine, against its rules written out for the operations of each hash: of the last digit of the
+# sequence 0-5 submit, sequence, ship; 6-7 submit, sequence, retry, retry, sequence another (refused); 8 submit, ship
+# (refused); 9 submit, sequence, manual, ship, manual (refused).
+@query("""SELECT hash, CAST(CASE WHEN m < 6 OR m = 9 THEN 3 WHEN m < 8 THEN 2 ELSE 1 END AS INT) AS state, CASE WHEN m <> 8 THEN sequence END AS sequence, CAST(CASE WHEN m IN (6, 7) THEN 2 ELSE 0 END AS INT) AS attempts,
+CAST(CASE WHEN m >= 6 THEN 1 ELSE 0 END AS INT) AS refused FROM (SELECT *, sequence % 10 AS m FROM f_journal)""")
+def journal_states(spark, d):
+    j = fx.journal(spark, d)
+    op = lambda name, seq=None: F.struct(F.lit(name).alias("op"), (F.col("sequence") if seq is None else seq).alias("sequence"))
+    m = F.col("sequence") % 10
+    ops = (
+        F.when(m < 6, F.array(op("submit"), op("sequence"), op("ship"))).when(m < 8, F.array(op("submit"), op("sequence"), op("retry"), op("retry"), op("sequence", F.col("sequence") + 1)))
+        .when(m == 8, F.array(op("submit"), op("ship"))).otherwise(F.array(op("submit"), op("sequence"), op("manual"), op("ship"), op("manual"))))
+    return s.fold_journal(j.select("hash", F.posexplode(ops).alias("ord", "o")).select("hash", "ord", "o.*"))
+
+
+def _authority(spark, d):
+    """Entries with authorities: of ten in a row a new leaf, a delegation target and so on, all within the ten."""
+    e = fx.entries(spark, d)
+    i, m = F.col("sequence_number"), F.col("sequence_number") % 10
+    t = F.when(m == 2, i - 2).when(m.isin(3, 4), i - m).when(m == 6, i - 6).when(m == 7, i - 2).when(m == 8, i - 3).when(m == 9, i - 9)
+    return e.select(
+        i, "signer_did", F.when(m.isin(0, 1, 2, 5, 9), "same_signer").when(m.isin(3, 4), "delegation").when(m.isin(6, 7, 8), "scope").alias("authority"), t.alias("target_seq"),
+        F.lit(None).cast("long").alias("intermediate_seq"), (m == 9).alias("foreign"), F.when(m == 3, i - 2).when(m == 4, i - 4).alias("delegation_seq"), F.when(m.isin(6, 7, 8), i - m + 5).alias("scope_seq"),
+        F.when(m == 5, F.array(F.lit("nobody"), F.col("signer_did"), F.lit("did:user:1"), F.lit("did:user:2"), F.lit("did:user:3"))).when(m == 8, F.array("signer_did")).alias("authority_set"))
+
+
+_PATHS = """SELECT e.sequence_number, CASE WHEN e.m IN (0, 1, 5) THEN 'new_leaf' WHEN e.m = 2 THEN 'path_a' WHEN e.m = 3 THEN 'path_b' WHEN e.m = 9 THEN 'path_d' WHEN e.m = 4 THEN 'path_d'
+WHEN e.signer_did IN ('did:user:1', 'did:user:2', 'did:user:3') OR e.signer_did = s.signer_did THEN 'path_c' ELSE 'path_d' END AS path, e.m
+FROM (SELECT *, sequence_number % 10 AS m FROM f_entries) e LEFT JOIN f_entries s ON s.sequence_number = e.sequence_number - e.m + 5"""
+
+
+@query(f"SELECT sequence_number, path FROM ({_PATHS})")
+def authority_paths(spark, d):
+    return s.paths(_authority(spark, d)).select("sequence_number", "path")
+
+
+@query(f"""WITH p AS ({_PATHS}), w AS (SELECT sequence_number AS leaf_seq, sequence_number AS o, sequence_number AS a FROM p WHERE path = 'new_leaf'
+UNION ALL SELECT sequence_number - m, sequence_number, NULL FROM p WHERE m IN (2, 3) UNION ALL SELECT sequence_number - 6, NULL, sequence_number FROM p WHERE m = 6 AND path = 'path_c'
+UNION ALL SELECT sequence_number - 2, NULL, sequence_number FROM p WHERE m = 7 AND path = 'path_c' UNION ALL SELECT sequence_number - 3, sequence_number, NULL FROM p WHERE m = 8 AND path = 'path_c')
+SELECT leaf_seq, max(o) AS origin_tip, max(a) AS authority_tip FROM w GROUP BY 1""")
+def smt_fold(spark, d):
+    return s.fold_leaves(s.paths(_authority(spark, d)))
+
+
+@query(f"""SELECT sequence_number // 1000 AS batch, count(*) FILTER (path = 'new_leaf') AS new_leaf, CAST(0 AS BIGINT) AS commentary, count(*) FILTER (path = 'path_a') AS path_a, count(*) FILTER (path = 'path_b') AS path_b,
+count(*) FILTER (path = 'path_c') AS path_c, count(*) FILTER (path = 'path_d') AS path_d FROM ({_PATHS}) GROUP BY 1""")
+def path_counts(spark, d):
+    from ..operators.aggregates import path_counts as counted
+
+    return counted(s.paths(_authority(spark, d)), 1000)
+
+
+@query("""WITH m AS (SELECT event_id // 1000 AS id, min(event_id) AS range_start_seq, max(event_id) AS range_end_seq, sha256('[' || string_agg('{"sequence_number":' || event_id || ',"leaf":"' || event_type || '"}', ',' ORDER BY event_id) || ']') AS post_root FROM events GROUP BY 1)
+SELECT id, range_start_seq, range_end_seq, post_root, coalesce(lag(post_root) OVER (ORDER BY id), sha256('')) AS prior_root FROM m""")
+def derivation_commitments(spark, d):
+    m = fx.entries(spark, d).select("sequence_number", F.col("schema_ref").alias("leaf"))
+    return s.commitments(m, 1000).drop("mutations_json")
+
+
+@query("SELECT CAST(epoch(TIMESTAMP '2030-01-01') - epoch(max(created_at)) AS BIGINT) AS seconds FROM f_heads")
+def cosign_age(spark, d):
+    return s.cosign_age(fx.heads(spark, d), "2030-01-01 00:00:00")

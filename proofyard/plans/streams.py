@@ -1 +1,124 @@
-"""."""
+"""The streaming loops run to their end over the supplied tables (survey R, S13-S16): a batch of rows as a stream must give
+what the batch gives."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import state, windows
+from ..streaming import loops
+from . import fixtures as fx
+from .admission import submissions
+from .registry import query
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder where all executors see it: under the warehouse unless a shared one is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/streams/{uuid.uuid4().hex}"
+
+
+def as_stream(df: DataFrame, path: str, order: str, parts: int = 3) -> DataFrame:
+    """Rows written as `parts` files one after the other, by ranges of `order`, and read back as a stream of one file a
+    batch in the order of writing."""
+    spark = df.sparkSession
+    cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if df.schema[order].dataType.simpleString() != "string" else []
+    edges = [float("-inf"), *cuts, float("inf")]
+    for lo, hi in zip(edges, edges[1:]):
+        df.where((F.col(order) > lo) & (F.col(order) <= hi)).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """All rows that an appending stream gives, after it has run out of input."""
+    spark = stream.sparkSession
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("SELECT 'did:log:' || (sequence_number % 3) AS log_did, sequence_number // 3 AS sequence_number, canonical_hash FROM f_entries WHERE sequence_number < 900", python=True)
+def stream_commit_ordered(spark, d):
+    path = folder(spark)
+    i = F.col("sequence_number")
+    staged = fx.entries(spark, d).where("sequence_number < 900").select(F.concat(F.lit("did:log:"), (i % 3).cast("string")).alias("log_did"), F.expr("sequence_number div 3").alias("sequence_number"), "canonical_hash", F.xxhash64(i).alias("o"))
+    return drained(loops.commit_ordered(as_stream(staged, path + "/in", order="o").drop("o")), path)
+
+
+@query("SELECT originator, event_id, lamport, 'appended' AS verdict FROM f_gossip", python=True)
+def stream_gossip_append(spark, d):
+    path = folder(spark)
+    return drained(loops.append_gossip(as_stream(fx.gossip(spark, d), path + "/in", order="lamport")), path)
+
+
+@query("""SELECT schema_id, split_id, a AS seq_a, b AS seq_b FROM (SELECT schema_id, split_id, sequence_number AS a, lead(sequence_number) OVER v AS b, signer_did AS s, lead(signer_did) OVER v AS t, row_number() OVER v AS r
+FROM f_splits WINDOW v AS (PARTITION BY schema_id, split_id ORDER BY sequence_number)) WHERE r = 1 AND s = t""", python=True)
+def stream_equivocation_scan(spark, d):
+    path = folder(spark)
+    return drained(loops.scan_equivocations(as_stream(fx.splits(spark, d), path + "/in", order="sequence_number")), path)
+
+
+@query("SELECT row_number() OVER (ORDER BY o) - 1 AS sequence_number, canonical_hash FROM (SELECT canonical_hash, min(sequence_number) AS o FROM f_documents GROUP BY 1)")
+def stream_sequence(spark, d):
+    path = folder(spark)
+    docs = fx.documents(spark, d).select(F.col("sequence_number").alias("ord"), "canonical_hash")
+    loops.sequence(as_stream(docs, path + "/in", order="ord"), path + "/out", path + "/state").awaitTermination()
+    return spark.read.parquet(path + "/out").select("sequence_number", "canonical_hash")
+
+
+@query("SELECT sequence_number, sequence_number % 5 <> 0 AS accepted FROM f_entries")
+def stream_admit(spark, d):
+    path = folder(spark)
+    judge = lambda b: b.withColumn("reject_class", F.when(F.col("sequence_number") % 5 == 0, "policy"))
+    loops.admit(as_stream(submissions(spark, d).select("sequence_number", "n_bytes"), path + "/in", order="sequence_number"), judge, path + "/yes", path + "/no", path + "/state").awaitTermination()
+    return spark.read.parquet(path + "/yes").select("sequence_number", F.lit(True).alias("accepted")).unionByName(spark.read.parquet(path + "/no").select("sequence_number", F.lit(False).alias("accepted")))
+
+
+@query("SELECT sequence_number % 10 = 0 AS own, sequence_number // 10 * 10 AS leaf, max(sequence_number) AS tip FROM f_entries WHERE sequence_number % 10 IN (0, 2, 3) GROUP BY 1, 2")
+def stream_build(spark, d):
+    path = folder(spark)
+    i, m = F.col("sequence_number"), F.col("sequence_number") % 10
+    rows = fx.entries(spark, d).where("sequence_number % 10 in (0, 2, 3)").select(i, m.alias("m"))
+
+    def fold(batch: DataFrame) -> DataFrame:
+        leaf = F.when(F.col("m") == 0, F.col("sequence_number") * 2).otherwise((F.col("sequence_number") - F.col("m")) * 2 + 1)
+        return batch.groupBy(leaf.alias("leaf_seq")).agg(F.max("sequence_number").alias("origin_tip"), F.min("sequence_number").alias("authority_tip"))
+
+    loops.build(as_stream(rows, path + "/in", order="sequence_number"), fold, path + "/out", path + "/state").awaitTermination()
+    last = spark.read.parquet(path + "/out")
+    last = last.join(F.broadcast(last.agg(F.max("batch_id").alias("batch_id"))), "batch_id")
+    return last.select((F.col("leaf_seq") % 2 == 0).alias("own"), F.expr("leaf_seq div 2").alias("leaf"), F.col("origin_tip").alias("tip"))
+
+
+@query("SELECT sequence_number, canonical_hash FROM f_documents")
+def stream_ship(spark, d):
+    path = folder(spark)
+    docs = fx.documents(spark, d).select("sequence_number", "canonical_hash", F.substring("data", 1, 100).alias("data"))
+    loops.ship(as_stream(docs.unionByName(docs.where("sequence_number % 9 = 0")), path + "/in", order="sequence_number"), path + "/out", path + "/state").awaitTermination()
+    return spark.read.parquet(path + "/out").select("sequence_number", "canonical_hash")
+
+
+@query("SELECT signer_did, schema_ref, count(*) AS n, max(sequence_number) AS last FROM f_entries GROUP BY 1, 2")
+def stream_counts(spark, d):
+    path = folder(spark)
+    counts = loops.counts(as_stream(fx.entries(spark, d).select("signer_did", "schema_ref", "sequence_number"), path + "/in", order="sequence_number"))
+
+    def newest(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+
+    counts.writeStream.foreachBatch(newest).outputMode("update").option("checkpointLocation", path + "/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(path + "/out")
+    return got.groupBy("signer_did", "schema_ref").agg(F.max_by("n", "batch_id").alias("n"), F.max("last").alias("last"))
+
+
+@query("SELECT max(sequence_number) AS mark FROM (SELECT sequence_number, sequence_number - row_number() OVER (ORDER BY sequence_number) AS s FROM f_holed) WHERE s = -1")
+def replay_mark(spark, d):
+    return windows.prefix_end(fx.holed(spark, d), -1).select(F.col("last").alias("mark"))
+
+
+@query("SELECT hash, attempts, CASE WHEN attempts >= 10 THEN 'manual' ELSE 'retry' END AS action FROM f_journal WHERE state = 1")
+def stale_recover(spark, d):
+    return state.classified_failures(fx.journal(spark, d).where("state = 1"))
