@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 C = Column | str
 
@@ -159,7 +160,10 @@ def encode_tips(tips: C) -> Column:
     return F.concat(u_be(F.size(tips), 2), body)
 
 
-@F.pandas_udf("array<struct<log_did:string,sequence:bigint>>")
+_TIPS = T.ArrayType(T.StructType([T.StructField("log_did", T.StringType()), T.StructField("sequence", T.LongType())]))
+
+
+@F.pandas_udf(_TIPS)
 def decode_tips(data: pd.Series) -> pd.Series:
     """Inverse of encode_tips; null where the bytes do not parse."""
 
@@ -180,7 +184,7 @@ def decode_tips(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_nfc(text: pd.Series) -> pd.Series:
     """Whether a header string is in Unicode normal form C."""
     import unicodedata

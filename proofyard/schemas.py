@@ -28,7 +28,13 @@ _DDL = {
     "wal": "hash binary, state tinyint, sequence bigint, attempts int, last_err_ns bigint, log_time_micros bigint",
     "gossip_events": "event_id binary, originator string, kind string, lamport_time bigint, prev_hash string, bindings array<string>, body string",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+
+def schema(name: str) -> T.StructType:
+    """A table's schema; a session must be there to read it."""
+    return T.StructType.fromDDL(_DDL[name])
+
+
 
 # Versions of the schema: what each added. A version is applied once, in order.
 MIGRATIONS = [
@@ -40,7 +46,7 @@ MIGRATIONS = [
 def require_schema(df: DataFrame, name: str, types: bool = True) -> DataFrame:
     """`df` if it has the table's columns (and types), else an error that names what is missing."""
     wrong = []
-    for field in SCHEMAS[name]:
+    for field in schema(name):
         got = df.schema[field.name].dataType if field.name in df.columns else None
         if got is None or types and got != field.dataType:
             wrong.append(f"{field.name}: {field.dataType.simpleString()}, not {got.simpleString() if got else 'there'}")
