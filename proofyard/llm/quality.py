@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +77,22 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.argsort(doc, kind="stable")
             edge = pa.array(np.searchsorted(doc[order], np.arange(n + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(chunk.lo, n), pa.ListArray.from_arrays(edge, pa.array(feature[order].astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(value[order].astype(np.float32)))],
-                ["grade", "feature", "value"],
+                [batch.column(0).slice(chunk.lo, n), batch.column(2).slice(chunk.lo, n), pa.ListArray.from_arrays(edge, pa.array(feature[order].astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(value[order].astype(np.float32)))],
+                ["grade", "rated", "feature", "value"],
             )
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the model of the sample, which is one partition."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False), pc.list_flatten(b.column(1)).to_numpy(), pc.list_flatten(b.column(2)).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    grades, size, feature, value = (np.concatenate(x) for x in zip(*parts))
+    model = fit(grades, np.repeat(np.arange(len(size), dtype=np.int32), size), feature, value)
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights]), pa.array([model.thresholds])], ["weights", "thresholds"])
+
+
 def fit(grades: np.ndarray, rows: np.ndarray, feature: np.ndarray, value: np.ndarray) -> Model | None:
     """Maximum likelihood with a ridge, by gradient steps with momentum and per-weight scaling. None below two grades.
 
@@ -125,12 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     """A model of the graded documents among `labels` (doc_id, quality, toxic), or None if they hold under two grades."""
     rated = labels.select(F.col("doc_id").alias("_rated"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null and _rated is not null")
     drawn = saved(rated.orderBy(F.xxhash64("_rated"), "_rated", "grade").limit(sample))
-    rows = docs.join(F.broadcast(drawn), docs[id_col] == drawn["_rated"]).select("grade", F.col(text_col).alias("text"))
-    got = rows.mapInArrow(_sampled, "grade int, feature array<int>, value array<float>").toPandas()
-    if not len(got):
-        return None
-    size = got["feature"].str.len().to_numpy()
-    return fit(got["grade"].to_numpy(), np.repeat(np.arange(len(got)), size), np.concatenate(got["feature"].to_list()).astype(np.int64), np.concatenate(got["value"].to_list()).astype(float))
+    rows = docs.join(F.broadcast(drawn), docs[id_col] == drawn["_rated"]).select("grade", F.col(text_col).alias("text"), F.col("_rated").cast("string").alias("rated"))
+    rows = rows.mapInArrow(_sampled, "grade int, rated string, feature array<int>, value array<float>")
+    # the sample is bounded: one task fits it, in an order that reruns repeat
+    rows = rows.repartition(1).sortWithinPartitions("rated", "grade").select("grade", "feature", "value")
+    got = rows.mapInArrow(_fitted, "weights array<double>, thresholds array<double>").first()
+    return None if got is None else Model(np.array(got["weights"]), np.array(got["thresholds"]))
 
 
 def probabilities(model: Model, z: np.ndarray) -> np.ndarray:
