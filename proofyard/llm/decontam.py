@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import near, saved
+from .shared import near, packed, saved, unpacked
 
 ERRORS = 0.08  # of an item's characters may differ
 BROADCAST_ROWS = 1_000_000  # contaminated documents up to which their ids are broadcast
@@ -165,5 +165,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """`docs` without the documents that hold an item of the benchmark; all columns kept. Rows without an id stay only
     if no such row holds an item."""
-    held = saved(contaminated(docs, benchmark, id_col, **how).select(F.col(id_col).alias("_held")).distinct())
-    return docs.join(near(held, BROADCAST_ROWS), docs[id_col].eqNullSafe(held["_held"]), "left_anti")
+    held = saved(contaminated(docs, benchmark, id_col, **how).select(F.col(id_col).alias("held")).distinct())
+    return unpacked(packed(docs).join(near(held, BROADCAST_ROWS), F.col("row")[id_col].eqNullSafe(F.col("held")), "left_anti"))

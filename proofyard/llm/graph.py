@@ -9,7 +9,7 @@ from .shared import discard, saved
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(id, component_id): for every node of an edge the smallest node reachable from it.
+    """(id, component_id): for every node the smallest node reachable from it, where that is not the node itself.
 
     Each round joins every node with the smallest of its neighbours, which a grouped minimum (combined before the
     shuffle) finds; the graph shrinks to stars in a number of rounds that grows with the logarithm of its diameter.

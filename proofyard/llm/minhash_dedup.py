@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, runs
 from .graph import components
-from .shared import discard, saved
+from .shared import discard, packed, saved, unpacked
 from .tokens import mix, shingles, words
 
 BANDS, ROWS = 24, 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6
@@ -242,14 +242,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group of near duplicates, all its columns kept. Rows without an id stay."""
-    marks = near_duplicates(docs, id_col, text_col, k, percent).where("kept").select(F.col(id_col).alias("_keep"), F.lit(1).alias("_one"))
-    keep = marks.where("_keep is not null").groupBy("_keep").agg(F.count("*").alias("_times"))
-    kept = docs.join(keep, docs[id_col] == keep["_keep"])
-    once, many = kept.where("_times = 1"), kept.where("_times > 1")
-    parts = [once, docs.where(F.col(id_col).isNull())]
-    if not keep.where("_times > 1").isEmpty():
-        parts.append(many.dropDuplicates([id_col]))
-    out = parts[0].select(docs.columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(docs.columns))
+    marks = near_duplicates(docs, id_col, text_col, k, percent).where("kept").select(F.col(id_col).alias("id"))
+    keep = marks.where("id is not null").groupBy("id").agg(F.count("*").alias("times"))
+    rows = packed(docs)
+    own = F.col("row")[id_col]
+    kept = rows.join(keep, own == F.col("id"))
+    out = unpacked(kept.where("times = 1")).unionByName(unpacked(rows.where(own.isNull())))
+    if not keep.where("times > 1").isEmpty():
+        out = out.unionByName(unpacked(kept.where("times > 1").dropDuplicates(["id"])))
     return out

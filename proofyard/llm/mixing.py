@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, saved
+from .shared import n_words, packed, saved
 
 WINDOW = 1 << 14  # words of a budget left to dynamic programming
 BROADCAST_ROWS = 100_000  # sources up to which their table is broadcast
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source, the last. Equal rows are separate documents, of which a number is taken; ids null or equal are drawn like
     others, in an order by hash of id and seed. Reruns agree. Other columns are ignored; an empty table gives none.
     """
-    out = _mixed(docs.withColumn("rid", F.monotonically_increasing_id()), id_col, text_col, source_col, weights, times, seed)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), id_col, text_col, source_col)
+    out = _mixed(rows, id_col, text_col, source_col, weights, times, seed)
     return out.drop("rid")
 
 
@@ -124,7 +125,13 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), times: int = 3, seed: int = 17) -> DataFrame:
     """Those rows of `docs` of which the mix takes something, with taken and copies beside their columns; columns of
     these names get a leading underscore. `docs` is to come from files, whose rows keep their order when read again."""
-    docs = docs.withColumnsRenamed({c: "_" + c for c in docs.columns if c in ("taken", "copies", "rid")})
-    docs = docs.withColumn("rid", F.monotonically_increasing_id())
-    picked = _mixed(docs, id_col, text_col, source_col, weights, times, seed).where("taken > 0").select("rid", "taken", "copies")
-    return docs.join(picked, "rid").drop("rid")
+    rows = packed(docs)
+    plain = rows.select("rid", *[F.col("row")[c].alias(c) for c in (id_col, text_col, source_col)])
+    picked = _mixed(plain, id_col, text_col, source_col, weights, times, seed).where("taken > 0").select("rid", "taken", "copies")
+    own = []
+    for c in docs.columns:
+        name = c
+        while name in ("taken", "copies") or name != c and name in docs.columns:
+            name = "_" + name
+        own.append(F.col("row")[c].alias(name))
+    return rows.join(picked, "rid").select(*own, "taken", "copies")

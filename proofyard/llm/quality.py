@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import near, saved
+from .shared import near, packed, saved, unpacked
 from .tokens import Words, words
 
 SAMPLE = 8000  # labelled documents that the model is fitted on, drawn by hash of the id
@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     """A model of the graded documents among `labels` (doc_id, quality, toxic), or None if they hold under two grades."""
     rated = labels.select(F.col("doc_id").alias("_rated"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null and _rated is not null")
     drawn = saved(rated.orderBy(F.xxhash64("_rated"), "_rated", "grade").limit(sample))
-    rows = docs.join(F.broadcast(drawn), docs[id_col] == drawn["_rated"]).select("grade", F.col(text_col).alias("text"), F.col("_rated").cast("string").alias("rated"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("_rated"))
+    rows = rows.select("grade", "text", F.col("_rated").cast("string").alias("rated"))
     rows = rows.mapInArrow(_sampled, "grade int, rated string, feature array<int>, value array<float>")
     # the sample is bounded: one task fits it, in an order that reruns repeat
     rows = rows.repartition(1).sortWithinPartitions("rated", "grade").select("grade", "feature", "value")
@@ -190,7 +191,8 @@ def rate(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, sample: int = SAMPLE, rejected_rows: int = 2_000_000) -> DataFrame:
     """The accepted rows of `docs` with all their columns; see `rate`. `docs` is to come from files, whose rows keep
     their order when read again."""
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
+    rows = packed(docs)
     model = train(docs, labels, id_col, text_col, sample)
-    bad = saved(_rate(rows.select(F.col("_rid").alias("id"), F.col(text_col).alias("text")), "bigint", model).where(F.col("p_top") < accept).select(F.col("id").alias("_rid")))
-    return rows.join(near(bad, rejected_rows), "_rid", "left_anti").drop("_rid")
+    rated = _rate(rows.select(F.col("rid").alias("id"), F.col("row")[text_col].alias("text")), "bigint", model)
+    bad = saved(rated.where(F.col("p_top") < accept).select(F.col("id").alias("rid")))
+    return unpacked(rows.join(near(bad, rejected_rows), "rid", "left_anti"))
