@@ -35,7 +35,8 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.-][^/]*)?$"
 COSINE = 0.6
-RARE = 0.02  # a line is a header if it holds a word of the templates that at most this share of the files hold
+# Words of the templates that tell nothing of licences; only lines with another word of them are compared.
+COMMON = frozenset("a an and any are as at be by can charge dealt except following for free in is it later may not obtain of or person published that the this to under use with without you your".split())
 BROADCAST_DIRS = 100_000
 _TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
 
@@ -85,7 +86,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     weights = given.join(F.broadcast(idf), "token").withColumn("tw", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"))
     weights = weights.join(F.broadcast(norms), "template").select("template", "licence", "token", (F.col("tw") / F.col("norm")).alias("tw"))
-    telling = [t for t in vocabulary if df[t] <= max(1, RARE * n) and len(t) > 1] or vocabulary
+    telling = [t for t in vocabulary if t not in COMMON] or vocabulary
     rare = F.array(*map(F.lit, telling))
 
     some = files.where(F.arrays_overlap(tokens(F.col("text")), rare)).select(F.xxhash64("path", "text").alias("file"), "path", "text").dropDuplicates(["file"])

@@ -37,8 +37,8 @@ def host_rule(host: str, path: str, action: str) -> Rule:
 
 
 def word_rule(*words: str) -> Rule:
-    """Blocks hosts with these words next to each other between dots, hyphens or the ends."""
-    return Rule("-".join(words), "block", pattern=r"^[^/]*(?<![a-z0-9])" + "-?".join(words) + "(?![a-z0-9])", tokens=words)
+    """Blocks hosts with these words joined by hyphens between dots, hyphens or the ends."""
+    return Rule("-".join(words), "block", pattern=r"^[^/]*(?<![a-z0-9])" + "-".join(words) + "(?![a-z0-9])", tokens=words)
 
 
 # The rules that the contract names.
@@ -111,7 +111,7 @@ def oracle(rules: list[Rule]) -> str:
     quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
     listed = ", ".join(f"({i}, {', '.join(map(quote, (r.name, r.action, r.host, r.path)))})" for i, r in enumerate(rules) if r.host)
     # DuckDB's expressions have no lookbehind
-    patterns = ", ".join(f"({quote(r.name)}, {quote('^([^/]*[^a-z0-9/])?' + '-?'.join(r.tokens) + '([^a-z0-9]|$)')})" for r in rules if r.pattern)
+    patterns = ", ".join(f"({quote(r.name)}, {quote('^([^/]*[^a-z0-9/])?' + '-'.join(r.tokens) + '([^a-z0-9]|$)')})" for r in rules if r.pattern)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH rules(rid, name, action, r_host, r_path) AS (VALUES {listed}), patterns(p_name, pattern) AS (VALUES {patterns}),
