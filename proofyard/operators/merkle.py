@@ -7,6 +7,7 @@ shuffles, the first of them over the leaves. A lone right node goes up as it is,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,20 +120,45 @@ def verify_paths(leaves: DataFrame, paths: DataFrame, size: int) -> DataFrame:
     return rows.select("position", F.lower(F.hex(folded)).alias("root"))
 
 
-def _sparse_roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from hashlib import sha256
+Item = tuple[int, bytes, bytes]  # key as a number, hash, key of the leaf
 
-    def fold(items: list[tuple[int, bytes]], bit: int) -> bytes:
-        while len(items) > 1:
-            left = [x for x in items if not x[0] >> bit & 1]
-            if 0 < len(left) < len(items):
-                right = [x for x in items if x[0] >> bit & 1]
-                return sha256(b"\x01" + fold(left, bit - 1) + fold(right, bit - 1)).digest()
-            bit -= 1
-        return items[0][1]
 
-    for f in frames:
-        yield pd.DataFrame({"prefix": [f["prefix"].iloc[0]], "hash": [fold([(int.from_bytes(k, "big"), h) for k, h in zip(f["key"], f["hash"])], 255)]})
+def _fold(items: list[Item], bit: int) -> bytes:
+    """Root over items of distinct keys that agree above `bit`; a node with one child is that child."""
+    while len(items) > 1:
+        left = [x for x in items if not x[0] >> bit & 1]
+        if 0 < len(left) < len(items):
+            right = [x for x in items if x[0] >> bit & 1]
+            return sha256(b"\x01" + _fold(left, bit - 1) + _fold(right, bit - 1)).digest()
+        bit -= 1
+    return items[0][1]
+
+
+def _walk(items: list[Item], key: int, bit: int) -> tuple[list[tuple[int, bytes]], Item]:
+    """(bit, hash) of the siblings on the way that a key's bits take, and the item where it ends."""
+    path = []
+    while len(items) > 1:
+        side = [x for x in items if (x[0] ^ key) >> bit & 1 == 0]
+        if 0 < len(side) < len(items):
+            path.append((bit, _fold([x for x in items if (x[0] ^ key) >> bit & 1], bit - 1)))
+            items = side
+        bit -= 1
+    return path, items[0]
+
+
+def _items(f: pd.DataFrame) -> list[Item]:
+    return [(int.from_bytes(k, "big"), bytes(h), bytes(k)) for k, h in zip(f["key"], f["hash"])]
+
+
+def _sparse_parts(leaves: DataFrame, bits: int) -> DataFrame:
+    rows = leaves.select("key", F.unhex(F.sha2(F.concat(F.lit(b"\x00"), "key", "value"), 256)).alias("hash"))
+    return rows.withColumn("prefix", F.shiftright(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - bits))
+
+
+def _part_roots(leaves: DataFrame, bits: int) -> list[Item]:
+    """Roots of the parts that keys' first bits deal leaves to: at most 2^bits, so they come to the driver."""
+    parts = _sparse_parts(leaves, bits).groupBy("prefix").applyInPandas(lambda f: pd.DataFrame({"prefix": [f["prefix"].iloc[0]], "hash": [_fold(_items(f), 255)]}), "prefix long, hash binary")
+    return [(r["prefix"] << (256 - bits), bytes(r["hash"]), b"") for r in parts.orderBy("prefix").collect()]
 
 
 def sparse_root(leaves: DataFrame, bits: int = 8) -> DataFrame:
@@ -140,12 +166,42 @@ def sparse_root(leaves: DataFrame, bits: int = 8) -> DataFrame:
     first bits and each part folded by itself, then the parts'; take bits so that a part has some thousands of keys.
 
     `leaves` holds key and value, both binary; an empty table has the hash of nothing."""
-    rows = leaves.select("key", F.unhex(F.sha2(F.concat(F.lit(b"\x00"), "key", "value"), 256)).alias("hash"))
-    prefix = F.shiftright(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), 32 - bits)
-    parts = rows.withColumn("prefix", prefix).groupBy("prefix").applyInPandas(lambda f: next(_sparse_roots(iter([f]))), "prefix long, hash binary")
-    head = F.unhex(F.rpad(F.lpad(F.hex(F.shiftleft("prefix", 32 - bits)), 8, "0"), 64, "0"))
-    top = parts.select(head.alias("key"), "hash", F.lit(0).cast("long").alias("prefix")).groupBy("prefix").applyInPandas(lambda f: next(_sparse_roots(iter([f]))), "prefix long, hash binary")
-    return top.agg(F.coalesce(F.lower(F.hex(F.first("hash"))), F.sha2(F.lit(""), 256)).alias("root"))
+    top = _part_roots(leaves, bits)
+    root = _fold(top, 255).hex() if top else sha256(b"").hexdigest()
+    return leaves.sparkSession.createDataFrame([(root,)], "root string")
+
+
+def sparse_proofs(leaves: DataFrame, keys: list[bytes], bits: int = 8, most: int = 1000) -> DataFrame:
+    """(key, member, leaf_key, leaf_hash, path) for at most `most` keys: the leaf where the key's way ends, and the
+    siblings (bit, hash) from the root down. A key is no member if that leaf has another key."""
+    if len(keys) > most:
+        raise ValueError(f"{len(keys)} keys; at most {most} at once")
+    schema = "key binary, member boolean, leaf_key binary, leaf_hash binary, path array<struct<bit:int,hash:binary>>"
+    top = _part_roots(leaves, bits)
+    asked: dict[int, list] = {}
+    for key in dict.fromkeys(keys) if top else ():
+        path, (head, _, _) = _walk(top, int.from_bytes(key, "big"), 255)
+        asked.setdefault(head >> (256 - bits), []).append((key, path))
+
+    def prove(f: pd.DataFrame) -> pd.DataFrame:
+        items, out = _items(f), []
+        for key, above in asked[int(f["prefix"].iloc[0])]:
+            below, (_, leaf_hash, leaf_key) = _walk(items, int.from_bytes(key, "big"), 255 - bits)
+            out.append((key, leaf_key == key, leaf_key, leaf_hash, [{"bit": b, "hash": h} for b, h in above + below]))
+        return pd.DataFrame(out, columns=["key", "member", "leaf_key", "leaf_hash", "path"])
+
+    parts = _sparse_parts(leaves, bits).where(F.col("prefix").isin(list(asked)))
+    return parts.groupBy("prefix").applyInPandas(prove, schema)
+
+
+def sparse_verify(key: bytes, leaf_key: bytes, leaf_hash: bytes, path: list[tuple[int, bytes]]) -> str | None:
+    """The root that a proof leads to; None if the leaf does not lie where the key's bits lead."""
+    k, leaf, now = int.from_bytes(key, "big"), int.from_bytes(leaf_key, "big"), leaf_hash
+    for bit, sibling in reversed(path):
+        if (k ^ leaf) >> bit & 1:
+            return None
+        now = sha256(b"\x01" + (sibling + now if k >> bit & 1 else now + sibling)).digest()
+    return now.hex()
 
 
 def corrupted(rows: DataFrame, data: str = "data", identity: str = "canonical_hash") -> DataFrame:

@@ -53,6 +53,16 @@ def sparse_merkle_root(spark, d):
     return m.sparse_root(leaves)
 
 
+@query("SELECT 'leaf|' || i AS name, i IN (SELECT user_id FROM f_leaves) AS member FROM (SELECT unnest(range(0, 300, 7)) AS i)", python=True)
+def sparse_membership(spark, d):
+    from hashlib import sha256
+
+    leaves = fx.leaves(spark, d).select(F.unhex("leaf_key").alias("key"), F.col("origin_tip").cast("string").cast("binary").alias("value"))
+    names = {f"leaf|{i}": sha256(f"leaf|{i}".encode()).digest() for i in range(0, 300, 7)}
+    asked = spark.createDataFrame([(n, k) for n, k in names.items()], "name string, key binary")
+    return m.sparse_proofs(leaves, list(names.values())).join(asked, "key").select("name", "member")
+
+
 @query("SELECT sequence_number, canonical_hash FROM f_documents WHERE sequence_number % 211 = 17")
 def byte_integrity(spark, d):
     docs = fx.documents(spark, d).withColumn("data", F.when(F.col("sequence_number") % 211 == 17, F.concat("data", F.lit(b"x"))).otherwise(F.col("data")))

@@ -85,3 +85,21 @@ def test_sparse_root_does_not_depend_on_the_parts(spark):
     changed = t.withColumn("value", F.when(F.col("key") == rows[3][0], F.lit(b"?")).otherwise(F.col("value")))
     assert merkle.sparse_root(changed).first()["root"] not in roots
     assert merkle.sparse_root(t.limit(0)).first()["root"] == h(b"").hex()
+
+
+def test_sparse_proofs_of_members_and_others(spark):
+    rows = [(h(bytes([i, 1])), bytes([i])) for i in range(200)]
+    t = spark.createDataFrame(rows, "key binary, value binary")
+    keys = [r[0] for r in rows[:20]] + [h(bytes([i, 9])) for i in range(20)]
+    for bits in (2, 8):
+        root = merkle.sparse_root(t, bits).first()["root"]
+        got = merkle.sparse_proofs(t, keys, bits).collect()
+        assert {bytes(r["key"]): r["member"] for r in got} == {k: i < 20 for i, k in enumerate(keys)}
+        for r in got:
+            path = [(s["bit"], bytes(s["hash"])) for s in r["path"]]
+            assert merkle.sparse_verify(bytes(r["key"]), bytes(r["leaf_key"]), bytes(r["leaf_hash"]), path) == root
+            assert (bytes(r["leaf_key"]) == bytes(r["key"])) == r["member"]
+            assert merkle.sparse_verify(bytes(r["key"]), bytes(r["leaf_key"]), b"x" * 32, path) != root
+    assert merkle.sparse_proofs(t.limit(0), keys).count() == 0
+    with pytest.raises(ValueError):
+        merkle.sparse_proofs(t, keys, most=10)

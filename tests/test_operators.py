@@ -189,3 +189,15 @@ def test_fold_does_not_depend_on_the_cut(spark):
     parts = [state.fold_leaves(rows.where(f"sequence_number div 100 % 2 = {k}")) for k in (0, 1)]
     both = parts[0].unionByName(parts[1]).groupBy("leaf_seq").agg(F.max("origin_tip"), F.max("authority_tip"))
     assert {tuple(r) for r in both.collect()} == whole
+
+
+def test_functions_in_sql(spark):
+    from proofyard.functions import sql
+
+    assert "merkle_node" in sql.register(spark)
+    row = spark.sql("SELECT hex(serialize_position('did:x', 5)) AS p, object_key('e', 255, 'ab') AS k, backoff(3, 100, 1000) AS b, is_nfc('a') AS n, hex(merkle_leaf(X'61')) AS l").first()
+    t = spark.createDataFrame([("did:x", 5)], "d string, s long").select(F.hex(codecs.serialize_position("d", "s")).alias("p"), codecs.object_key("e", F.lit(255), F.lit("ab")).alias("k")).first()
+    assert (row["p"], row["k"], row["b"], row["n"]) == (t["p"], t["k"], 400, True)
+    from hashlib import sha256
+
+    assert row["l"].lower() == sha256(b"\0a").hexdigest()
