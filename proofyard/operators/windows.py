@@ -127,3 +127,32 @@ def drained(heap: DataFrame, next_expected: int, width: int = WIDTH) -> DataFram
 
 def is_ghost() -> Column:
     return F.col("status") == GHOST
+
+
+def ranked(rows: DataFrame, order: str, base: int = 0) -> DataFrame:
+    """Adds place: base plus the rank by a column without ties. Rows are dealt by ranges of the order, ranges are counted,
+    and only rows inside one share a window."""
+    rows = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist()
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    counts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return rows.withColumn("_k", inside).join(F.broadcast(counts), "_p").withColumn("place", F.col("_before") + F.col("_k") + base).drop("_p", "_k", "_before")
+
+
+def appended(tree: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
+    """(index, canonical_hash) of the leaves that new rows add to a dense tree: each hash once, in order of its first
+    row, after those that are there; a hash that is there already adds nothing."""
+    first = new.groupBy("canonical_hash").agg(F.min(order).alias(order)).join(tree.select("canonical_hash"), "canonical_hash", "left_anti")
+    size = tree.agg(F.count("*").alias("_size"))
+    return ranked(first, order).join(F.broadcast(size)).select((F.col("place") + F.col("_size")).alias("index"), "canonical_hash")
+
+
+def pulled(local: DataFrame, peer: DataFrame, limit: int) -> DataFrame:
+    """What an anti-entropy round takes from a peer: of each originator the next events after the local head, at most
+    `limit`, with continues: whether the first of them follows that head."""
+    heads = local.groupBy("originator").agg(F.max("lamport").alias("_clock"), F.max_by("event_id", "lamport").alias("_head"))
+    ahead = peer.join(heads, "originator", "left").where(F.col("lamport") > F.coalesce("_clock", F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("originator").orderBy("lamport"))
+    rows = ahead.withColumn("_k", nth).where(F.col("_k") <= limit)
+    follows = F.when(F.col("_k") == 1, F.col("prev_hash") == F.coalesce("_head", F.lit("0" * 64))).otherwise(True)
+    return rows.select("originator", "lamport", "event_id", follows.alias("continues"))

@@ -73,3 +73,17 @@ def identical_batch_breaker(spark, d):
     i = F.col("event_id")
     b = fx.table(spark, d, "events").select(F.concat(F.lit("did:log:"), (i % 4).cast("string")).alias("log_did"), i.alias("batch_id"), F.expr("event_id div 20").alias("first_seq"), F.when(F.expr("event_id div 20") % 3 == 1, "e").alias("error"))
     return w.failing_streaks(b)
+
+
+@query("""WITH old AS (SELECT canonical_hash, count(*) OVER () AS n FROM f_documents WHERE status = 0 AND sequence_number % 2 = 0), new AS (SELECT canonical_hash, min(sequence_number) AS o FROM f_documents GROUP BY 1)
+SELECT (SELECT count(*) FROM old) + row_number() OVER (ORDER BY o) - 1 AS index, canonical_hash FROM new WHERE canonical_hash NOT IN (SELECT canonical_hash FROM old)""")
+def append_leaf(spark, d):
+    docs = fx.documents(spark, d)
+    return w.appended(docs.where("status = 0 and sequence_number % 2 = 0"), docs.select("canonical_hash", F.col("sequence_number").alias("ord")))
+
+
+@query("""SELECT p.originator, p.lamport, p.event_id, CASE WHEN p.lamport = coalesce(m, 0) + 1 THEN true WHEN p.lamport > coalesce(m, 0) + 1 THEN true END AS continues FROM f_gossip p
+LEFT JOIN (SELECT originator AS o, max(lamport) AS m FROM f_gossip WHERE lamport <= 2 AND originator < 'did:conv:5' GROUP BY 1) ON o = p.originator WHERE p.lamport > coalesce(m, 0) AND p.lamport <= coalesce(m, 0) + 3""")
+def anti_entropy(spark, d):
+    g = fx.gossip(spark, d)
+    return w.pulled(g.where("lamport <= 2 and originator < 'did:conv:5'"), g, 3)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import publish
+from ..operators.windows import ranked
 
 _CODES = "sequence_number long, canonical_hash string"
 
@@ -44,7 +45,7 @@ def sequence(pending: DataFrame, out: str, checkpoint: str, **trigger):
             done = spark.read.schema(f"{_CODES}, batch_id int").parquet(out).where(F.col("batch_id") != batch_id)
             first = first.join(done.select("canonical_hash"), "canonical_hash", "left_anti")
             base = (done.agg(F.max("sequence_number")).first()[0] if not done.isEmpty() else -1) + 1
-        publish(_ranked(first, "ord", base).select("sequence_number", "canonical_hash"), out, batch_id)
+        publish(ranked(first, "ord", base).select(F.col("place").alias("sequence_number"), "canonical_hash"), out, batch_id)
 
     return _start(pending, each, checkpoint, trigger)
 
@@ -54,16 +55,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _ranked(rows: DataFrame, order: str, base: int) -> DataFrame:
-    """Adds sequence_number: base plus the place in order."""
-    from pyspark.sql import Window
-
-    rows = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).persist()
-    counts = rows.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return rows.withColumn("_k", inside).join(F.broadcast(counts), "_p").withColumn("sequence_number", F.col("_before") + F.col("_k") + base)
-
-
 def _commit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     expected, waiting = state.get if state.exists else (0, "")
     heap = {int(x.split("=")[0]): x.split("=")[1] for x in waiting.split(",") if x}

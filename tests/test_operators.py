@@ -201,3 +201,20 @@ def test_functions_in_sql(spark):
     from hashlib import sha256
 
     assert row["l"].lower() == sha256(b"\0a").hexdigest()
+
+
+def test_progress_of_a_stream_as_rows(spark, tmp_path):
+    import time
+
+    from proofyard.streaming.metrics import Progress
+
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    seen = Progress()
+    spark.streams.addListener(seen)
+    spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").queryName("five").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    for _ in range(50):
+        if seen.rows:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert sum(r["input_rows"] for r in seen.frame(spark).where("name = 'five'").collect()) == 5
