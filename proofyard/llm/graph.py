@@ -28,7 +28,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         after = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(now, large)
         now = after
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
         seen = state

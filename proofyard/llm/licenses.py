@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, saved
+from .shared import ascii_lower, near, saved
 
 # The notices by which licences are named in files.
 TEMPLATES = {
@@ -110,10 +110,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     asked = asked.select("dir", F.posexplode(above).alias("depth", "ancestor"))
     taken = asked.join(dirs.withColumnRenamed("dir", "ancestor"), "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "path", "licence", "score")).alias("up"))
     taken = saved(taken.select("dir", "up.path", "up.licence", "up.score"))
-    near = F.broadcast(taken) if taken.count() <= BROADCAST_DIRS else taken
     out = files.select("path", F.xxhash64("path", "text").alias("file"), folder(F.col("path")).alias("dir"))
     out = out.join(own.select("file", "origin", F.col("licence").alias("l"), F.col("score").alias("s")), "file", "left")
-    out = out.join(near.select("dir", F.col("path").alias("from"), "licence", "score"), "dir", "left")
+    out = out.join(near(taken, BROADCAST_DIRS).select("dir", F.col("path").alias("from"), "licence", "score"), "dir", "left")
     inherits = F.col("origin").isNull() & F.col("licence").isNotNull() & F.col("path").isNotNull()
     return out.select(
         F.col("path").alias(path_col), F.coalesce("l", F.when(inherits, F.col("licence"))).alias("licence"), F.coalesce("s", F.when(inherits, F.col("score"))).alias("score"),

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, runs
 from .graph import components
-from .shared import discard, packed, saved, unpacked
+from .shared import discard, near, packed, saved, unpacked
 from .tokens import mix, shingles, words
 
 BANDS, ROWS = 24, 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6
 BITS = 512  # of an odd sketch
 SLACK = 0.18  # below the threshold, where an estimate from 96 samples (deviation 0.041 there) still counts as a candidate
 BLOCK = 512
-BROADCAST_ROWS = 1_000_000  # of ids or pairs up to which they go to the sets, not the sets to them
+BROADCAST_ROWS = 300_000  # of ids or pairs up to which they go to the sets, not the sets to them
 _LANES = BITS // 64
 
 
@@ -175,11 +175,6 @@ def _across(most: int, percent: int):
     return across
 
 
-def _near(df: DataFrame) -> DataFrame:
-    """A saved table to be broadcast if it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id (the smallest id reachable by links, itself included) and
     kept (id = component_id). Linked are documents whose sets of distinct k-word shingles have 100 * intersection >=
@@ -212,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.join(reps.select(F.col("rep").alias("yr"), *lanes).alias("y"), F.col("pivot") == F.col("yr")).where(far <= most).select("rep", "pivot")
     stars = saved(stars)
     asked = saved(members.select(F.col("rep").alias("id")).distinct())
-    sets = docs.join(_near(asked), "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "rep long, members binary, codes binary" + longs)
+    sets = docs.join(near(asked, BROADCAST_ROWS), "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "rep long, members binary, codes binary" + longs)
     sets = saved(sets)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -220,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rays = stars.join(salts, "pivot").select("rep", F.col("pivot").alias("bucket"), F.pmod(F.xxhash64("rep"), "m").cast("int").alias("i"), F.lit(1).alias("side"))
     hubs = salts.select(F.col("pivot").alias("rep"), F.col("pivot").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.lit(0).alias("side"))
     rays = saved(rays.unionByName(hubs).withColumn("j", F.col("i")))
-    rays = sets.select("rep", "members").join(_near(rays), "rep")
+    rays = sets.select("rep", "members").join(near(rays, BROADCAST_ROWS), "rep")
     rays = rays.repartition(parts, "bucket", "i").sortWithinPartitions("bucket", "i", "side", "rep")
     links = saved(rays.select("bucket", "i", "j", "rep", "members").mapInPandas(_with_pivot(percent), "a long, b long"))
     comp = saved(components(links))
@@ -228,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = members.join(comp, members.rep == comp.id, "left").select("rep", "t", "band", F.coalesce("component_id", "rep").alias("comp"))
     open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
     rows = saved(labelled.join(open_, "band"))
-    rows = sets.join(_near(rows), "rep")
+    rows = sets.join(near(rows, BROADCAST_ROWS), "rep")
     rows = blocked(rows, ["band"], "rep", "n", BLOCK, parts)
     found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "comp", "codes", "members", *lanes).mapInPandas(_across(most, percent), "a long, b long"))
     if not found.isEmpty():

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, packed, saved
+from .shared import n_words, near, packed, saved
 
 WINDOW = 1 << 14  # words of a budget left to dynamic programming
 BROADCAST_ROWS = 100_000  # sources up to which their table is broadcast
@@ -103,8 +103,7 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     budget = F.round("target").cast("long")
     sources = saved(sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
                     .withColumn("rest", budget - F.col("whole") * F.col("source_size")))
-    near = F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources
-    rows = rows.withColumnRenamed("source", "of").join(near, F.col("of").eqNullSafe(F.col("source"))).drop("of", "source")
+    rows = rows.withColumnRenamed("source", "of").join(near(sources, BROADCAST_ROWS), F.col("of").eqNullSafe(F.col("source"))).drop("of", "source")
     order = F.xxhash64("id", F.lit(seed))
     rows = rows.withColumn("bucket", F.shiftright(order, 56)).withColumn("order", order)
     counts = rows.where("rest > 0 and size > 0").groupBy("sid", "size", "bucket").agg(F.count("*").alias("n"), F.first("rest").alias("rest"))

@@ -56,9 +56,20 @@ def discard(*frames: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+NEAR_BYTES = 8 << 20  # of Parquet up to which a saved table may be broadcast
+
+
 def near(df: DataFrame, rows: int) -> DataFrame:
-    """A table that is cheap to count, to be broadcast in a join if it has at most `rows` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A table that is cheap to count, to be broadcast in a join if it has at most `rows` rows and, where it has been
+    saved, at most NEAR_BYTES of files; else as it is, for a join by shuffle."""
+    if df.count() > rows:
+        return df
+    if path := getattr(df, "saved_at", None):
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength() > NEAR_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def packed(docs: DataFrame) -> DataFrame:
