@@ -210,6 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = docs.join(near(asked, BROADCAST_ROWS), "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "rep long, members binary, codes binary" + longs)
     sets = saved(sets)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = max(1, parts // 8)  # files of links, which are small beside the sets they come from
 
     salts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
     rays = stars.join(salts, "pivot").select("rep", F.col("pivot").alias("bucket"), F.pmod(F.xxhash64("rep"), "m").cast("int").alias("i"), F.lit(1).alias("side"))
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rays = saved(rays.unionByName(hubs).withColumn("j", F.col("i")))
     rays = sets.select("rep", "members").join(near(rays, BROADCAST_ROWS), "rep")
     rays = rays.repartition(parts, "bucket", "i").sortWithinPartitions("bucket", "i", "side", "rep")
-    links = saved(rays.select("bucket", "i", "j", "rep", "members").mapInPandas(_with_pivot(percent), "a long, b long"))
+    links = saved(rays.select("bucket", "i", "j", "rep", "members").mapInPandas(_with_pivot(percent), "a long, b long").repartition(few))
     comp = saved(components(links))
 
     labelled = members.join(comp, members.rep == comp.id, "left").select("rep", "t", "band", F.coalesce("component_id", "rep").alias("comp"))
@@ -225,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(labelled.join(open_, "band"))
     rows = sets.join(near(rows, BROADCAST_ROWS), "rep")
     rows = blocked(rows, ["band"], "rep", "n", BLOCK, parts)
-    found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "comp", "codes", "members", *lanes).mapInPandas(_across(most, percent), "a long, b long"))
+    found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "comp", "codes", "members", *lanes).mapInPandas(_across(most, percent), "a long, b long").repartition(few))
     if not found.isEmpty():
         comp = saved(components(links.unionByName(found)))
     out = marks.select("id", "n_shingles", "ka", "kb").join(classes, ["ka", "kb"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")

@@ -35,12 +35,21 @@ def scratch_dir(spark: SparkSession) -> str:
 _own: dict[str, str] = {}
 
 
+ARROW_ROWS = 1000  # in a batch between Spark and Python while a table is saved: texts are long
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs
     only a read. The files go when the application ends, or by `discard`."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/proofyard/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
