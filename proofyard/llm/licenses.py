@@ -56,6 +56,19 @@ def _cosines(units: DataFrame, idf: DataFrame, templates: DataFrame, unseen: flo
     return best.select("file", "unit", "best.licence", "best.score")
 
 
+def _reaches(words: Column, idf: dict[str, float], unseen: float) -> Column:
+    """Whether a unit's cosine to any template can reach COSINE: it is at most the length of the unit's part inside the
+    templates' words, over its whole length, to which each other word adds the weight of an unseen one or more."""
+    known = F.array(*map(F.lit, idf))
+    weight = F.create_map(*[x for t, w in idf.items() for x in (F.lit(t), F.lit(w))])
+    times = lambda t: F.size(F.filter(words, lambda x: x == t))
+    return F.aggregate(
+        F.array_intersect(words, known), F.struct(F.lit(0.0).alias("squares"), F.lit(0).alias("inside")),
+        lambda acc, t: F.struct((acc["squares"] + F.pow(times(t) * F.element_at(weight, t), F.lit(2.0))).alias("squares"), (acc["inside"] + times(t)).alias("inside")),
+        lambda acc: acc["squares"] >= COSINE * COSINE * (1 - 1e-9) * (acc["squares"] + (F.size(words) - acc["inside"]) * (unseen * unseen)),
+    )
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """One row per row of `files`: path, licence, score, origin (file, header, inherited or null), inherited_from.
 
@@ -81,6 +94,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     stats = held.groupBy().agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("held", t)).alias(f"t{i}") for i, t in enumerate(vocabulary)]).first()
     n = stats["n"]
     df = {t: stats[f"t{i}"] for i, t in enumerate(vocabulary)}
+    exact = {t: math.log((1.0 + n) / (1 + df[t])) + 1 for t in vocabulary}
     idf = spark.createDataFrame([(t, df[t]) for t in vocabulary], "token string, df long").select("token", (F.log((1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     unseen = math.log(1.0 + n) + 1
     weights = given.join(F.broadcast(idf), "token").withColumn("tw", F.col("tf") * F.col("idf"))
@@ -90,11 +104,13 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     rare = F.array(*map(F.lit, telling))
 
     some = files.where(F.arrays_overlap(tokens(F.col("text")), rare)).select(F.xxhash64("path", "text").alias("file"), "path", "text").dropDuplicates(["file"])
-    some = saved(some)
+    some = saved(some.withColumn("words", tokens(F.col("text"))))
     lines = some.select("file", F.posexplode(F.split("text", "\n")).alias("unit", "line")).withColumn("words", tokens(F.col("line")))
-    headers = _cosines(lines.where(F.arrays_overlap("words", rare)).select("file", "unit", "words"), idf, weights, unseen)
+    reaches = _reaches(F.col("words"), exact, unseen)
+    headers = _cosines(lines.where(F.arrays_overlap("words", rare)).where(reaches).select("file", "unit", "words"), idf, weights, unseen)
     headers = headers.groupBy("file").agg(F.max(F.struct("score", "licence")).alias("header"))
-    wholes = _cosines(some.select("file", F.lit(0).alias("unit"), tokens(F.col("text")).alias("words")), idf, weights, unseen).select("file", F.struct("score", "licence").alias("whole"))
+    wholes = some.select("file", F.lit(0).alias("unit"), "words").where(reaches)
+    wholes = _cosines(wholes, idf, weights, unseen).select("file", F.struct("score", "licence").alias("whole"))
     own = headers.join(wholes, "file", "full_outer").join(some.select("file", "path"), "file")
     is_file = F.col("whole").isNotNull() | F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     own = own.select("file", "path", F.when(is_file, "file").otherwise("header").alias("origin"), F.coalesce("whole", "header").alias("best"))
