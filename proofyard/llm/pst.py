@@ -1,12 +1,17 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
-Contexts of up to two words are states of the tree where they are frequent and where the next symbol's distribution
-diverges from that of the shorter context. Each state keeps the successors seen often enough; the discounted rest of
-its mass goes to its parent, down to add-one unigrams over all words of the training texts. A token is scored in the
-longest state that ends where it begins.
-
-Word counts cover all training texts and stay in a table. What is broadcast is bounded by frequency, not by the
-corpus: at most 1 / LOOKUP words, 1 / CONTEXT contexts of each length and 1 / SUCCESSOR successors, since shares sum to 1.
+Contexts of up to DEPTH words are states of the tree where they repeat and where the next symbol's distribution diverges
+from that of the shorter context. Each state keeps the successors seen at least LEAST times; the discounted rest of its
+mass goes to its parent, down to add-one unigrams over all words of the training texts. A token is scored in the longest
+state that ends where it begins.
+
+All decisions are by absolute counts, so the tree grows with the corpus; it stays in saved tables, keyed by 64-bit hashes of
+runs of words. A token's log probability is that of its word plus one difference a length of context. The difference is
+the logarithm of the mass a state leaves to its parent, plus a correction where the successor is kept: a text's score is
+a sum over its runs of words of a value that belongs to the run, and one join by key finds all of them.
+
+What is broadcast is bounded and changes no result: words and values of runs that hold a share of all tokens, which spare
+the join the hot keys, and bit maps of the runs that repeat, which spare it runs that have no row.
 """
 
 from __future__ import annotations
@@ -19,35 +24,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved
-from .tokens import Words, words
+from .shared import discard, saved
+from .tokens import Words, mix, words
 
 LOOKUP = 1e-6  # least share of tokens of a word looked up in a broadcast table
-CONTEXT = 2e-5  # least share of a context
-SUCCESSOR = 4e-6  # least share of a context with a successor
-LEAST = 2  # and the least count of any of them
-DIVERGENCE = 1e-6  # least share times Kullback-Leibler divergence (nats) of a state from its parent
+RUN_LOOKUP = 4e-6  # and of a run of words
+BITS = 26  # of the bit maps' addresses
+LEAST = 2  # least count of a context and of a successor
+GAIN = 4.0  # least Kullback-Leibler divergence of a state from its parent, times its count (nats)
+DEPTH = 3  # words of the longest contexts
 DISCOUNT = 0.75
 END = np.uint64(0x5EED0FE0D0000001)
 _FLUSH = 1 << 20
 
 
 class Model(NamedTuple):
+    """States of one and two words as arrays."""
+
     total: int
     distinct: int
-    word: np.ndarray  # sorted hashes of the words looked up
+    word: np.ndarray  # sorted hashes of the words that repeat
     count: np.ndarray
-    symbol: np.ndarray  # their place in the alphabet of contexts, or -1
     alphabet: int
-    stay1: np.ndarray  # per symbol: mass left to the root, 1 where it is no state
-    next1: np.ndarray  # sorted symbol * alphabet + successor
+    stay1: np.ndarray  # per word: mass left to the root, 1 where it is no state
+    next1: np.ndarray  # sorted word * alphabet + successor
     prob1: np.ndarray
-    pair: np.ndarray  # sorted symbol * alphabet + symbol
+    pair: np.ndarray  # keys of the states of two words
     stay2: np.ndarray
-    next2: np.ndarray  # sorted pair's place * alphabet + successor
+    next2: np.ndarray  # pair's place * alphabet + successor
     prob2: np.ndarray
 
 
+class Tree(NamedTuple):
+    total: int
+    distinct: int
+    vocabulary: DataFrame  # key, n of all words
+    runs: list[DataFrame]  # if whole, by length of context from 1: ctx, suf, key, n, size, parent
+    states: list[DataFrame]  # if whole: ctx, size, stay of those kept
+    values: DataFrame  # key, n, value
+
+
 def _tokens(chunk: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes with one END after each document, and the document of each."""
     n = chunk.hi - chunk.lo
@@ -63,168 +79,212 @@ def _find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
     return np.where(where[at] == what, at, -1)
 
 
+def _key(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Of a run of words, from those of all but its last and of all but its first."""
+    return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + mix(suf))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ctx, suf = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_key(ctx, suf).view(np.int64)), b.column(2)], ["ctx", "suf", "key", "n"])
+
+
+def _map_of(keys: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that has a bit for each key; others may share it."""
+    cells = keys.select(F.expr(f"cast(shiftright(key & {(1 << BITS) - 1}, 6) as int)").alias("cell"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+    out[got["cell"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = (keys & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
+    return (bits[cell] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, what goes with them, and sums of their counts (last)."""
+    key, *more, count = (np.concatenate(x) for x in zip(*parts))
+    key, first, place = np.unique(key, return_index=True, return_inverse=True)
+    return key, *[x[first] for x in more], np.bincount(place, weights=count, minlength=len(key)).astype(np.int64)
+
+
 def _counted(keys_of):
-    """Partial counts of the keys that `keys_of` draws from each chunk, merged within a partition up to a bound."""
+    """Partial counts of the keys (with what goes with them) that `keys_of` draws from each chunk, merged within a
+    partition up to a bound. Gives what goes with the keys, or the keys if nothing does."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return key, np.bincount(place, weights=np.concatenate([c for _, c in held]), minlength=len(key)).astype(np.int64)
-
-        def out(key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "n"])
+        def out(key: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+            cols = more if len(more) > 1 else (key, *more)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["ctx", "suf", "n"] if len(cols) == 3 else ["key", "n"])
 
         for batch in batches:
             for chunk in words(batch.column(0)):
-                key, count = np.unique(keys_of(chunk), return_counts=True)
-                held.append((key, count))
-                size += len(key)
+                drawn = keys_of(chunk)
+                held.append(_merged([(*drawn, np.ones(len(drawn[0]), np.int64))]))
+                size += len(held[-1][0])
                 if size > _FLUSH:
-                    held = [merged()]
+                    held = [_merged(held)]
                     size = len(held[0][0])
                     if size > _FLUSH // 2:
                         yield out(*held[0])
                         held, size = [], 0
         if held:
-            yield out(*merged())
+            yield out(*_merged(held))
 
     return counted
 
 
-def _symbols(chunk: Words, model: Model) -> tuple[np.ndarray, ...]:
-    """Hashes, documents, places in the lookup table, symbols, and the symbols one and two before (-1: none)."""
-    hashes, doc = _tokens(chunk)
-    place = _find(model.word, hashes)
-    symbol = np.where(place >= 0, model.symbol[place] if len(model.symbol) else -1, -1)
-    one, two = np.full(len(doc), -1, np.int64), np.full(len(doc), -1, np.int64)
-    one[1:] = np.where(doc[1:] == doc[:-1], symbol[:-1], -1)
-    two[2:] = np.where(doc[2:] == doc[:-2], symbol[:-2], -1)
-    return hashes, doc, place, symbol, one, two
+def _longer(run: np.ndarray) -> np.ndarray:
+    """Keys of the runs one word longer that end at each token; the first has none."""
+    return np.concatenate((run[:1], _key(run[:-1], run[1:])))
 
 
-def _pairs_of(model):
-    def keys_of(chunk: Words) -> np.ndarray:
-        _, _, _, symbol, one, _ = _symbols(chunk, model.value)
-        ok = (symbol >= 0) & (one >= 0)
-        return one[ok] * model.value.alphabet + symbol[ok]
+def _runs_of(shared, k: int):
+    """Runs of k + 1 words both of whose parts of k words may repeat."""
 
-    return keys_of
+    def keys_of(chunk: Words) -> tuple[np.ndarray, ...]:
+        run, doc = _tokens(chunk)
+        for _ in range(k - 1):
+            run = _longer(run)
+        may = _in_map(shared.value, run)
+        at = k + np.flatnonzero((doc[k:] == doc[:-k]) & may[k:] & may[k - 1 : -1])
+        return _key(run[at - 1], run[at]), run[at - 1], run[at]
 
+    return keys_of
 
-def _triples_of(model):
-    def keys_of(chunk: Words) -> np.ndarray:
-        m = model.value
-        _, _, _, symbol, one, two = _symbols(chunk, m)
-        ok = (symbol >= 0) & (one >= 0) & (two >= 0)
-        state = _find(m.pair, two[ok] * m.alphabet + one[ok])
-        return state[state >= 0] * m.alphabet + symbol[ok][state >= 0]
 
-    return keys_of
+def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
+    """The tree of a table's `text` column; its runs and states are kept besides its values if it is asked for whole."""
+    spark = texts.sparkSession
+    texts = texts.select("text")
+    vocabulary = saved(texts.mapInArrow(_counted(lambda chunk: (_tokens(chunk)[0],)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    shorter = vocabulary.where(F.col("n") >= LEAST).select("key", "n", ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    runs, states, values, done = [], [], [], []
+    for k in range(1, depth + 1):
+        may = spark.sparkContext.broadcast(_map_of(shorter))
+        counts = texts.mapInArrow(_counted(_runs_of(may, k)), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+        counts = saved(counts.where(F.col("n") >= LEAST).mapInArrow(_keyed, "ctx long, suf long, key long, n long"))
+        may.destroy()
+        spark.sparkContext._jvm.System.gc()  # the shuffle's files go with its last reference
+        rows = counts.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
+        rows = saved(rows.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("size")), "ctx").select("ctx", "suf", "key", "n", "size", "parent"))
+        discard(counts)
+        share = F.col("n") / F.col("size")
+        tested = rows.groupBy("ctx", "size").agg(
+            F.sum(share * F.log(share / F.col("parent"))).alias("gain"), F.sum(share).alias("held"), F.sum("parent").alias("above"), F.sum((F.col("n") - DISCOUNT) / F.col("size")).alias("mass"))
+        rest, rest_above = F.greatest(1 - F.col("held"), F.lit(1e-12)), F.greatest(1 - F.col("above"), F.lit(1e-12))
+        kept = saved(tested.where(F.col("size") * (F.col("gain") + rest * F.log(rest / rest_above)) >= GAIN).select("ctx", "size", (1 - F.col("mass")).alias("stay")))
+        p = F.when(F.col("stay").isNotNull(), (F.col("n") - DISCOUNT) / F.col("size") + F.col("stay") * F.col("parent")).otherwise(F.col("parent"))
+        value = F.when(F.col("stay").isNotNull(), F.log10(p / F.col("parent") / F.col("stay")))
+        shorter = saved(rows.join(kept.select("ctx", "stay"), "ctx", "left").select("key", "n", p.alias("p"), value.alias("value")))
+        values += [kept.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.log10("stay").alias("value")), shorter.where("value is not null").select("key", "n", "value")]
+        runs.append(rows)
+        states.append(kept)
+        done += [shorter, kept]
+        if not whole:
+            discard(rows)
+    every = values[0]
+    for more in values[1:]:
+        every = every.unionByName(more)
+    every = saved(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")))
+    if not whole:
+        discard(*done)
+    spark.sparkContext._jvm.System.gc()
+    return Tree(total, distinct, vocabulary, runs, states, every)
 
 
-def _common(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and counts of those at or over a share of all, which bounds their number."""
-    got = counts.where(F.col("n") >= max(LEAST, least)).toPandas()
-    key = got["key"].to_numpy(dtype=np.int64)
-    order = np.argsort(key)
-    return key[order], got["n"].to_numpy(dtype=np.int64)[order]
+def train(texts: DataFrame) -> tuple[Model, DataFrame]:
+    """States of one and two words as arrays, for trees that fit into memory, and the table of all words' counts."""
+    tree = grown(texts, 2, whole=True)
+    found = tree.vocabulary.where(F.col("n") >= LEAST).toPandas().sort_values("key")
+    word, count = found["key"].to_numpy(), found["n"].to_numpy()
+    a = max(1, len(word))
+    one, two = (r.join(s.select("ctx", "stay"), "ctx").toPandas() for r, s in zip(tree.runs, tree.states))
+    stay1 = np.ones(a)
+    stay1[_find(word, one["ctx"].to_numpy())] = one["stay"]
+    code = _find(word, one["ctx"].to_numpy()) * a + _find(word, one["suf"].to_numpy())
+    order = np.argsort(code)
+    pair, place = np.unique(two["ctx"].to_numpy(), return_inverse=True)
+    stay2 = np.ones(len(pair))
+    stay2[place] = two["stay"]
+    last = two[["suf"]].merge(tree.runs[0].select("key", F.col("suf").alias("last")).toPandas(), left_on="suf", right_on="key", how="left")["last"].to_numpy()
+    prob1, prob2 = (((x["n"] - DISCOUNT) / x["size"]).to_numpy() for x in (one, two))
+    return Model(tree.total, tree.distinct, word, count, a, stay1, code[order], prob1[order], pair, stay2, place * a + _find(word, last), prob2), tree.vocabulary
+
+
+class Known(NamedTuple):
+    """What each task has at hand."""
+
+    bottom: int
+    word: np.ndarray  # sorted hashes of the words looked up
+    count: np.ndarray
+    run: np.ndarray  # sorted keys of the runs looked up
+    value: np.ndarray
+    may: np.ndarray  # bit map of all runs with a value
+    depth: int
 
 
-def _states(owner: np.ndarray, n: np.ndarray, parent: np.ndarray, size: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Divergence test over successors: whose state each is (owner), its count (n), its probability in the parent, the
-    states' counts. Gives which states stay, and the mass each leaves to its parent."""
-    share = n / size[owner]
-    gain = np.bincount(owner, share * np.log(share / parent), minlength=len(size))
-    rest = np.clip(1 - np.bincount(owner, share, minlength=len(size)), 1e-12, 1)
-    rest_parent = np.clip(1 - np.bincount(owner, parent, minlength=len(size)), 1e-12, 1)
-    keep = size / total * (gain + rest * np.log(rest / rest_parent)) >= DIVERGENCE
-    kept_mass = np.bincount(owner, (n - DISCOUNT) / np.maximum(size[owner], 1), minlength=len(size))
-    return keep, np.where(keep, 1 - kept_mass, 1.0)
+def _common(table: DataFrame, least: float, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and a column of those whose count has a share of all, which bounds their number."""
+    got = table.where(F.col("n") >= max(LEAST, least)).select("key", column).toArrow()
+    key = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    return key[order], got[column].to_numpy()[order]
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The tree of a table's `text` column, and the saved table of all words' counts (key, n)."""
-    spark = texts.sparkSession
-    texts = texts.select("text")
-    vocabulary = saved(texts.mapInArrow(_counted(lambda chunk: _tokens(chunk)[0]), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    key, count = _common(vocabulary, LOOKUP * total)
-    order = np.argsort(key.view(np.uint64))
-    word, count = key.view(np.uint64)[order], count[order]
-    frequent = (count >= max(LEAST, CONTEXT * total)) if total else np.zeros(0, bool)
-    symbol = np.where(frequent, np.cumsum(frequent) - 1, -1)
-    a = max(1, int(frequent.sum()))
-    empty = np.empty(0, np.int64)
-    model = Model(total, distinct, word, count, symbol, a, np.ones(a), empty, np.empty(0), empty, np.empty(0), empty, np.empty(0))
-    if not frequent.any():
-        return model, vocabulary
-    root = (count[frequent] + 1) / (total + distinct + 1)
-    size1 = count[frequent]
-
-    shared = spark.sparkContext.broadcast(model)
-    pairs = saved(texts.mapInArrow(_counted(_pairs_of(shared)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    code, n = _common(pairs, SUCCESSOR * total)
-    owner, to = code // a, code % a
-    keep, stay1 = _states(owner, n, root[to], size1, total)
-    at = keep[owner]
-    model = model._replace(stay1=stay1, next1=code[at], prob1=(n[at] - DISCOUNT) / size1[owner[at]])
-    end = int(symbol[_find(word, np.array([END]))[0]])
-    big = (n >= max(LEAST, CONTEXT * total)) & (to != end)
-    model = model._replace(pair=code[big])
-    size2 = n[big]
-
-    shared = spark.sparkContext.broadcast(model)
-    triples = saved(texts.mapInArrow(_counted(_triples_of(shared)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    code, n = _common(triples, SUCCESSOR * total)
-    owner, to = code // a, code % a
-    one = model.pair[owner] % a
-    seen = _find(model.next1, one * a + to)
-    parent = np.where(seen >= 0, model.prob1[seen] if len(model.prob1) else 0.0, 0.0) + model.stay1[one] * root[to]
-    keep, stay2 = _states(owner, n, parent, size2, total)
-    at = keep[owner]
-    place = np.cumsum(keep) - 1
-    return model._replace(pair=model.pair[keep], stay2=stay2[keep], next2=place[owner[at]] * a + to[at], prob2=(n[at] - DISCOUNT) / size2[owner[at]]), vocabulary
+def _listed(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct keys of each document and how often each is there."""
+    order = np.lexsort((keys, doc))
+    h, d = keys[order], doc[order]
+    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.empty(0, np.int64)
+    times = np.diff(np.append(cut, len(h))).astype(np.int32)
+    edge = pa.array(np.searchsorted(d[cut], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(edge, pa.array(h[cut].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(times))
 
 
 def _scored(shared):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        bottom = m.total + m.distinct + 1
-        known_root = (m.count + 1) / bottom
+        known_root = np.log10((m.count + 1) / m.bottom)
         for batch in batches:
             for chunk in words(batch.column("text")):
                 n = chunk.hi - chunk.lo
-                hashes, doc, place, symbol, one, two = _symbols(chunk, m)
+                hashes, doc = _tokens(chunk)
+                place = _find(m.word, hashes)
                 known = place >= 0
-                root = np.where(known, known_root[place] if len(known_root) else 1.0, 1.0)  # of others the part that is missing
-                p = root * np.where(one >= 0, m.stay1[one], 1.0)
-                at = np.where((one >= 0) & (symbol >= 0), _find(m.next1, one * m.alphabet + symbol), -1)
-                p += np.where(at >= 0, m.prob1[at] if len(m.prob1) else 0.0, 0.0)
-                state = np.where((one >= 0) & (two >= 0), _find(m.pair, two * m.alphabet + one), -1)
-                p *= np.where(state >= 0, m.stay2[state] if len(m.stay2) else 1.0, 1.0)
-                at = np.where((state >= 0) & (symbol >= 0), _find(m.next2, state * m.alphabet + symbol), -1)
-                p += np.where(at >= 0, m.prob2[at] if len(m.prob2) else 0.0, 0.0)
-                other = np.flatnonzero(~known)
-                other = other[np.lexsort((hashes[other], doc[other]))]
-                h, d = hashes[other], doc[other]
-                cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.empty(0, np.int64)
-                times = np.diff(np.append(cut, len(h))).astype(np.int32)
-                edge = pa.array(np.searchsorted(d[cut], np.arange(n + 1)).astype(np.int32))
+                root = np.where(known, known_root[place] if len(known_root) else 0.0, 0.0)  # of others the part that is missing
+                more, keys, docs, run = np.zeros(n), [], [], hashes
+                for k in range(m.depth + 1):
+                    at = np.flatnonzero(_in_map(m.may, run))
+                    at = at[at >= k]
+                    at = at[doc[at] == doc[at - k]]
+                    where = _find(m.run, run[at])
+                    have = where >= 0
+                    more += np.bincount(doc[at[have]], m.value[where[have]], minlength=n)
+                    keys.append(run[at[~have]])
+                    docs.append(doc[at[~have]])
+                    run = _longer(run)
+                other, times = _listed(hashes[~known], doc[~known], n)
+                runs, run_times = _listed(np.concatenate(keys), np.concatenate(docs), n)
+                base = np.bincount(doc, root, minlength=n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("rid").slice(chunk.lo, n), batch.column("id").slice(chunk.lo, n), batch.column("held").slice(chunk.lo, n),
                      pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(np.bincount(doc, known, minlength=n).astype(np.int64)),
-                     pa.array(np.bincount(doc, np.where(known, np.log10(root), 0.0), minlength=n)), pa.array(np.bincount(doc, np.log10(p), minlength=n)),
-                     pa.ListArray.from_arrays(edge, pa.array(h[cut].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(times))],
-                    ["rid", "id", "held", "n_tokens", "n_known", "base", "score", "other", "times"],
+                     pa.array(base), pa.array(base + more), other, times, runs, run_times],
+                    ["rid", "id", "held", "n_tokens", "n_known", "base", "score", "other", "times", "runs", "run_times"],
                 )
 
     return scored
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH) -> DataFrame:
     """One row per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     The tree learns from documents whose crc32(id as text) mod `folds` is not `held_fold`; a null id counts as the empty
@@ -233,18 +293,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (fold == held_fold).alias("held"), F.col(text_col).alias("text"))
-    model, vocabulary = train(rows.where(~F.col("held")))
+    tree = grown(rows.where(~F.col("held")), depth)
+    bottom, vocabulary, values = tree.total + tree.distinct + 1, tree.vocabulary, tree.values
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = saved(rows.mapInArrow(_scored(shared), f"rid long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, other array<long>, times array<int>"))
-    bottom = model.total + model.distinct + 1
+    known = Known(bottom, *_common(vocabulary, LOOKUP * tree.total, "n"), *_common(values, RUN_LOOKUP * tree.total, "value"), _map_of(values), depth)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    scored = saved(rows.mapInArrow(_scored(shared), f"rid long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, other array<long>, times array<int>, runs array<long>, run_times array<int>"))
     rare = scored.select("rid", F.explode(F.arrays_zip("other", "times")).alias("x")).select("rid", F.col("x.other").alias("key"), F.col("x.times").alias("times"))
     rare = rare.join(vocabulary, "key", "left").groupBy("rid").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(bottom)))).alias("more"),
     )
-    more = F.coalesce("more", F.lit(0.0))
-    return scored.drop("other", "times").join(rare, "rid", "left").select(
+    deep = scored.select("rid", F.explode(F.arrays_zip("runs", "run_times")).alias("x")).select("rid", F.col("x.runs").alias("key"), F.col("x.run_times").alias("times"))
+    deep = deep.join(values, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("value")).alias("deep"))
+    more, deep_sum = F.coalesce("more", F.lit(0.0)), F.coalesce("deep", F.lit(0.0))
+    return scored.drop("other", "times", "runs", "run_times").join(rare, "rid", "left").join(deep, "rid", "left").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + deep_sum).alias("score"),
     )

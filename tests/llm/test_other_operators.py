@@ -317,6 +317,55 @@ def test_tree_scores_held_out_texts_better_and_its_distributions_sum_to_one(spar
         assert abs(model.prob2[model.next2 // a == s].sum() + model.stay2[s] - 1) < 1e-9
 
 
+def brute_tree_scores(rows, depth):
+    """log10 probabilities of all texts, by counts of every run of words in a dictionary."""
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    texts = {i: [*words(t), None] for i, t, *_ in rows}
+    n = Counter(tuple(t[j - k : j + 1]) for i, t in texts.items() if not held[i] for k in range(depth + 1) for j in range(k, len(t)))
+    total, distinct = sum(c for g, c in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+    after = {}
+    for g, c in n.items():
+        if len(g) > 1 and c >= pst.LEAST:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    stay = {}
+
+    def p(ctx, w):
+        if not ctx:
+            return (n[(w,)] + 1) / (total + distinct + 1)
+        low = p(ctx[1:], w)
+        if ctx not in stay:
+            return low
+        c = after[ctx].get(w, 0)
+        return (c - pst.DISCOUNT if c else 0) / n[ctx] + stay[ctx] * low
+
+    for ctx in sorted(after, key=len):
+        size, above = n[ctx], {w: p(ctx[1:], w) for w in after[ctx]}
+        gain = sum(c / size * math.log(c / size / above[w]) for w, c in after[ctx].items())
+        rest, rest_above = (max(1 - x, 1e-12) for x in (sum(after[ctx].values()) / size, sum(above.values())))
+        if size * (gain + rest * math.log(rest / rest_above)) >= pst.GAIN:
+            stay[ctx] = 1 - sum(c - pst.DISCOUNT for c in after[ctx].values()) / size
+    return {i: sum(math.log10(p(tuple(t[max(0, j - depth) : j]), w)) for j, w in enumerate(t)) for i, t in texts.items()}, stay
+
+
+def test_tree_grows_with_the_corpus_and_scores_like_counts_in_memory(spark, tmp_path, monkeypatch):
+    """A passage that occurs in few documents is learned whatever else the corpus holds, also beyond two words."""
+    monkeypatch.setattr(pst, "RUN_LOOKUP", 1e-3)  # so that most values come by the join
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(100)), "en", "s") for i in range(300)]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    passage = " ".join(f"w{rng.randrange(40)}" for _ in range(40))
+    for i in [held[0], *[i for i in range(300) if i not in held][:3]]:
+        rows[i] = (i, rows[i][1] + " " + passage, "en", "s")
+    got = {r["doc_id"]: r["score"] for r in pst.score(documents(spark, tmp_path, rows)).collect()}
+    want, stay = brute_tree_scores(rows, pst.DEPTH)
+    assert {1, 2, 3} <= {len(c) for c in stay}
+    assert all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+    more = rows + [(1000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(2000)), "en", "s") for i in range(300)]
+    short = pst.score(documents(spark, tmp_path / "more", [*more, (held[0] + 10**6, "", "en", "s")])).where(F.col("doc_id") == held[0]).first()
+    gap = short["score"] - short["base_score"]
+    assert gap > 40  # the passage's 40 words, by their contexts of three words
+
+
 # The pipeline
 
 
