@@ -3,8 +3,10 @@ Hamming tables to retrieve, original vectors to decide.
 
 The codes of several rotations are cut into tables of `width` bits. Vectors that agree on one table meet in its bucket,
 where their cosines are taken in double precision and counted; a pair that agrees on several tables counts in the first.
-The number of tables follows from the width: a bit of a rotation separates two vectors at angle t with probability t / pi,
-so a pair at the threshold agrees on a table with probability p = (1 - t / pi)^width and on one of n with 1 - (1 - p)^n.
+A bit of a rotation separates two centred vectors at angle t with probability t / pi, so a pair agrees on a table with
+probability p = (1 - t / pi)^width and on one of n with 1 - (1 - p)^n. The angle is that seen from the mean, which is wider
+than the pair's own where vectors share a direction. Pairs exactly at the threshold are made from sampled vectors; width
+and number of tables follow from their angles, and tables are added until their codes meet as often as is aimed at.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SAMPLE = 8192  # vectors that the rotations are learned from
 ITERATIONS = 20
 RECALL = 0.97  # aimed at for a pair exactly at the threshold
 BLOCK = 1024
+PAIRS = 2000  # made at the threshold, of each kind, to size tables by
+ROW = 64  # cosines that cost as much as a row in a table
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +42,7 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.n
     axes = np.linalg.svd(centred.T @ centred)[0]
     rng, out, got = np.random.default_rng(seed), [], 0
     low = centred @ axes
-    while got < bits:
+    while got < max(bits, 1):
         turn = np.linalg.qr(rng.standard_normal((axes.shape[1],) * 2))[0]
         for _ in range(ITERATIONS):
             u, _, vt = np.linalg.svd(low.T @ np.where(low @ turn >= 0, 1.0, -1.0))
@@ -48,6 +52,57 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.n
     return mean, np.concatenate(out, axis=1)[:, :bits]
 
 
+def _pairs(sample: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled vectors with made partners exactly at the threshold, away in any direction or in that of another vector."""
+    rng, distinct = np.random.default_rng(5), np.unique(sample, axis=0)
+    x, other = (distinct[rng.integers(len(distinct), size=PAIRS)] for _ in range(2))
+    out = []
+    for away in (rng.standard_normal(x.shape), other):
+        away = away - (away * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(away, axis=1)
+        ok = length > 1e-6
+        if ok.any():
+            out.append((x[ok], threshold * x[ok] + math.sqrt(max(0.0, 1 - threshold * threshold)) * away[ok] / length[ok, None]))
+    return out
+
+
+def _tables(agree: list[np.ndarray], width: int, most: int) -> int:
+    """Least number of tables with the recall aimed at for each kind of pairs, given how likely they agree on a bit."""
+    recall = lambda n: min((np.mean(1 - (1 - a**width) ** n) for a in agree), default=1.0)
+    low, high = 1, 1
+    while high < most and recall(high) < RECALL:
+        low, high = high + 1, high * 2
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if recall(mid) >= RECALL else (mid + 1, high)
+    return low
+
+
+def fitted(sample: np.ndarray, threshold: float, rows: int, width: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
+    """((mean, projections), tables, width). The width is that of least work unless it is given: a row in each table and
+    a cosine with each other vector of its bucket. A width of 0 compares all with all."""
+    mean, pairs, agree = sample.mean(axis=0), _pairs(sample, threshold), []
+    for x, y in pairs:
+        a, b = x - mean, y - mean
+        size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        cosine = np.divide((a * b).sum(axis=1), size, out=np.zeros(len(a)), where=size > 1e-12)
+        agree.append(1 - np.arccos(np.clip(cosine, -1, 1)) / math.pi)
+    work = lambda w: _tables(agree, w, ROW + rows) * (ROW + rows / 2**w)
+    if width is None:
+        width = min(range(min(24, max(12, math.ceil(math.log2(rows + 1)))), -1, -1), key=work)
+    tables = _tables(agree, width, ROW + rows)
+    while True:
+        mean, projections = learn_rotations(sample, tables * width)
+        met = [np.zeros(len(x), bool) for x, _ in pairs]
+        for t in range(0, tables * width, max(width, 1)):
+            part = projections[:, t : t + width]
+            for m, (x, y) in zip(met, pairs):
+                m |= (((x - mean) @ part >= 0) == ((y - mean) @ part >= 0)).all(axis=1)
+        if width == 0 or tables >= ROW + rows or min((m.mean() for m in met), default=1.0) >= RECALL:
+            return (mean, projections), tables, width
+        tables += math.ceil(tables / 8)
+
+
 def _units(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(row numbers, unit vectors in double) of those rows that have a direction."""
     rows, out = [], []
@@ -153,8 +208,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     component_id null, kept true. Equal vectors, also under one id, are separate vectors and linked. Other columns are
     ignored; an empty table gives none.
 
-    No pair below the threshold is ever linked. Of those above, recall at the threshold itself is RECALL or more, and
-    nearer pairs miss less: the tests measure it against brute force. Equal vectors are folded into one with a weight
+    No pair below the threshold is ever linked. Of those above, recall at the threshold itself is RECALL or more on the pairs
+    made from the sample, also where vectors share a direction, and nearer pairs miss less: the tests measure it against
+    brute force. Equal vectors are folded into one with a weight
     before anything meets; buckets of any size are compared whole, in blocks, as counts and not as pairs.
     """
     spark = vectors.sparkSession
@@ -164,15 +220,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if sizes is None:
         return lonely.withColumnRenamed("id", id_col)
     dim = sizes["d"]
-    width = width or min(24, max(12, math.ceil(math.log2(sizes["count"] + 1))))
-    agree = (1 - math.acos(threshold) / math.pi) ** width
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree))
     usable = plain.where("id is not null").select("id", F.col("v").cast("array<double>").alias("v"))
     drawn = usable.where(F.size("v") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
     sample = _units(drawn, dim)[1]
     if not len(sample):
         return lonely.withColumnRenamed("id", id_col)
-    model = spark.sparkContext.broadcast(learn_rotations(sample, tables * width))
+    model, tables, width = fitted(sample, threshold, sizes["count"], width)
+    model = spark.sparkContext.broadcast(model)
     coded = saved(usable.mapInArrow(_codes(dim, tables, width, model), "id long, unit binary, code binary, keys array<int>"))
     classes = saved(coded.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("code").alias("code"), F.first("keys").alias("keys")))
     keyed = classes.select("rep", F.posexplode("keys").alias("t", "key"))

@@ -169,6 +169,26 @@ def test_recall_at_the_threshold(spark):
     assert got / 2 >= 0.9 * 700
 
 
+@pytest.mark.parametrize("norm", [0.8, 0.9])
+def test_recall_where_vectors_share_a_direction(spark, norm):
+    """Pairs at a cosine of 0.95 to 0.96 among vectors with a strong mean."""
+    rng = np.random.default_rng(9)
+    unit = lambda v: v / np.linalg.norm(v)
+    shared, rows = unit(rng.standard_normal(64)), []
+    for _ in range(1000):
+        a = rng.standard_normal(64)
+        a = norm * shared + np.sqrt(1 - norm * norm) * unit(a - a @ shared * shared)
+        b = rng.standard_normal(64)
+        b = unit(b - b @ a * a)
+        c = rng.uniform(0.9501, 0.96)
+        rows += [a, c * a + np.sqrt(1 - c * c) * b]
+    x = np.array(rows)
+    want = ((x @ x.T >= 0.95).sum() - len(x)) / 2
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = embed_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0] / 2
+    assert 0.95 * want <= got <= want
+
+
 def test_vectors_repeated_rows_and_empty_tables(spark):
     schema = "vec_id long, embedding array<float>"
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (3, [0.0, 1.0])]
