@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame
 from . import html_training
 
 _TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-_DROP = "head|script|style|noscript|template|title|svg|math|iframe|object|canvas|audio|video|textarea|select"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_DROP})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|{_TAG}", re.S | re.I)
+# Elements without text of the page. Of those in RAW nothing but their own end tag is markup.
+RAW = frozenset("script style textarea title".split())
+DROPPED = frozenset("head noscript template svg math iframe object canvas audio video select".split())
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|{_TAG}", re.S)
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|data-main)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 # Elements that end a block; those of CONTAINERS also hold others.
 CONTAINERS = frozenset("html body main article section div nav header footer aside form menu dialog fieldset ul ol dl table figure details blockquote address".split())
@@ -32,6 +35,10 @@ APART_NAMES = frozenset(
 )
 
 
+# What a head may hold; any other tag ends it.
+IN_HEAD = frozenset("meta link base basefont bgsound noscript template script style title".split())
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -58,10 +65,57 @@ def _names(attributes: str) -> tuple[bool, bool]:
     return apart, label
 
 
+class Tag(NamedTuple):
+    start: int
+    end: int  # of a raw element that of the whole
+    name: str  # empty for comments and the like
+    closing: bool
+    attributes: str
+
+
+def _tags(page: str) -> list[Tag]:
+    """Raw elements run to their end tag; where none follows they are a tag only."""
+    out: list[Tag] = []
+    at, endless = 0, set()
+    while m := _TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name in RAW and not m[1] and name not in endless:
+            if end := _END[name].search(page, at):
+                at = end.end()
+            else:
+                endless.add(name)
+        out.append(Tag(m.start(), at, name, bool(m[1]), m[3] or ""))
+    return out
+
+
+def _dropped(tags: list[Tag]) -> dict[int, int]:
+    """Where elements without text begin and end, as places in `tags`. A head ends at the first tag of a body. Of the
+    others those that are closed in themselves, or have no end tag before the next edge of an article, a main element or
+    the body, are dropped as a tag only."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, tag in enumerate(tags):
+        if tag.name in ("article", "main", "body", "html"):
+            opened.clear()
+        elif tag.name in DROPPED and tag.name != "head":
+            if not tag.closing and not tag.attributes.rstrip().endswith("/"):
+                opened.setdefault(tag.name, []).append(i)
+            elif tag.closing and opened.get(tag.name):
+                ends[opened[tag.name].pop()] = i
+    for i, tag in enumerate(tags):
+        if tag.name == "head" and not tag.closing:
+            j = i + 1
+            while j < len(tags) and (not tags[j].name or not tags[j].closing and tags[j].name in IN_HEAD):
+                j = ends.get(j, j) + 1
+            ends[i] = j if j < len(tags) and tags[j].closing and tags[j].name == "head" else j - 1
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Elements that are opened more often than closed set nothing apart."""
-    tokens = list(_TOKEN.finditer(page))
-    seen = Counter((m[3].lower(), bool(m[2])) for m in tokens if m[3])
+    tags = _tags(page)
+    ends = _dropped(tags)
+    seen = Counter((tag.name, tag.closing) for tag in tags if tag.name)
     lost = {name for name in CONTAINERS if seen[name, False] > seen[name, True]}
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, apart, main
@@ -78,16 +132,19 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked.clear()
 
-    for m in tokens:
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-            if in_link:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    until = -1
+    for i, (start, end, name, closing, attributes) in enumerate(tags):
+        if i <= until:
+            at = end
             continue
-        name, closing = m[3].lower(), bool(m[2])
-        if name == "a":
+        if start > at:
+            parts.append(page[at:start])
+            if in_link:
+                linked.append(page[at:start])
+        at = end
+        if name in DROPPED:
+            until = ends.get(i, -1)
+        elif name == "a":
             in_link = not closing
         elif name == "br":
             parts.append(" ")
@@ -99,7 +156,7 @@ def blocks(page: str) -> list[Block]:
                 if where is not None:
                     del stack[where:]
             elif not closing:
-                apart, label = _names(m[4]) if m[4].strip() else (False, False)
+                apart, label = _names(attributes) if attributes.strip() else (False, False)
                 if name in CONTAINERS:
                     outer = stack[-1] if stack else ("", False, False)
                     # the head of an article is not the page's
@@ -178,8 +235,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of `pages`: id, url, text (blocks of the article in order, joined by two line ends; empty if
     there is none), n_chars (code points).
 
-    Scripts, styles, heads and comments are dropped, character references decoded, white space inside a block becomes
-    one space. Null and empty html gives an empty text; pages of any length are read whole; broken markup never fails.
+    Scripts, styles, heads, comments and embedded elements are dropped, the tag alone where one never ends; character
+    references are decoded, white space inside a block becomes one space. Null and empty html gives an empty text; pages of any length are read whole; broken markup never fails.
     Null ids and urls and repeated rows go through as they are. Other columns are ignored; an empty table gives none.
     """
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]

@@ -92,6 +92,20 @@ def test_pages_keep_the_article_and_nothing_else(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+STORY = "The committee met again on Tuesday to settle how the river should be measured, who would keep the records, and what should happen next."
+
+
+def test_elements_that_never_end_take_nothing_with_them():
+    article = f"<article><h1>Rivers</h1><p>{STORY}</p><p>{STORY}</p></article>"
+    want = f"Rivers\n\n{STORY}\n\n{STORY}"
+    for before in ("<html><head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title>", "<svg/>", "<svg><path d='1'>", "<iframe src=x>", "<canvas/>", "<object data=x>", "<video src=x>", "<select><option>", "<title>", "<script>",
+                   "<head><script>'<p>'</script></head><svg><text>never</text></svg>", "<head><noscript><p>never</p></noscript></head>"):
+        for after in ("", "<svg></svg><iframe></iframe><canvas></canvas><object></object><video></video><select></select>"):
+            assert html_text.main_text(before + article + after).endswith(want), (before, after)
+            assert "never" not in html_text.main_text(before + article + after)
+    assert html_text.blocks("<script>" * 100_000 + "<head>" * 100_000) == []  # in linear time
+
+
 def test_decision_tree_on_pages_it_has_not_seen():
     """Each labelled page by a tree grown from the others."""
     from proofyard.llm.html_training import PAGES
