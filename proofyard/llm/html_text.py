@@ -7,7 +7,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +34,8 @@ APART_NAMES = frozenset(
     complementary contentinfo alert dialog hidden""".split()
 )
 
+# Words that go with these in a name: a name sets apart if it has no other words.
+BESIDES = frozenset("top bottom left right main site global primary secondary inner outer wrapper wrap container box area block bar list widget widgets links icons posts unit slot".split())
 
 # What a head may hold; any other tag ends it.
 IN_HEAD = frozenset("meta link base basefont bgsound noscript template script style title".split())
@@ -49,20 +51,28 @@ class Block(NamedTuple):
     label: bool  # marked in the labelled table
 
 
-def _names(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id, role or style set an element apart, and whether it is marked as main in the labelled table."""
-    apart = label = False
+@lru_cache(1 << 14)
+def _sets_apart(name: str) -> bool:
+    """Whether a class, an id or a role as a whole is one of those that set apart."""
+    parts = [w for w in re.split(r"[^a-z]+", name) if w]
+    return not APART_NAMES.isdisjoint(parts) and all(w in APART_NAMES or w in BESIDES for w in parts)
+
+
+def _names(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role set an element apart, whether it is hidden, and whether it is marked as main in the
+    labelled table."""
+    apart = hidden = label = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "data-main":
             label = True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            apart = True
+            hidden = True
         elif name == "style":
-            apart |= re.search(r"display\s*:\s*none", value) is not None
+            hidden |= re.search(r"display\s*:\s*none", value) is not None
         else:
-            apart |= not APART_NAMES.isdisjoint(re.split(r"[^a-z]+", value))
-    return apart, label
+            apart |= any(map(_sets_apart, value.split()))
+    return apart, hidden, label
 
 
 class Tag(NamedTuple):
@@ -111,10 +121,51 @@ def _dropped(tags: list[Tag]) -> dict[int, int]:
     return ends
 
 
+def _spared(page: str, tags: list[Tag], ends: dict[int, int]) -> set[int]:
+    """Containers, as places in `tags`, whose names set nothing apart: html, body, those around an article or main element
+    and those with most of the page's words."""
+    out: set[int] = set()
+    stack: list[tuple[str, int, int, int]] = []  # name, place, words and outermost articles before it
+    spans: list[tuple[int, int]] = []
+    words = inside = articles = at = 0
+    until = -1
+
+    def leave(entry: tuple[str, int, int, int]) -> int:
+        name, i, before, had = entry
+        spans.append((i, words - before))
+        if articles > had and name not in ("article", "main"):
+            out.add(i)
+        return name in ("article", "main")
+
+    for i, tag in enumerate(tags):
+        if i > until:
+            words += len(page[at : tag.start].split())
+            if tag.name in DROPPED:
+                until = ends.get(i, -1)
+            elif tag.name in CONTAINERS and not tag.closing:
+                stack.append((tag.name, i, words, articles))
+                if tag.name in ("html", "body"):
+                    out.add(i)
+                elif tag.name in ("article", "main"):
+                    articles += inside == 0
+                    inside += 1
+            elif tag.name in CONTAINERS and tag.closing:
+                where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag.name), None)
+                if where is not None:
+                    inside -= sum(leave(x) for x in stack[where:])
+                    del stack[where:]
+        at = tag.end
+    words += len(page[at:].split())
+    for x in stack:
+        leave(x)
+    return out | {i for i, n in spans if 2 * n > words}
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Elements that are opened more often than closed set nothing apart."""
     tags = _tags(page)
     ends = _dropped(tags)
+    spared = _spared(page, tags, ends)
     seen = Counter((tag.name, tag.closing) for tag in tags if tag.name)
     lost = {name for name in CONTAINERS if seen[name, False] > seen[name, True]}
     out: list[Block] = []
@@ -156,7 +207,8 @@ def blocks(page: str) -> list[Block]:
                 if where is not None:
                     del stack[where:]
             elif not closing:
-                apart, label = _names(attributes) if attributes.strip() else (False, False)
+                named, hidden, label = _names(attributes) if attributes.strip() else (False, False, False)
+                apart = named and i not in spared or hidden and name not in ("html", "body")
                 if name in CONTAINERS:
                     outer = stack[-1] if stack else ("", False, False)
                     # the head of an article is not the page's

@@ -106,6 +106,20 @@ def test_elements_that_never_end_take_nothing_with_them():
     assert html_text.blocks("<script>" * 100_000 + "<head>" * 100_000) == []  # in linear time
 
 
+def test_names_of_wrappers_do_not_set_the_article_apart():
+    inner = f"<h1>Rivers</h1><p>{STORY}</p><p>{STORY}</p>"
+    want = f"Rivers\n\n{STORY}\n\n{STORY}"
+    other = f'<div class="site-footer"><p>{STORY}</p></div><div id="sidebar-right"><p>{STORY}</p></div>'
+    article = f"<article>{inner}</article>"
+    for page in (f'<html class="no-touch menu"><body class="has-sidebar">{article}{other}</body></html>', f'<body class="sidebar"><div id="page" class="with-footer menu-open">{article}{other}</div></body>', f'<body style="display:none"><div class="sidebar">{article}</div>{other}</body>',
+                 f'<body><article><div class="post-header"><h1>Rivers</h1></div><p>{STORY}</p><p>{STORY}</p></article>{other}</body>', f'<body><div class="navigation"><main>{inner}</main></div>{other}</body>'):
+        assert html_text.main_text(page) == want, page
+    # most of the words, without an article element
+    assert html_text.main_text(f'<body><div class="sidebar"><div>{inner}<p>{STORY}</p></div></div>{other}</body>').startswith(want)
+    # inside an article names count as before
+    assert html_text.main_text(f'<body><article>{inner}<div class="comments"><article><p>{STORY}</p></article></div></article></body>') == want
+
+
 def test_decision_tree_on_pages_it_has_not_seen():
     """Each labelled page by a tree grown from the others."""
     from proofyard.llm.html_training import PAGES
