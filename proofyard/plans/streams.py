@@ -96,7 +96,7 @@ def stream_build(spark, d):
 @query("SELECT sequence_number, canonical_hash FROM f_documents")
 def stream_ship(spark, d):
     path = folder(spark)
-    docs = fx.documents(spark, d).select("sequence_number", "canonical_hash", F.substring("data", 1, 100).alias("data"))
+    docs = fx.documents(spark, d).select("sequence_number", "canonical_hash", "data")
     loops.ship(as_stream(docs.unionByName(docs.where("sequence_number % 9 = 0")), path + "/in", order="sequence_number"), path + "/out", path + "/state").awaitTermination()
     return spark.read.parquet(path + "/out").select("sequence_number", "canonical_hash")
 
