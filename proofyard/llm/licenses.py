@@ -4,11 +4,12 @@ ancestor directory with a licence file, all as joins."""
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, near, saved
+from .shared import LOWER, UPPER, ascii_lower, near, saved
 
 # The notices by which licences are named in files.
 TEMPLATES = {
@@ -38,6 +39,7 @@ COSINE = 0.6
 # Words of the templates that tell nothing of licences; only lines with another word of them are compared.
 COMMON = frozenset("a an and any are as at be by can charge dealt except following for free in is it later may not obtain of or person published that the this to under use with without you your".split())
 BROADCAST_DIRS = 100_000
+_LOWER = str.maketrans(UPPER, LOWER)
 _TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
 
 
@@ -56,6 +58,48 @@ def _cosines(units: DataFrame, idf: DataFrame, templates: DataFrame, unseen: flo
     return best.select("file", "unit", "best.licence", "best.score")
 
 
+def _heavy(weights: dict[str, float]) -> tuple[list[str], int]:
+    """Of a template's words those of which a text at COSINE or more holds one at least, and how many it holds at least."""
+    ordered = sorted(weights.items(), key=lambda x: (-x[1], x[0]))
+    squares = [w * w for _, w in ordered]
+    bound = COSINE * COSINE * sum(squares) * (1 - 1e-9)
+    anchors = next(i for i in range(1, len(squares) + 1) if sum(squares[i:]) < bound)
+    needed = next(i for i in range(1, len(squares) + 1) if sum(squares[:i]) >= bound)
+    return [t for t, _ in ordered[:anchors]], needed
+
+
+def _windows(some: DataFrame, listed: list[tuple[str, str, list[str]]], idf: dict[str, float]) -> DataFrame:
+    """(file, licence, score): of every file the best run of as many words as a template has, wherever it begins or ends.
+
+    A run is laid so that one of the template's heavy words, of which it must hold one, is in its place. Words that are
+    not the template's weigh as its heaviest one, so what other files or neighbouring sentences hold does not count."""
+    spark, rows, words = some.sparkSession, [], []
+    for template, licence, text in listed:
+        weights = {t: text.count(t) * idf[t] for t in text}
+        anchors, needed = _heavy(weights)
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        rows += [(t, template, licence, q, len(text), sorted(weights), needed, max(idf[t] for t in text)) for q, t in enumerate(text) if t in anchors]
+        words += [(template, t, idf[t], w / norm) for t, w in weights.items()]
+    laid = spark.createDataFrame(rows, "anchor string, template string, licence string, q int, length int, own array<string>, needed int, foreign double")
+    own = spark.createDataFrame(words, "template string, token string, idf double, tw double")
+    longest = max(len(text) for _, _, text in listed)
+    heavy = F.array(*map(F.lit, sorted({r[0] for r in rows})))
+    # a stretch of words around each anchor; its first word is number `lo` of the text
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(heavy, F.get("words", i)))
+    around = lambda i: F.struct(
+        F.get("words", i).alias("anchor"), i.alias("at"), F.greatest(i - longest, F.lit(0)).alias("lo"), F.slice("words", F.greatest(i - longest, F.lit(0)) + 1, F.lit(2 * longest + 1)).alias("around"))
+    found = some.where(F.arrays_overlap("words", heavy)).select("file", F.explode(F.transform(places, around)).alias("x")).select("file", "x.*")
+    found = found.join(F.broadcast(laid), "anchor").withColumn("start", F.col("at") - F.col("q"))
+    first = F.greatest(F.col("start"), F.lit(0))
+    run = F.slice("around", first - F.col("lo") + 1, F.col("start") + F.col("length") - first)
+    found = found.select("file", "template", "licence", "start", "own", "needed", "foreign", run.alias("run")).where(F.size(F.array_intersect("run", "own")) >= F.col("needed"))
+    counts = found.dropDuplicates(["file", "template", "start"]).select("file", "template", "licence", "start", "foreign", F.explode("run").alias("token"))
+    counts = counts.groupBy("file", "template", "licence", "start", "foreign", "token").agg(F.count("*").alias("tf"))
+    weighed = counts.join(F.broadcast(own), ["template", "token"], "left").withColumn("w", F.col("tf") * F.coalesce("idf", "foreign"))
+    scores = weighed.groupBy("file", "licence", "template", "start").agg((F.sum(F.col("w") * F.coalesce("tw", F.lit(0.0))) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
+    return scores.where(F.col("score") >= COSINE).select("file", "licence", F.round("score", 9).alias("score"))
+
+
 def _reaches(words: Column, idf: dict[str, float], unseen: float) -> Column:
     """Whether a unit's cosine to any template can reach COSINE: it is at most the length of the unit's part inside the
     templates' words, over its whole length, to which each other word adds the weight of an unseen one or more."""
@@ -73,7 +117,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     """One row per row of `files`: path, licence, score, origin (file, header, inherited or null), inherited_from.
 
     A file whose whole text is like a template is a licence file, also one named so with a header in it; it speaks for
-    itself and its directory. Else the most similar line of the text that holds a telling word decides (header). A file
+    itself and its directory. Else the most similar line of the text that holds a telling word, or run of as many words as a
+    template has, over any lines and sentences, decides (header). A file
     without either takes the licence of the nearest directory above it, its own first, that has a licence file; of
     several there the most similar, then the smallest path.
 
@@ -108,6 +153,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     lines = some.select("file", F.posexplode(F.split("text", "\n")).alias("unit", "line")).withColumn("words", tokens(F.col("line")))
     reaches = _reaches(F.col("words"), exact, unseen)
     headers = _cosines(lines.where(F.arrays_overlap("words", rare)).where(reaches).select("file", "unit", "words"), idf, weights, unseen)
+    read = [(template, name, re.findall(_TOKEN, text.translate(_LOWER))) for template, name, text in listed]
+    headers = headers.select("file", "licence", "score").unionByName(_windows(some, [x for x in read if x[2]], exact))
     headers = headers.groupBy("file").agg(F.max(F.struct("score", "licence")).alias("header"))
     wholes = some.select("file", F.lit(0).alias("unit"), "words").where(reaches)
     wholes = _cosines(wholes, idf, weights, unseen).select("file", F.struct("score", "licence").alias("whole"))

@@ -74,6 +74,23 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [80, 4000])
+def test_notices_inside_lines_and_over_lines(spark, n):
+    prose = "we went to the river and saw many boats there before noon "
+    cases = {
+        "Copyright 2024 Jane Doe. Released under the MIT License.": "MIT",
+        prose * 20 + "Released under the MIT License. " + prose * 20: "MIT",
+        "/* x=1 */ function f(){return 7} // Licensed under CC BY-NC 4.0. var y=f()": "CC-BY-NC-4.0",
+        prose + "\n * This work is licensed under\n * the GNU General Public\n * License, version 3.\n" + prose: "GPL-3.0",
+        prose * 3: None,
+        "he lost his driving license under the bridge " + prose: None,
+    }
+    rows = [(f"f{i}/x", t) for i, t in enumerate(cases)] + [(f"z{i}/y", f"plain text number {i} of the set and more") for i in range(n)]
+    got = {r["path"]: r["licence"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"f{i}/x"] for i in range(len(cases))] == list(cases.values())
+    assert not any(v for p, v in got.items() if p.startswith("z"))
+
+
 # Pages
 
 
