@@ -91,6 +91,18 @@ def test_notices_inside_lines_and_over_lines(spark, n):
     assert not any(v for p, v in got.items() if p.startswith("z"))
 
 
+def test_near_templates_are_told_apart(spark):
+    cases = {
+        "All rights reserved.": "All-Rights-Reserved", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "This is free and unencumbered software released into the public domain.": "Unlicense", "Licensed under the ISC License.": "ISC",
+    }
+    rows = [(f"f{i}/x", f"we saw boats\n{t}\nbefore noon") for i, t in enumerate(cases)] + [(f"z{i}/y", f"plain text number {i} of the set and more") for i in range(80)]
+    got = {r["path"]: r["licence"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[f"f{i}/x"] for i in range(len(cases))] == list(cases.values())
+    assert not any(v for p, v in got.items() if p.startswith("z"))
+
+
 # Pages
 
 
