@@ -1,5 +1,5 @@
 """Main text of web pages: flat blocks of text, told apart by a decision tree on the words and link density of a block
-and its neighbours, and on whether the page's own markup sets the block apart."""
+and its neighbours, with what the page's own markup says of the block as further features."""
 
 from __future__ import annotations
 
@@ -16,18 +16,22 @@ from pyspark.sql import DataFrame
 
 from . import html_training
 
-_TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+# A tag ends at its >, or where the next one begins, so that no search for an end goes beyond that; quotes that are never
+# closed are characters. What may be repeated is possessive: the time is in proportion to the page.
+_NAME = "(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"
+_STOP = r"(?:>|(?=<)|\Z)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<{_NAME}((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+){_STOP}|<{_NAME}([^<>]*+){_STOP}|<[!?/][^<>]*+{_STOP}", re.S)
 # Elements without text of the page. Of those in RAW nothing but their own end tag is markup.
 RAW = frozenset("script style textarea title".split())
-DROPPED = frozenset("head noscript template svg math iframe object canvas audio video select".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|{_TAG}", re.S)
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|data-main)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+DROPPED = frozenset("head template svg iframe audio video select".split())
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
+_ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|data-main)\b(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.I)
 # Elements that end a block; those of CONTAINERS also hold others.
 CONTAINERS = frozenset("html body main article section div nav header footer aside form menu dialog fieldset ul ol dl table figure details blockquote address".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot pre hr figcaption summary legend label button option center".split())
 APART = frozenset("nav header footer aside form menu dialog fieldset button label".split())
-# Words of class and id names, and roles, by which authors set parts of a page apart.
+WRAPS = frozenset("form fieldset header dialog menu".split())  # of these some hold the whole page
+# Words of class and id names, and roles, by which authors set parts of a page apart: one feature among others.
 APART_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay sidebar menu nav navbar navigation breadcrumb
     breadcrumbs footer header masthead comment comments disqus respond share sharing social related recommended newsletter subscribe signup login search toolbar pagination pager widget skip copyright
@@ -45,7 +49,8 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int  # words inside links
-    apart: bool  # by the markup around it
+    apart: bool  # by the elements around it
+    named: bool  # by the names of these
     main: bool  # inside an article or main element
     heading: bool
     label: bool  # marked in the labelled table
@@ -88,13 +93,14 @@ def _tags(page: str) -> list[Tag]:
     out: list[Tag] = []
     at, endless = 0, set()
     while m := _TOKEN.search(page, at):
-        at, name = m.end(), (m[2] or "").lower()
-        if name in RAW and not m[1] and name not in endless:
+        name = (m[2] or m[5] or "").lower()
+        at, closing = m.end(), bool(m[1] or m[4])
+        if name in RAW and not closing and name not in endless:
             if end := _END[name].search(page, at):
                 at = end.end()
             else:
                 endless.add(name)
-        out.append(Tag(m.start(), at, name, bool(m[1]), m[3] or ""))
+        out.append(Tag(m.start(), at, name, closing, m[3] or m[6] or ""))
     return out
 
 
@@ -125,6 +131,7 @@ def _spared(page: str, tags: list[Tag], ends: dict[int, int]) -> set[int]:
     """Containers, as places in `tags`, whose names set nothing apart: html, body, those around an article or main element
     and those with most of the page's words."""
     out: set[int] = set()
+    opened: Counter[str] = Counter()
     stack: list[tuple[str, int, int, int]] = []  # name, place, words and outermost articles before it
     spans: list[tuple[int, int]] = []
     words = inside = articles = at = 0
@@ -132,6 +139,7 @@ def _spared(page: str, tags: list[Tag], ends: dict[int, int]) -> set[int]:
 
     def leave(entry: tuple[str, int, int, int]) -> int:
         name, i, before, had = entry
+        opened[name] -= 1
         spans.append((i, words - before))
         if articles > had and name not in ("article", "main"):
             out.add(i)
@@ -144,16 +152,18 @@ def _spared(page: str, tags: list[Tag], ends: dict[int, int]) -> set[int]:
                 until = ends.get(i, -1)
             elif tag.name in CONTAINERS and not tag.closing:
                 stack.append((tag.name, i, words, articles))
+                opened[tag.name] += 1
                 if tag.name in ("html", "body"):
                     out.add(i)
                 elif tag.name in ("article", "main"):
                     articles += inside == 0
                     inside += 1
-            elif tag.name in CONTAINERS and tag.closing:
-                where = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag.name), None)
-                if where is not None:
-                    inside -= sum(leave(x) for x in stack[where:])
-                    del stack[where:]
+            elif tag.name in CONTAINERS and tag.closing and opened[tag.name]:
+                while True:
+                    left = stack.pop()
+                    inside -= leave(left)
+                    if left[0] == tag.name:
+                        break
         at = tag.end
     words += len(page[at:].split())
     for x in stack:
@@ -161,25 +171,38 @@ def _spared(page: str, tags: list[Tag], ends: dict[int, int]) -> set[int]:
     return out | {i for i, n in spans if 2 * n > words}
 
 
+def _linked(tags: list[Tag]) -> set[int]:
+    """Links, as places in `tags`, that end before the next one begins."""
+    out, last = set(), None
+    for i, tag in enumerate(tags):
+        if tag.name == "a":
+            if tag.closing and last is not None:
+                out.add(last)
+            last = None if tag.closing else i
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Elements that are opened more often than closed set nothing apart."""
     tags = _tags(page)
     ends = _dropped(tags)
     spared = _spared(page, tags, ends)
+    closed = _linked(tags)
     seen = Counter((tag.name, tag.closing) for tag in tags if tag.name)
     lost = {name for name in CONTAINERS if seen[name, False] > seen[name, True]}
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, apart, named, main
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    in_link, own_apart, heading, label, at = False, False, False, False, 0
+    in_link, whole_link, own_apart, own_named, heading, label, at = False, False, False, False, False, False, 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             n = len(text.split(" "))
-            apart, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), apart or own_apart, main, heading, label))
+            _, apart, named, main = stack[-1] if stack else ("", False, False, False)
+            out.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), apart or own_apart, named or own_named, main, heading, label))
         parts.clear()
         linked.clear()
 
@@ -197,38 +220,43 @@ def blocks(page: str) -> list[Block]:
             until = ends.get(i, -1)
         elif name == "a":
             in_link = not closing
+            whole_link = i in closed
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
             close()
-            in_link, own_apart, heading, label = False, False, False, False
+            in_link, own_apart, own_named, heading, label = in_link and whole_link, False, False, False, False
             if name in CONTAINERS and closing:
-                where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if where is not None:
-                    del stack[where:]
+                while opened[name]:
+                    left = stack.pop()[0]
+                    opened[left] -= 1
+                    if left == name:
+                        break
             elif not closing:
                 named, hidden, label = _names(attributes) if attributes.strip() else (False, False, False)
-                apart = named and i not in spared or hidden and name not in ("html", "body")
+                named &= i not in spared
+                hidden &= name not in ("html", "body")
                 if name in CONTAINERS:
-                    outer = stack[-1] if stack else ("", False, False)
+                    _, apart, outer_named, main = stack[-1] if stack else ("", False, False, False)
                     # the head of an article is not the page's
-                    sets = name not in lost and (name in APART and not (name == "header" and outer[2]) or apart)
-                    stack.append((name, outer[1] or sets, outer[2] or name in ("article", "main")))
+                    sets = name in APART and name not in lost and not (name == "header" and main) and not (name in WRAPS and i in spared) or hidden
+                    stack.append((name, apart or sets, outer_named or named and name not in lost, main or name in ("article", "main")))
+                    opened[name] += 1
                 else:
-                    own_apart, heading = apart or name in APART, re.fullmatch("h[1-6]", name) is not None
+                    own_apart, own_named, heading = hidden or name in APART, named, re.fullmatch("h[1-6]", name) is not None
     parts.append(page[at:])
     close()
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "apart", "in main", "page has main", "heading")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "apart", "named", "in main", "page has main", "heading")
 
 
 def features(page: list[Block]) -> np.ndarray:
     own = np.array([(b.words, b.linked / b.words) for b in page]).reshape(-1, 2)
     around = np.vstack([np.zeros((1, 2)), own, np.zeros((1, 2))])
     has = any(b.main for b in page)
-    rest = np.array([(b.apart, b.main, has, b.heading) for b in page], dtype=float).reshape(-1, 4)
+    rest = np.array([(b.apart, b.named, b.main, has, b.heading) for b in page], dtype=float).reshape(-1, 5)
     return np.hstack([own, around[:-2], around[2:], rest])
 
 
@@ -239,11 +267,12 @@ class Node(NamedTuple):
     right: Node | bool
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node | bool:
-    """A binary tree that splits by Gini impurity, first feature and lowest threshold on ties."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 4, gain: float = 2.0) -> Node | bool:
+    """A binary tree that splits by Gini impurity, first feature and lowest threshold on ties, while that lessens the
+    impurity, summed over blocks, by `gain` or more."""
     if depth == 0 or len(y) < 2 * least or y.all() or not y.any():
         return bool(y.mean() >= 0.5)
-    best = (2 * len(y) * y.mean() * (1 - y.mean()) - 1e-9, None, None)
+    best = (2 * len(y) * y.mean() * (1 - y.mean()) - gain, None, None)
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for at in (values[1:] + values[:-1]) / 2:
@@ -257,7 +286,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node |
     if best[1] is None:
         return bool(y.mean() >= 0.5)
     low = x[:, best[1]] <= best[2]
-    return Node(best[1], best[2], grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
+    return Node(best[1], best[2], grow(x[low], y[low], depth - 1, least, gain), grow(x[~low], y[~low], depth - 1, least, gain))
 
 
 @cache
