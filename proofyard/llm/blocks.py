@@ -24,6 +24,26 @@ def blocked(rows: DataFrame, key: list[str], member: str, count: str, size: int,
     return rows.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", member)
 
 
+def blocked_across(rows: DataFrame, key: list[str], member: str, rest: str, most: str, size: int, partitions: int) -> DataFrame:
+    """As `blocked`, for buckets whose members fall into groups, where only members of different groups are compared.
+
+    `most` marks members of the bucket's largest group, `rest` and `n` hold how many are in it and in the bucket.
+    Members of the largest group are not compared with each other: each goes to as many blocks as the others fill, each
+    other to as many as the bucket fills. A stranger in a bucket of n is copied n / size times, the n only once."""
+    small, large = (F.greatest(F.ceil(x / size).cast("int"), F.lit(1)) for x in (F.col(rest), F.col("n") - F.col(rest)))
+    own = F.pmod(F.xxhash64(member), F.when(F.col(most), large).otherwise(small)).cast("int")
+    rows = rows.withColumns({"_own": own, "_small": small, "_large": large})
+    # blocks of the largest group have negative numbers
+    meets = F.when(F.col(most), F.sequence(F.lit(0), F.col("_small") - 1)).otherwise(F.concat(F.sequence(-F.col("_large"), F.lit(-1)), F.sequence(F.lit(0), F.col("_small") - 1)))
+    rows = rows.withColumn("_own", F.when(F.col(most), -1 - F.col("_own")).otherwise(F.col("_own"))).withColumn("_t", F.explode(meets))
+    rows = rows.select(
+        *[c for c in rows.columns if not c.startswith("_")],
+        F.xxhash64(*key).alias("bucket"), F.least("_own", "_t").alias("i"), F.greatest("_own", "_t").alias("j"),
+        F.when(F.col("_own") > F.col("_t"), 1).otherwise(0).alias("side"),
+    )
+    return rows.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", member)
+
+
 def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames of one (bucket, i, j) each, with two rows or more, from a partition that `blocked` has sorted."""
     rest = None

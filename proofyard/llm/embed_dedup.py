@@ -2,7 +2,8 @@
 Hamming tables to retrieve, original vectors to decide.
 
 The codes of several rotations are cut into tables of `width` bits. Vectors that agree on one table meet in its bucket,
-where their cosines are taken in double precision and counted; a pair that agrees on several tables counts in the first.
+where the Hamming distance of their whole codes picks pairs within the radius of neighbours; of these cosines are taken in
+double precision and links counted. A pair that agrees on several tables counts in the first.
 A bit of a rotation separates two centred vectors at angle t with probability t / pi, so a pair agrees on a table with
 probability p = (1 - t / pi)^width and on one of n with 1 - (1 - p)^n. The angle is that seen from the mean, which is wider
 than the pair's own where vectors share a direction. Pairs exactly at the threshold are made from sampled vectors; width
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, runs
 from .graph import components
-from .shared import discard, saved
+from .shared import join_hot, saved
 
 SAMPLE = 8192  # vectors that the rotations are learned from
 ITERATIONS = 20
@@ -30,6 +31,8 @@ RECALL = 0.97  # aimed at for a pair exactly at the threshold
 BLOCK = 1024
 PAIRS = 2000  # made at the threshold, of each kind, to size tables by
 ROW = 64  # cosines that cost as much as a row in a table
+MOST_BITS = 62  # of a table: its keys are 64-bit numbers
+DENSE = 0.1  # share of pairs within the radius from which all cosines of a block are taken at once
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +81,11 @@ def _tables(agree: list[np.ndarray], width: int, most: int) -> int:
     return low
 
 
-def fitted(sample: np.ndarray, threshold: float, rows: int, width: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], int, int]:
-    """((mean, projections), tables, width). The width is that of least work unless it is given: a row in each table and
-    a cosine with each other vector of its bucket. A width of 0 compares all with all."""
+def fitted(sample: np.ndarray, threshold: float, rows: int, width: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], int, int, int]:
+    """((mean, projections), tables, width, radius). The width is that of least work unless it is given: a row in each
+    table and a cosine with each other vector of its bucket. It follows the number of rows, with no upper bound but
+    MOST_BITS. A width of 0 compares all with all. The radius is the most bits by which whole codes of made pairs differ,
+    and four deviations."""
     mean, pairs, agree = sample.mean(axis=0), _pairs(sample, threshold), []
     for x, y in pairs:
         a, b = x - mean, y - mean
@@ -89,17 +94,21 @@ def fitted(sample: np.ndarray, threshold: float, rows: int, width: int | None =
         agree.append(1 - np.arccos(np.clip(cosine, -1, 1)) / math.pi)
     work = lambda w: _tables(agree, w, ROW + rows) * (ROW + rows / 2**w)
     if width is None:
-        width = min(range(min(24, max(12, math.ceil(math.log2(rows + 1)))), -1, -1), key=work)
+        width = min(range(min(MOST_BITS, max(12, math.ceil(math.log2(rows + 1)))), -1, -1), key=work)
     tables = _tables(agree, width, ROW + rows)
     while True:
         mean, projections = learn_rotations(sample, tables * width)
         met = [np.zeros(len(x), bool) for x, _ in pairs]
+        far = [np.zeros(len(x), np.int64) for x, _ in pairs]
         for t in range(0, tables * width, max(width, 1)):
             part = projections[:, t : t + width]
-            for m, (x, y) in zip(met, pairs):
-                m |= (((x - mean) @ part >= 0) == ((y - mean) @ part >= 0)).all(axis=1)
+            for m, d, (x, y) in zip(met, far, pairs):
+                other = ((x - mean) @ part >= 0) != ((y - mean) @ part >= 0)
+                m |= ~other.any(axis=1)
+                d += other.sum(axis=1)
         if width == 0 or tables >= ROW + rows or min((m.mean() for m in met), default=1.0) >= RECALL:
-            return (mean, projections), tables, width
+            radius = max((int(d.max() + 4 * d.std()) for d in far), default=0) if width else 0
+            return (mean, projections), tables, width, radius
         tables += math.ceil(tables / 8)
 
 
@@ -118,6 +127,7 @@ def _units(column, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(dim: int, tables: int, width: int, model):
+    """For each row its unit vector, code and keys, all null for vectors without a direction and rows without an id."""
     weight = np.uint64(1) << np.arange(width, dtype=np.uint64)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +135,16 @@ def _codes(dim: int, tables: int, width: int, model):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                rows, x = _units(part.column(1).to_pylist(), dim)
-                bit = ((x - mean) @ projections >= 0).reshape(len(x), tables, width)
-                key = (bit * weight).sum(axis=2, dtype=np.uint64).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([k.tobytes() for k in key], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * tables + 1, tables, dtype=np.int32)), pa.array(key.ravel()))],
-                    ["id", "unit", "code", "keys"],
-                )
+                n = part.num_rows
+                has_id = part.column(1).is_valid().to_numpy(zero_copy_only=False)
+                rows, x = _units([v if ok else None for v, ok in zip(part.column(2).to_pylist(), has_id)], dim)
+                bit = (x - mean) @ projections >= 0
+                key = (bit.reshape(len(x), tables, width) * weight).sum(axis=2, dtype=np.uint64).view(np.int64)
+                code = np.packbits(bit, axis=1)
+                unit, codes, keys = [None] * n, [None] * n, [None] * n
+                for i, r in enumerate(rows.tolist()):
+                    unit[r], codes[r], keys[r] = x[i].tobytes(), code[i].tobytes(), key[i]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(unit, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "id", "unit", "code", "keys"])
 
     return codes
 
@@ -166,25 +178,50 @@ def _roots_between(linked: np.ndarray) -> np.ndarray:
         rows, cols = new_rows, new_cols
 
 
-def _links(threshold: float):
+def _words(codes, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as 64-bit lanes, for distances, and their keys by table, for what met before."""
+    packed = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    lanes = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+    bits = np.unpackbits(packed, axis=1, count=tables * width).reshape(len(codes), tables, width)
+    return lanes, (bits * (np.uint64(1) << np.arange(width, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+
+
+def _linked(unit: np.ndarray, lanes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, radius: int) -> np.ndarray:
+    """Which of `left` and `right` are linked: within the Hamming radius, and by cosine."""
+    near = np.empty((len(left), len(right)), bool)
+    for at in range(0, len(left), 64):
+        far = np.zeros((len(left[at : at + 64]), len(right)), np.int32)
+        for lane in lanes.T:
+            far += np.bitwise_count(lane[left[at : at + 64], None] ^ lane[None, right])
+        near[at : at + 64] = far <= radius
+    if near.mean() > DENSE:
+        return near & (unit[left] @ unit[right].T >= threshold)
+    x, y = np.nonzero(near)
+    for at in range(0, len(x), 1 << 14):
+        part = slice(at, at + (1 << 14))
+        near[x[part], y[part]] = (unit[left[x[part]]] * unit[right[y[part]]]).sum(axis=1) >= threshold
+    return near
+
+
+def _links(threshold: float, width: int, tables: int, radius: int):
     def links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in runs(frames):
             unit = np.frombuffer(b"".join(f["unit"]), np.float64).reshape(len(f), -1)
-            code = np.frombuffer(b"".join(f["code"]), np.int32).reshape(len(f), -1)
+            lanes, keys = _words(f["code"], width, tables)
             ids, weight, side, t = f["rep"].to_numpy(), f["weight"].to_numpy(), f["side"].to_numpy(), int(f["t"].iloc[0])
             same = f["i"].iloc[0] == f["j"].iloc[0]
             left = np.arange(len(f)) if same else np.flatnonzero(side == 0)
             right = left if same else np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
-            linked = unit[left] @ unit[right].T >= threshold
+            linked = _linked(unit, lanes, left, right, threshold, radius)
             if same:
                 np.fill_diagonal(linked, False)
             x, y = np.nonzero(linked)
             if t and len(x):  # pairs that met in an earlier table counted there
                 for at in range(0, len(x), 1 << 16):
                     part = slice(at, at + (1 << 16))
-                    before = (code[left[x[part]], :t] == code[right[y[part]], :t]).any(axis=1)
+                    before = (keys[left[x[part]], :t] == keys[right[y[part]], :t]).any(axis=1)
                     linked[x[part][before], y[part][before]] = False
             if not linked.any():
                 continue
@@ -205,8 +242,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do those of another
     length than the table's most common one (of equally common ones the longest). Rows without an id link with nothing:
-    component_id null, kept true. Equal vectors, also under one id, are separate vectors and linked. Other columns are
-    ignored; an empty table gives none.
+    component_id null, kept true. Equal vectors, also under one id, are separate vectors and linked; different vectors
+    under one id are linked only by their cosine. Other columns are ignored; an empty table gives none.
 
     No pair below the threshold is ever linked. Of those above, recall at the threshold itself is RECALL or more on the pairs
     made from the sample, also where vectors share a direction, and nearer pairs miss less: the tests measure it against
@@ -214,31 +251,36 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     before anything meets; buckets of any size are compared whole, in blocks, as counts and not as pairs.
     """
     spark = vectors.sparkSession
-    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    plain = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     sizes = plain.where("v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     lonely = plain.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if sizes is None:
         return lonely.withColumnRenamed("id", id_col)
     dim = sizes["d"]
-    usable = plain.where("id is not null").select("id", F.col("v").cast("array<double>").alias("v"))
-    drawn = usable.where(F.size("v") == dim).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
+    drawn = plain.where("id is not null").where(F.size("v") == dim).orderBy(F.xxhash64("id"), "v").limit(SAMPLE).select("v").toPandas()["v"]
     sample = _units(drawn, dim)[1]
     if not len(sample):
         return lonely.withColumnRenamed("id", id_col)
-    model, tables, width = fitted(sample, threshold, sizes["count"], width)
+    model, tables, width, radius = fitted(sample, threshold, sizes["count"], width)
     model = spark.sparkContext.broadcast(model)
-    coded = saved(usable.mapInArrow(_codes(dim, tables, width, model), "id long, unit binary, code binary, keys array<int>"))
-    classes = saved(coded.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("code").alias("code"), F.first("keys").alias("keys")))
+    coded = saved(plain.mapInArrow(_codes(dim, tables, width, model), "rid long, id long, unit binary, code binary, keys array<long>"))
+    total = coded.count()
+    usable = coded.where("unit is not null")
+    # a class of equal vectors is named by a row number, as ids may repeat
+    classes = saved(usable.groupBy("unit").agg(F.min("rid").alias("rep"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("code").alias("code"), F.first("keys").alias("keys")))
     keyed = classes.select("rep", F.posexplode("keys").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, ["t", "key"]).join(classes.select("rep", "unit", "code", "weight"), "rep")
+    shared = saved(keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.count("*").alias("held")).where("n > 1"))
+    rows = join_hot(keyed, shared, ["t", "key"], "held", total * tables).join(classes.select("rep", "unit", "code", "weight"), "rep")
     rows = blocked(rows, ["t", "key"], "rep", "n", BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "unit", "code", "weight").mapInPandas(_links(threshold), "rep long, links long, root long"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
+    found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "unit", "code", "weight").mapInPandas(_links(threshold, width, tables, radius), "rep long, links long, root long"))
+    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("rep"), F.col("component_id").alias("root"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    reps = classes.select("rep", "unit", "weight").join(counts, "rep", "left").join(comp, "rep", "left")
-    reps = reps.select("unit", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = coded.select("id", "unit").join(reps, "unit").select("id", "n_links", "component_id")
-    rest = plain.select("id").join(out.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    reps = classes.select("rep", "least", "weight").join(counts, "rep", "left").join(comp, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    reps = saved(reps.select("rep", "least", "root", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    groups = saved(reps.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("held")))
+    reps = join_hot(reps, groups, ["root"], "held", total).select("rep", "n_links", "component_id")
+    reps = saved(classes.select("rep", "unit", "weight").join(reps, "rep").select("unit", "weight", "n_links", "component_id"))
+    out = join_hot(usable.select("id", "unit"), reps, ["unit"], "weight", total).select("id", "n_links", "component_id")
+    rest = coded.where("unit is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = out.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
     return out.withColumnRenamed("id", id_col)

@@ -16,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocked, runs
+from .blocks import blocked_across, runs
 from .graph import components
-from .shared import discard, near, packed, saved, unpacked
+from .shared import discard, join_hot, near, packed, saved, unpacked
 from .tokens import mix, shingles, words
 
 BANDS, ROWS = 24, 4  # a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6
 BITS = 512  # of an odd sketch
 SLACK = 0.18  # below the threshold, where an estimate from 96 samples (deviation 0.041 there) still counts as a candidate
-BLOCK = 512
-BROADCAST_ROWS = 300_000  # of ids or pairs up to which they go to the sets, not the sets to them
+BLOCK = 64  # of members that carry their sets
+SKETCHES = 256  # of members that carry a sketch only
+BROADCAST_ROWS = 300_000  # of pairs up to which they go to the sets, not the sets to them
+DROPPED_ROWS = 2_000_000  # ids of dropped documents up to which they are broadcast
 _LANES = BITS // 64
 
 
@@ -83,15 +85,30 @@ def _signatures(k: int):
     return signatures
 
 
-def _sets(k: int):
-    """Whole sets, with their bands and sketches, of those documents that candidates are found among."""
+def _maps(ids: DataFrame) -> np.ndarray:
+    """A bit map that has a bit for the hash of each id; other ids may share it. It has 16 bits an id, up to 2^30."""
+    bits = min(30, max(16, (16 * ids.count()).bit_length()))
+    cells = ids.select(F.xxhash64("id").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    cells = cells.groupBy(F.shiftright("at", 6).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    got = cells.toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[got["cell"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _sets(k: int, shared):
+    """Whole sets, with their bands and sketches, of the documents whose hashes `shared` maps: all that candidates are
+    found among, and a few others."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = _seeds()
+        seeds, bits = _seeds(), shared.value
         for batch in batches:
-            for chunk in words(batch.column(1)):
+            at = batch.column(1).to_numpy().view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+            some = np.flatnonzero((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1))
+            batch = batch.take(pa.array(some))
+            for chunk in words(batch.column(2)):
                 got = [(s.tobytes(), *_marks(s, seeds, _SPREAD)) for _, s in shingles(chunk, k)]
-                lanes = np.array([x[2] for x in got], dtype=np.int64)
+                lanes = np.array([x[2] for x in got], dtype=np.int64).reshape(-1, _LANES)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.lo, len(got)), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary()),
                      *(pa.array(lanes[:, j].copy()) for j in range(_LANES))],
@@ -132,6 +149,27 @@ def _with_pivot(percent: int):
     return with_pivot
 
 
+def _close(most: int):
+    """Members of a block with a close sketch in another component, each once a block."""
+
+    def close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in runs(frames):
+            comp, side = f["comp"].to_numpy(), f["side"].to_numpy()
+            lanes = f[_LANE_NAMES].to_numpy().view(np.uint64)
+            one_block = f["i"].iloc[0] == f["j"].iloc[0]
+            left = np.arange(len(f)) if one_block else np.flatnonzero(side == 0)
+            right = left if one_block else np.flatnonzero(side == 1)
+            has = np.zeros(len(f), dtype=bool)
+            for at in range(0, len(left), 64):
+                part = left[at : at + 64]
+                far = np.bitwise_count(lanes[part][:, None, :] ^ lanes[right][None, :, :]).sum(axis=2, dtype=np.int64)
+                x, y = np.nonzero((far <= most) & (comp[part][:, None] != comp[right][None, :]))
+                has[part[x]] = has[right[y]] = True
+            yield f.loc[has, ["rep", "t", "band", "comp"]]
+
+    return close
+
+
 def _across(most: int, percent: int):
     """Links that join different components inside a block: of the pairs with close sketches the closest first, each on
     its whole sets, until all are joined or compared. A pair is left to the first band that it shares."""
@@ -144,6 +182,8 @@ def _across(most: int, percent: int):
             one_block = f["i"].iloc[0] == f["j"].iloc[0]
             left = np.arange(len(f)) if one_block else np.flatnonzero(side == 0)
             right = left if one_block else np.flatnonzero(side == 1)
+            if not len(left) or not len(right):
+                continue
             found = []
             for at in range(0, len(left), 64):
                 part = left[at : at + 64]
@@ -190,60 +230,85 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = max(1, parts // 8)  # files of links, which are small beside the sets they come from
     longs = "".join(f", {c} long" for c in _LANE_NAMES)
+    lanes = _LANE_NAMES
     marks = saved(docs.mapInArrow(_signatures(k), "id long, n_shingles long, ka long, kb long, bands array<long>" + longs))
+    total = marks.count()
     full = marks.where("n_shingles > 0 and id is not null")
-    classes = saved(full.groupBy("ka", "kb").agg(F.min("id").alias("rep")))
-    lanes = _LANE_NAMES
-    reps = full.join(classes, (full.ka == classes.ka) & (full.kb == classes.kb) & (full.id == classes.rep)).select("rep", "bands", *lanes).dropDuplicates(["rep"])
+    classes = saved(full.groupBy("ka", "kb").agg(F.min("id").alias("rep"), F.count("*").alias("held")))
+    reps = join_hot(full, classes, ["ka", "kb"], "held", total).where("id = rep").select("rep", "bands", *lanes).dropDuplicates(["rep"])
     reps = saved(reps)
     banded = reps.select("rep", F.posexplode("bands").alias("t", "band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
-    members = saved(banded.join(buckets, "band"))
+    buckets = saved(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1"))
+    members = saved(join_hot(banded, buckets.select("band", "pivot", "n"), ["band"], "n", BANDS * total))
     most = _most_bits(percent / 100 - SLACK)
     far = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in lanes), F.lit(0))
-    stars = members.where("rep <> pivot").select("rep", "pivot").distinct()
-    stars = stars.join(reps.alias("x").select(F.col("rep").alias("xr"), *lanes).alias("x"), F.col("rep") == F.col("xr"))
-    stars = stars.join(reps.select(F.col("rep").alias("yr"), *lanes).alias("y"), F.col("pivot") == F.col("yr")).where(far <= most).select("rep", "pivot")
-    stars = saved(stars)
+    stars = saved(members.where("rep <> pivot").select("rep", "pivot").distinct())
+    hubs = saved(stars.groupBy("pivot").agg(F.count("*").alias("rays")))
+    hubs = saved(hubs.join(reps.withColumnRenamed("rep", "pivot"), "pivot").select("pivot", "rays", F.struct(*lanes).alias("y")))
+    close = join_hot(stars.join(reps.select("rep", F.struct(*lanes).alias("x")), "rep"), hubs, ["pivot"], "rays", BANDS * total)
+    close = saved(close.where(far <= most).select("rep", "pivot"))
     asked = saved(members.select(F.col("rep").alias("id")).distinct())
-    sets = docs.join(near(asked, BROADCAST_ROWS), "id", "left_semi").select("id", "text").mapInArrow(_sets(k), "rep long, members binary, codes binary" + longs)
+    wanted = spark.sparkContext.broadcast(_maps(asked))
+    sets = docs.where("id is not null").select("id", F.xxhash64("id").alias("hash"), "text").mapInArrow(_sets(k, wanted), "rep long, members binary, codes binary" + longs)
     sets = saved(sets)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = max(1, parts // 8)  # files of links, which are small beside the sets they come from
-
-    salts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    rays = stars.join(salts, "pivot").select("rep", F.col("pivot").alias("bucket"), F.pmod(F.xxhash64("rep"), "m").cast("int").alias("i"), F.lit(1).alias("side"))
-    hubs = salts.select(F.col("pivot").alias("rep"), F.col("pivot").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.lit(0).alias("side"))
-    rays = saved(rays.unionByName(hubs).withColumn("j", F.col("i")))
+    wanted.destroy()
+    if full.count() > full.select("id").distinct().count():  # rows that repeat an id are one document
+        sets = saved(sets.dropDuplicates(["rep"]))
+
+    salts = close.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"), F.count("*").alias("rays"))
+    salts = saved(salts)
+    rays = join_hot(close, salts, ["pivot"], "rays", BANDS * total).select("rep", F.col("pivot").alias("bucket"), F.pmod(F.xxhash64("rep"), "m").cast("int").alias("i"), F.lit(1).alias("side"))
+    centres = salts.select(F.col("pivot").alias("rep"), F.col("pivot").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("i"), F.lit(0).alias("side"))
+    rays = saved(rays.unionByName(centres).withColumn("j", F.col("i")))
     rays = sets.select("rep", "members").join(near(rays, BROADCAST_ROWS), "rep")
     rays = rays.repartition(parts, "bucket", "i").sortWithinPartitions("bucket", "i", "side", "rep")
     links = saved(rays.select("bucket", "i", "j", "rep", "members").mapInPandas(_with_pivot(percent), "a long, b long").repartition(few))
     comp = saved(components(links))
 
-    labelled = members.join(comp, members.rep == comp.id, "left").select("rep", "t", "band", F.coalesce("component_id", "rep").alias("comp"))
-    open_ = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "n")
-    rows = saved(labelled.join(open_, "band"))
+    labelled = members.drop("pivot").join(near(comp, BROADCAST_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("rep", "t", "band", F.coalesce("component_id", "rep").alias("comp"))
+    rows = _open(saved(labelled), BANDS * total)
+    rows = blocked_across(rows.join(near(reps.select("rep", *lanes), BROADCAST_ROWS), "rep"), ["band"], "rep", "rest", "most", SKETCHES, parts)
+    flagged = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "band", "comp", *lanes).mapInPandas(_close(most), "rep long, t int, band long, comp long").distinct())
+    rows = _open(flagged, BANDS * total)
     rows = sets.join(near(rows, BROADCAST_ROWS), "rep")
-    rows = blocked(rows, ["band"], "rep", "n", BLOCK, parts)
+    rows = blocked_across(rows, ["band"], "rep", "rest", "most", BLOCK, parts)
     found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "comp", "codes", "members", *lanes).mapInPandas(_across(most, percent), "a long, b long").repartition(few))
     if not found.isEmpty():
         comp = saved(components(links.unionByName(found)))
-    out = marks.select("id", "n_shingles", "ka", "kb").join(classes, ["ka", "kb"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "rep"))
+    groups = saved(classes.join(near(comp, BROADCAST_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("ka", "kb", "held", F.coalesce("component_id", "rep").alias("component")))
+    out = join_hot(marks.select("id", "n_shingles", "ka", "kb"), groups, ["ka", "kb"], "held", total, "left")
+    group = F.when(F.col("n_shingles") > 0, F.col("component"))
     out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce(group, "id")).alias("component_id"))
-    discard(members, stars, asked, sets, found, links, reps)
+    discard(members, stars, close, asked, sets, flagged, found, links, reps, salts, buckets)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _open(labelled: DataFrame, total: int) -> DataFrame:
+    """Those members (rep, t, band, comp) whose band holds different components: with the band's n members, the rest of
+    these that are outside its largest component, and `most` for members inside."""
+    sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("size"))
+    bands = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.sum("size").alias("n"), F.max(F.struct("size", "comp")).alias("top"))
+    bands = saved(bands.where("comps > 1").select("band", "n", (F.col("n") - F.col("top.size")).alias("rest"), F.col("top.comp").alias("largest"), F.col("n").alias("held")))
+    return saved(join_hot(labelled, bands, ["band"], "held", total).withColumn("most", F.col("comp") == F.col("largest")).drop("largest"))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each group of near duplicates, all its columns kept. Rows without an id stay."""
-    marks = near_duplicates(docs, id_col, text_col, k, percent).where("kept").select(F.col(id_col).alias("id"))
-    keep = marks.where("id is not null").groupBy("id").agg(F.count("*").alias("times"))
+    """`docs` with one row of each group of near duplicates, all its columns kept. Rows without an id stay; of rows that
+    repeat an id that is kept one stays, the first in order of files. Ids of dropped documents go to the rows, by broadcast up to
+    DROPPED_ROWS of them. `docs` is to come from files, whose rows keep their order when read again."""
+    marks = saved(near_duplicates(docs, id_col, text_col, k, percent).where(F.col(id_col).isNotNull()))
+    dropped = saved(marks.where("not kept").select(F.col(id_col).alias("id")).distinct())
+    again = marks.where("kept").groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("times")).where("times > 1").select("id")
     rows = packed(docs)
-    own = F.col("row")[id_col]
-    kept = rows.join(keep, own == F.col("id"))
-    out = unpacked(kept.where("times = 1")).unionByName(unpacked(rows.where(own.isNull())))
-    if not keep.where("times > 1").isEmpty():
-        out = out.unionByName(unpacked(kept.where("times > 1").dropDuplicates(["id"])))
-    return out
+    own = F.col("row")[id_col].cast("long")
+    kept = rows.join(near(dropped, DROPPED_ROWS), own == F.col("id"), "left_anti")
+    again = saved(again)
+    if not again.isEmpty():
+        ids = rows.select("rid", own.alias("id")).join(near(again, DROPPED_ROWS), "id")
+        first = ids.groupBy("id").agg(F.min("rid").alias("first"))
+        others = saved(ids.join(first, "id").where("rid <> first").select(F.col("rid").alias("other")))
+        kept = kept.join(near(others, DROPPED_ROWS), F.col("rid") == F.col("other"), "left_anti")
+    return unpacked(kept)

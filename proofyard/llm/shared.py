@@ -27,9 +27,13 @@ def n_words(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="proofyard-"))
+    """The shared folder of the cluster, spark.checkpoint.dir. Where none is named, a temporary one if all runs in one
+    process; on a cluster it must be named, as machines do not share temporary folders."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="proofyard-"))
 
 
 _own: dict[str, str] = {}
@@ -81,6 +85,19 @@ def near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df)
 
 
+HOT = 1000  # a key with more than this share of the rows (one in HOT) is joined by broadcast
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table`, whose keys are unique and whose column `count` says how many rows hold each (left out
+    of the result). Rows under hot keys, of which there are fewer than HOT, meet a broadcast table and stay where they
+    are; only the others are shuffled by key. `total` is the number of rows, or more."""
+    hot = F.col(count) > max(total // HOT, 1)
+    plain = rows.join(F.broadcast(table.where(hot).select(*keys)), keys, "left_anti")
+    out = plain.join(table.where(~hot).drop(count), keys, how)
+    return out.unionByName(rows.join(F.broadcast(table.where(hot).drop(count)), keys))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Whole rows in one column, row, numbered by rid: no name of theirs meets one of an operator. The numbers are the
     same each time the rows are read if they come from files."""
