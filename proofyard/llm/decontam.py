@@ -2,7 +2,8 @@
 
 A test item that stands in a document with at most e errors, cut into e + 1 pieces, has one piece without an error: all
 pieces of all items are looked for at once by an automaton, and around each hit the distance of item and text is taken
-by Myers' bit-parallel algorithm.
+by Myers' bit-parallel algorithm. Items and texts are compared with a space at either end, so that an item is held by whole
+words: half a word at an edge is an error like others, and short items, which may have none, stand as words or not at all.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .shared import near, packed, saved, unpacked
 ERRORS = 0.08  # of an item's characters may differ
 BROADCAST_ROWS = 1_000_000  # contaminated documents up to which their ids are broadcast
 ITEMS = 20_000  # of the benchmark matched at once; a larger one goes in blocks
+ITEM_CHARS = 16 << 20  # of all items of a block, but for one item that is longer by itself
 _SEPARATORS = re.compile(r"[\W_]+")
 
 
@@ -29,6 +31,11 @@ def normalised(text: str | None) -> str:
     return _SEPARATORS.sub(" ", (text or "").lower()).strip()
 
 
+def bounded(clean: str) -> str:
+    """With the edges of its first and last word."""
+    return f" {clean} " if clean else ""
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """(offset, piece) of errors + 1 pieces of nearly equal length."""
     n = errors + 1
@@ -76,7 +83,7 @@ class Matcher:
         for item_id, text in items:
             if clean := normalised(text):
                 by_text[clean].append(item_id)
-        self.items = [(ids, text, int(rate * len(text))) for text, ids in by_text.items()]
+        self.items = [(ids, bounded(clean), int(rate * len(clean))) for clean, ids in by_text.items()]
         self.masks: dict[int, dict[str, int]] = {}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, text, errors) in enumerate(self.items):
@@ -91,7 +98,7 @@ class Matcher:
 
     def find(self, text: str | None) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, errors allowed, end in the normalised text) of the nearest occurrence of each item."""
-        clean = normalised(text)
+        clean = bounded(normalised(text))
         if self.empty or not clean:
             return
         spots: dict[int, set[int]] = defaultdict(set)  # item: places where it would begin
@@ -113,7 +120,7 @@ class Matcher:
                     best = (got[0], lo + got[1])
             if best:
                 for item_id in ids:
-                    yield item_id, best[0], errors, best[1]
+                    yield item_id, best[0], errors, max(0, min(best[1], len(clean) - 1) - 1 - (clean[best[1] - 1] == " " and best[1] < len(clean)))
 
 
 def _merged(begins: list[int], before: int, after: int) -> list[tuple[int, int]]:
@@ -141,18 +148,19 @@ def _matches(shared, rate: float):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = ERRORS, block: int = ITEMS) -> DataFrame:
     """One row per document and item that it holds: id, item_id, distance (the least edit distance of the item to a part
-    of the text, both normalised), errors (allowed: rate * characters of the item, rounded down), end (where the first
-    such part of least distance that a piece led to ends in the normalised text).
+    of the text, both normalised and with a space at either end), errors (allowed: rate * characters of the item, rounded
+    down), end (where the first such part of least distance that a piece led to ends in the normalised text).
 
     Texts are searched whole. Null, empty and punctuation-only texts hold nothing, such items are held nowhere. Items of
     equal normalised text are each reported; repeated documents and ids too. Rows without an item_id are ignored.
     Other columns are ignored; empty tables give none. The benchmark is the stated query set: it is read in blocks of
-    at most `block` items, each broadcast for one pass over the documents.
+    about `block` items or ITEM_CHARS characters, whichever are fewer, each broadcast for one pass over the documents.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    parts = max(1, -(-items.count() // block))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // block), -(-chars // ITEM_CHARS))
     out = None
     for part in range(parts):
         listed = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).orderBy("item_id", "text").collect()

@@ -78,8 +78,6 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.-][^/]*)?$"
 COSINE = 0.6
-# Words of the templates that tell nothing of licences; only lines with another word of them are compared.
-COMMON = frozenset("a an and any are as at be by can charge dealt except following for free in is it later may not obtain of or person published that the this to under use with without you your".split())
 BROADCAST_DIRS = 100_000
 _LOWER = str.maketrans(UPPER, LOWER)
 _TOKEN = "[a-z0-9]+(?:[.][0-9]+)*"
@@ -156,14 +154,17 @@ def _reaches(words: Column, idf: dict[str, float], unseen: float) -> Column:
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """One row per row of `files`: path, licence, score, origin (file, header, inherited or null), inherited_from.
+    """One row per row of `files`: path, licence, score, origin (file, text, header, inherited or null), inherited_from.
 
-    A file whose whole text is like a template is a licence file, also one named so with a header in it; it speaks for
-    itself and its directory. Else the most similar line of the text that holds a telling word, or run of as many words as a
-    template has, over any lines and sentences, decides (header). A file
+    A file is like a template by its whole text (origin text), else by the most similar of its lines or of its runs of as
+    many words as a template has, over any lines and sentences (header). One with either that is named as a licence file
+    (origin file) speaks for its directory too, and no other: what a text says is said of that text alone. A file
     without either takes the licence of the nearest directory above it, its own first, that has a licence file; of
     several there the most similar, then the smallest path.
 
+    Every text at COSINE or more to a template holds one of the template's heaviest words, which follow from the weights;
+    texts and lines without any are not compared further.
+
     Weights are term counts times ln((1 + n) / (1 + df)) + 1, with n files and df of the templates' words counted over
     whole texts of all files; words outside the templates weigh as unseen ones. Equal scores go to the licence last by
     name. Null texts are empty, without licence of their own; rows with a null path inherit nothing; repeated rows and
@@ -187,22 +188,23 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     weights = given.join(F.broadcast(idf), "token").withColumn("tw", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"))
     weights = weights.join(F.broadcast(norms), "template").select("template", "licence", "token", (F.col("tw") / F.col("norm")).alias("tw"))
-    telling = [t for t in vocabulary if t not in COMMON] or vocabulary
-    rare = F.array(*map(F.lit, telling))
+    read = [(template, name, re.findall(_TOKEN, text.translate(_LOWER))) for template, name, text in listed]
+    read = [x for x in read if x[2]]
+    rare = F.array(*map(F.lit, sorted({t for *_, words in read for t in _heavy({w: words.count(w) * exact[w] for w in words})[0]})))
 
     some = files.where(F.arrays_overlap(tokens(F.col("text")), rare)).select(F.xxhash64("path", "text").alias("file"), "path", "text").dropDuplicates(["file"])
     some = saved(some.withColumn("words", tokens(F.col("text"))))
     lines = some.select("file", F.posexplode(F.split("text", "\n")).alias("unit", "line")).withColumn("words", tokens(F.col("line")))
     reaches = _reaches(F.col("words"), exact, unseen)
     headers = _cosines(lines.where(F.arrays_overlap("words", rare)).where(reaches).select("file", "unit", "words"), idf, weights, unseen)
-    read = [(template, name, re.findall(_TOKEN, text.translate(_LOWER))) for template, name, text in listed]
-    headers = headers.select("file", "licence", "score").unionByName(_windows(some, [x for x in read if x[2]], exact))
+    headers = headers.select("file", "licence", "score").unionByName(_windows(some, read, exact))
     headers = headers.groupBy("file").agg(F.max(F.struct("score", "licence")).alias("header"))
     wholes = some.select("file", F.lit(0).alias("unit"), "words").where(reaches)
     wholes = _cosines(wholes, idf, weights, unseen).select("file", F.struct("score", "licence").alias("whole"))
     own = headers.join(wholes, "file", "full_outer").join(some.select("file", "path"), "file")
-    is_file = F.col("whole").isNotNull() | F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    own = own.select("file", "path", F.when(is_file, "file").otherwise("header").alias("origin"), F.coalesce("whole", "header").alias("best"))
+    is_file = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    origin = F.when(is_file, "file").when(F.col("whole").isNotNull(), "text").otherwise("header")
+    own = own.select("file", "path", origin.alias("origin"), F.coalesce("whole", "header").alias("best"))
     own = saved(own.select("file", "path", "origin", "best.licence", "best.score"))
 
     folder = lambda p: F.regexp_extract(p, r"(?s)^(.*)/[^/]*$", 1)

@@ -23,7 +23,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document lies in the directory of its language within that of its source."""
+    """A document lies in the directory of its language within that of its source, under a name that is none of a licence
+    file: documents have no paths, so none speaks for another and nothing is inherited here."""
     path = F.concat_ws("/", "source", "lang", "doc_id")
     found = licenses.scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
     number = lambda p: F.element_at(F.split(p, "/"), -1).try_cast("long")

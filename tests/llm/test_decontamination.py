@@ -61,7 +61,7 @@ def test_documents_against_every_item_everywhere(spark, tmp_path):
         for k, item in items:
             clean = decontam.normalised(item)
             if k is not None and clean:
-                d = semi_global(clean, decontam.normalised(text))
+                d = semi_global(f" {clean} ", f" {decontam.normalised(text)} ")
                 if d <= int(decontam.ERRORS * len(clean)):
                     want[i, k] = d
     assert len(want) > 20 and len(set(want.values())) > 2
@@ -81,3 +81,13 @@ def test_odd_rows(spark, tmp_path):
     assert decontam.without_contaminated(docs, bench).count() == len(ROWS) - 8
     assert decontam.contaminated(docs.limit(0), bench).count() == decontam.contaminated(docs, bench.limit(0)).count() == 0
     assert decontam.without_contaminated(docs, bench.limit(0)).count() == len(ROWS)
+
+
+def test_items_are_held_by_whole_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "nothing there"), (2, "what he said"), (3, "He."), (4, "the hen"), (5, "we saw the river stations again today"), (6, "we saw the river station again today")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "he"), (2, "the river stations again")], "item_id long, text string")
+    want = [(2, 1, 0, 7), (3, 1, 0, 2), (5, 2, 0, 31), (6, 2, 1, 30)]
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["end"]) for r in decontam.contaminated(docs, bench).collect()) == want
+    monkeypatch.setattr(decontam, "ITEM_CHARS", 10)  # blocks by characters
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["end"]) for r in decontam.contaminated(docs, bench).collect()) == want
+    assert [r["doc_id"] for r in decontam.without_contaminated(docs, bench.where("item_id = 1")).orderBy("doc_id").collect()] == [1, 4, 5, 6]

@@ -66,7 +66,7 @@ def test_licences(spark):
     idf = {t: math.log((1 + n) / (1 + sum(t in tok(x) for _, x in FILES))) + 1 for t in vocabulary}
     unseen = math.log(1 + n) + 1
     for p, licence, score, origin, _ in got:
-        if origin in ("file", "header"):
+        if origin in ("file", "header", "text"):
             text = next(x for q, x in FILES if q == p)
             units = [tok(text)] + [tok(x) for x in text.split("\n")]
             best = max(cosine(u, tok(t), idf, unseen) for u in units if u for t in licenses.TEMPLATES[licence])
@@ -91,6 +91,39 @@ def test_notices_inside_lines_and_over_lines(spark, n):
     assert not any(v for p, v in got.items() if p.startswith("z"))
 
 
+def test_texts_without_the_name_of_a_licence_file_speak_for_themselves(spark):
+    """Every text against every template, lines and wholes, and none for another."""
+    rows = [("s/en/1", "Licensed under the ISC License."), ("s/en/2", "no licence"), ("s/en/3", "we met by the river and went on\nReleased under the MIT License.\nat noon the boats came back to the town"), ("s/en/LICENSE-x/4", "nothing here"), ("t/NOTICE", "This is ours. All rights reserved."), ("t/u/5", "nothing here")]
+    rows += [(f"z/{i}", f"plain text number {i} of the set and more") for i in range(60)]
+    got = {r["path"]: (r["licence"], r["origin"], r["inherited_from"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["s/en/1"] == ("ISC", "text", None) and got["s/en/3"] == ("MIT", "header", None)
+    assert got["t/NOTICE"] == ("All-Rights-Reserved", "file", None) and got["t/u/5"] == ("All-Rights-Reserved", "inherited", "t/NOTICE")
+    assert all(v == (None, None, None) for p, v in got.items() if p not in ("s/en/1", "s/en/3", "t/NOTICE", "t/u/5"))
+
+
+def test_no_text_that_reaches_a_template_is_left_out(spark):
+    """Random mixtures of templates' and other words: those without a licence reach none by brute force."""
+    rng = random.Random(4)
+    vocabulary = sorted({t for texts in licenses.TEMPLATES.values() for x in texts for t in re.findall(r"[a-z0-9]+(?:[.][0-9]+)*", x.lower())})
+    rows = [(f"m/{i}", " ".join(rng.choices(vocabulary, k=rng.randrange(1, 9)) + rng.choices(["boat", "noon", "we"], k=rng.randrange(3)))) for i in range(150)]
+    for i in range(150):
+        text = rng.choice([x for xs in licenses.TEMPLATES.values() for x in xs]).split()
+        rng.shuffle(text)
+        rows.append((f"n/{i}", " ".join(text[: rng.randrange(1, len(text) + 1)])))
+    rows += [(f"z/{i}", f"we saw the boat number {i} of the set and more under the license") for i in range(100)]
+    tok = lambda t: re.findall(r"[a-z0-9]+(?:[.][0-9]+)*", t.lower())
+    n = len(rows)
+    idf = {t: math.log((1 + n) / (1 + sum(t in tok(x) for _, x in rows))) + 1 for t in vocabulary}
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    found = 0
+    for path, text in rows:
+        best = max(cosine(tok(text), tok(x), idf, math.log(1 + n) + 1) for xs in licenses.TEMPLATES.values() for x in xs)
+        if best >= licenses.COSINE + 1e-6:
+            found += 1
+            assert got[path]["score"] >= best - 1e-6, (path, text)
+    assert found > 50
+
+
 def test_near_templates_are_told_apart(spark):
     cases = {
         "All rights reserved.": "All-Rights-Reserved", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
