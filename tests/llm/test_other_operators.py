@@ -209,14 +209,16 @@ def brute_verdict(url):
     fits = [r for r in url_rules.CONTRACT if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: len(r.name), default=None)
     lower = host + path
-    found = sorted(r.name for r in url_rules.PATTERNS if re.search(r.pattern, lower))
-    return host, path, best and best.name, best.action if best else "block" if found else "allow"
+    lower = "".join(c.lower() if c.isascii() else c for c in lower)
+    found = [r for r in url_rules.PATTERNS if re.search(r.pattern, lower)]
+    blocks = found and not any(r.action == "allow" for r in found)
+    return host, path, best and best.name, best.action if best else "block" if blocks else "allow"
 
 
 def test_addresses_against_every_rule(spark):
     rng = random.Random(2)
     urls = [None, "", "example.com/en/7", "http://", "http://com/en/", "http://x.com/en/1", "HTTP://A.Example.COM/en/77?x#y", "http://example.com/en/7", "http://badexample.com/en/7", "https://www.example.net/de/8/9", "http://net/de/", "http://a.org/es", "http://a.org/es/", "http://casino-win.example.org/x", "http://mycasinos.org/", "ftp://a?b://c", "http://u@x.com:80/en/", "x://é.com/en/é", "http://a.b/en/?u=http://casino.com/", "//no/scheme", "http://payday-loans.info", "http://paydayloans.info", "a\n://b.com/en/x"]
-    part = ["com", "net", "org", "example", "en", "de", "es", "7", "8", "casino", "ads", "spam", "x", "WWW"]
+    part = ["com", "net", "org", "example", "en", "de", "es", "7", "8", "casino", "ads", "spam", "x", "WWW", "best-slots-", "stop-bets-now", "my-poker", "A.JS", "logo.png", "news", "payday-loans", "cart", "casino-help"]
     urls += ["http://" + ".".join(rng.choices(part, k=3)) + "/" + "/".join(rng.choices(part, k=rng.randrange(4))) + rng.choice(["", "/", "?q=1", "#f"]) for _ in range(600)]
     urls += ["http://hot.example.com/en/7"] * 50
     df = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[6])], "page_id long, url string").withColumns({c: F.lit("x") for c in ("host", "path", "rule", "token", "action")})
@@ -230,6 +232,25 @@ def test_addresses_against_every_rule(spark):
         url_rules.judge(df, [url_rules.Rule("x", "block", pattern="x")])
 
 
+def test_patterns_of_rules():
+    fits = lambda rule, url: re.search(url_rules.pattern_rule(rule).pattern, url) is not None
+    assert fits("||ads.", "ads.example.com/") and fits("||ads.", "x.ads.example.com") and not fits("||ads.", "loads.example.com/") and not fits("||ads.", "a.com/ads.html")
+    assert fits("||*-casino.", "my-casino.com/") and not fits("||*-casino.", "a.com/my-casino.html") and not fits("||*-casino.", "casino.com")
+    assert fits("/ads/*.js^", "a.com/x/ads/y/z.js?") and fits("/ads/*.js^", "a.com/ads/z.js") and not fits("/ads/*.js^", "a.com/ads/z.json")
+    assert fits("|example.com/a|", "example.com/a") and not fits("|example.com/a|", "example.com/ab") and not fits("|example.com/a|", "x.example.com/a")
+    assert fits("/a+b(c)[d]", "x/a+b(c)[d]") and not fits("a.b", "axb")
+    assert url_rules.pattern_rule("||*-casino.").tokens == ("casino",) and url_rules.pattern_rule("/best-slots-").tokens == ("best", "slots")
+    assert url_rules.pattern_rule("@@/stop-bets-").action == "allow" and url_rules.pattern_rule("foo").tokens == () and url_rules.pattern_rule("/foo*").tokens == ()
+    assert len(url_rules.PATTERNS) > 300 and all(r.tokens for r in url_rules.PATTERNS) and len({r.name for r in url_rules.PATTERNS}) == len(url_rules.PATTERNS)
+    # every token of a rule is whole in each URL that it fits
+    rng = random.Random(1)
+    for rule in rng.sample(url_rules.PATTERNS, 60):
+        for _ in range(20):
+            url = "".join(rng.choice([*rule.tokens, ".", "-", "/", "x", "7", ".com", "online", "help", "best"]) for _ in range(8))
+            if re.search(rule.pattern, url):
+                assert set(rule.tokens) <= set(re.findall("[a-z0-9]+", url)), (rule, url)
+
+
 def test_plans_of_native_operators_hold_no_python(spark, sf):
     for name in ("op1_personal_data", "op3_license_scan", "op7_url_filters"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
@@ -319,13 +340,34 @@ def test_budget_is_filled_as_well_as_can_be(seed):
         assert (take >= 0).all() and (take <= counts).all()
         total = int((take * sizes).sum())
         assert total <= budget
-        floor = [int(n) * budget // int((sizes * counts).sum()) if budget < (sizes * counts).sum() else int(n) for n in counts]
-        reach = {int(np.dot(floor, sizes))}
-        for s, n, f in zip(sizes, counts, floor):
-            reach = {r + int(s) * k for r in reach for k in range(int(n) - f + 1)}
+        reach = {0}
+        for s, n in zip(sizes, counts):
+            reach = {r + int(s) * k for r in reach for k in range(int(n) + 1)}
         assert total == max(r for r in reach if r <= budget)
 
 
+def test_budgets_that_can_be_met_are_met():
+    assert (mixing.fill(np.array([6, 15, 36, 37]), np.array([3, 3, 3, 1]), 118) * [6, 15, 36, 37]).sum() == 118
+    sizes, counts = np.array([20_000, 7, 350, 9_999]), np.array([900, 2, 100_000, 5_000])
+    for budget in (1, 7, 350, 40_357, 17_000_001):
+        took = int((mixing.fill(sizes, counts, budget) * sizes).sum())
+        want = max(a * 20_000 + b * 7 + d * 9_999 + min(100_000, (budget - a * 20_000 - b * 7 - d * 9_999) // 350) * 350
+                   for a in range(min(900, budget // 20_000) + 1) for b in range(3) for d in range(0, min(5_000, budget // 9_999) + 1) if a * 20_000 + b * 7 + d * 9_999 <= budget)
+        assert took == want
+
+
+def test_budgets_beyond_the_programme_come_near(monkeypatch):
+    monkeypatch.setattr(mixing, "WORK", 1000)
+    monkeypatch.setattr(mixing, "WINDOW", 3000)
+    rng = random.Random(5)
+    for _ in range(60):
+        sizes = np.array(sorted(rng.sample(range(1, 900), 60)))
+        counts = np.array([rng.randrange(1, 50) for _ in sizes])
+        budget = rng.randrange(1, int((sizes * counts).sum()))
+        take = mixing.fill(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and budget - 2 <= (take * sizes).sum() <= budget
+
+
 def test_mix_of_sources(spark, tmp_path):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), "en", s) for i, s in enumerate(["big"] * 400 + ["mid"] * 100 + ["small"] * 12 + [None] * 40 + ["é"] * 30)]
@@ -345,6 +387,23 @@ def test_mix_of_sources(spark, tmp_path):
     assert {r["doc_id"]: r["taken"] for r in out.collect()} == {i: r["taken"] for i, r in got.items() if r["taken"]}
 
 
+def test_rows_of_one_id_and_none_are_drawn_to_the_number(spark, tmp_path, monkeypatch):
+    """Many rows with one id, without one, and of one length; with and without broadcasts."""
+    rows = [(7, "w w w", "en", "a")] * 300 + [(None, "w w w", "en", "a")] * 200 + [(i, "w w w", "en", "b") for i in range(100, 400)] + [(i, "w", "en", "b") for i in range(900, 905)]
+    docs = documents(spark, tmp_path, rows)
+    seen = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+        got = mixing.mix(docs).collect()
+        assert len(got) == len(rows)
+        for source, size in (("a", 1500), ("b", 905)):
+            own = [r for r in got if r["source_size"] == size]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2 and {r["copies"] for r in own if r["size"] == 3} <= {own[0]["copies"], 0, 1, 2, 3}
+        seen.append(sorted(map(str, got)))
+        assert sum(r["taken"] for r in mixing.mixed_documents(docs).collect()) == sum(r["taken"] for r in got)
+    assert seen[0] == seen[1]
+
+
 def test_mix_of_odd_rows(spark, tmp_path):
     docs = documents(spark, tmp_path)
     got = mixing.mix(docs).collect()
