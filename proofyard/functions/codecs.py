@@ -204,3 +204,29 @@ def key_part(text: C, what: str) -> Column:
 def composite_key(prefix: bytes, *parts: Column) -> Column:
     """A prefix and parts; equal prefixes sort by their parts' bytes."""
     return F.concat(F.lit(prefix), *parts)
+
+
+def fnv1a(text: Column, shards: int | None = None) -> Column:
+    """The 32-bit FNV-1a hash of a string's bytes, or the shard of so many that it falls to."""
+    data = F.encode(text, "UTF-8")
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(1), F.octet_length(data))).otherwise(F.array().cast("array<int>"))
+    # The hash's offset and prime.
+    out = F.aggregate(places, F.lit(2166136261).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return out if shards is None else F.pmod(out, F.lit(shards))
+
+
+def json_record(text: Column, ddl: str, required: list[str]) -> Column:
+    """(record, missing): a JSON text as a record, and which of its required fields it lacks or holds empty; a text that
+    is no JSON lacks all of them."""
+    record = F.from_json(text, ddl)
+    lacks = [F.when(F.coalesce(record[name].cast("string"), F.lit("")) == "", F.lit(name)) for name in required]
+    return F.struct(record.alias("record"), F.array_compact(F.array(*lacks)).alias("missing"))
+
+
+def head_of_body(body: Column) -> Column:
+    """(tree_size, root_hash) of the head that a gossip event's body holds as JSON, or null where it holds none: the size
+    must not be negative and the root have 64 hexadecimal digits."""
+    got = json_record(body, "tree_size long, root_hash string", ["tree_size", "root_hash"])
+    ok = (F.size(got["missing"]) == 0) & (got["record"]["tree_size"] >= 0) & got["record"]["root_hash"].rlike("^[0-9a-f]{64}$")
+    return F.when(ok, got["record"])

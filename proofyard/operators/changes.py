@@ -39,11 +39,21 @@ def purchase(credits: DataFrame, amounts: DataFrame) -> DataFrame:
     return both.select("exchange_did", (F.coalesce("balance", F.lit(0)) + n).alias("balance"), (F.coalesce("total_purchased", F.lit(0)) + n).alias("total_purchased"), F.coalesce("total_consumed", F.lit(0)).alias("total_consumed"))
 
 
-def admit_by_credit(requests: DataFrame, credits: DataFrame, order: str) -> DataFrame:
-    """Every request with admitted: the n-th of an exchange is, while n is at most its balance."""
-    nth = F.row_number().over(Window.partitionBy("exchange_did").orderBy(order))
-    rows = requests.withColumn("_n", nth).join(credits.select("exchange_did", "balance"), "exchange_did", "left")
-    return rows.select(*requests.columns, (F.col("_n") <= F.coalesce("balance", F.lit(0))).alias("admitted"))
+def admit_by_credit(requests: DataFrame, credits: DataFrame, order: str, width: int = 65_536) -> DataFrame:
+    """Every request with admitted: the n-th of an exchange is, while n is at most its balance.
+
+    Requests are counted by buckets of the order first; only those of the bucket in which a balance runs out are ranked,
+    so that an exchange with most of the requests is no single window."""
+    rows = requests.withColumn("_b", F.expr(f"{order} div {width}"))
+    counts = rows.groupBy("exchange_did", "_b").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("exchange_did").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = counts.withColumn("_upto", upto).join(credits.select("exchange_did", F.col("balance").alias("_balance")), "exchange_did", "left")
+    left = left.select("exchange_did", "_b", "_n", (F.coalesce("_balance", F.lit(0)) - F.col("_upto") + F.col("_n")).alias("_left"))
+    rows = rows.join(left, ["exchange_did", "_b"])
+    clear = rows.where("_left >= _n or _left <= 0").withColumn("admitted", F.col("_left") >= F.col("_n"))
+    edge = rows.where("_left < _n and _left > 0")
+    edge = edge.withColumn("admitted", F.row_number().over(Window.partitionBy("exchange_did", "_b").orderBy(order)) <= F.col("_left"))
+    return clear.unionByName(edge).select(*requests.columns, "admitted")
 
 
 def advance(marks: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -68,6 +78,47 @@ def parallel_rows(batch: DataFrame, *arrays: str) -> DataFrame:
     return batch.select(F.inline(F.arrays_zip(*arrays)))
 
 
+def append_only_violations(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, violation) of rows of an append-only table that a later version has lost (deleted) or holds with other
+    values (updated)."""
+    values = [c for c in before.columns if c not in key]
+    hashed = lambda df, name: df.select(*key, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in values]).alias(name))
+    both = hashed(before, "_old").join(hashed(after, "_new"), key, "left")
+    return both.where("_new is null or _old <> _new").select(*key, F.when(F.col("_new").isNull(), "deleted").otherwise("updated").alias("violation"))
+
+
+def evict(accesses: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
+    """(key, last): what a cache of `capacity` keys holds after all accesses once it has overflowed and kept the most
+    recent three quarters, as often as that takes: the most recently used keys."""
+    last = accesses.groupBy(key).agg(F.max(order).alias("last"))
+    n = last.count()
+    return last if n <= capacity else last.orderBy(F.desc("last"), key).limit(capacity * 3 // 4)
+
+
+def migrate(tables: dict[str, DataFrame], pending: DataFrame, steps: dict[int, object], check_only: bool = False) -> tuple[dict[str, DataFrame], list[int]]:
+    """(tables, versions applied): pending versions applied to the tables in order, each a function of all tables; with
+    `check_only` they are only listed. A version without a step is refused, and nothing after it is applied."""
+    done = []
+    for row in pending.orderBy("version").collect():
+        if not check_only:
+            if row["version"] not in steps:
+                raise ValueError(f"there is no migration to version {row['version']}")
+            tables = {**tables, **steps[row["version"]](tables)}
+        done.append(row["version"])
+    return tables, done
+
+
+def published(spark, path: str, before: int | None = None) -> list[str]:
+    """Folders of the marked batches under `path`, of those with a number under `before`."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("batch_id=")]
+    ok = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")) and (before is None or int(p.getName()[9:]) < before)]
+    return sorted(p.toString() for p in ok)
+
+
 def publish(df: DataFrame, path: str, batch_id: int) -> bool:
     """Write a batch under its own id, then mark it: a batch that is marked is not written again, and readers take
     marked ones only. False if it was there already."""

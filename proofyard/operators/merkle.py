@@ -13,7 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..saving import saved
+from .windows import carried
+
 TILE = 256
+EMPTY = sha256(b"").hexdigest()  # of a place without a leaf or a subtree without any
+FAN = 16
 
 
 def leaf_hash(data: Column) -> Column:
@@ -38,7 +43,7 @@ def levels(leaves: DataFrame) -> DataFrame:
         rows = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.array("row"), lambda acc, _: F.concat(acc, F.array(_up(F.element_at(acc, -1)))))
         tiles = tiles.select("tile", F.posexplode(rows).alias("up", "row"))
         nodes = tiles.select((F.lit(level) + F.col("up")).alias("level"), F.posexplode("row").alias("at", "hash"), "tile", "up")
-        nodes = nodes.select("level", (F.col("tile") * F.call_function("shiftright", F.lit(TILE).cast("long"), F.col("up")) + F.col("at")).alias("index"), "hash")
+        nodes = saved(nodes.select("level", (F.col("tile") * F.call_function("shiftright", F.lit(TILE).cast("long"), F.col("up")) + F.col("at")).alias("index"), "hash"))
         top = nodes.where(F.col("level") == level + 8).select("index", "hash")
         part = nodes.where(F.col("level") < level + 8)
         out = part if out is None else out.unionByName(part)
@@ -47,6 +52,31 @@ def levels(leaves: DataFrame) -> DataFrame:
         now, level = top, level + 8
 
 
+def versioned_roots(leaves: DataFrame) -> DataFrame:
+    """(version, root) of a tree of FAN children a node after each version of its leaves (index, version, hash as hex): a
+    leaf counts from its version on until its next. Places without a leaf hash as EMPTY, and so do subtrees without any.
+
+    Only nodes over leaves that change get a new version: every level deals changes to their parents, and a parent's
+    other children are carried over from its version before. The tree is as deep as the highest index asks for."""
+    top = leaves.agg(F.max("index")).first()[0]
+    now = leaves
+    while top is not None:
+        slots = [f"c{i}" for i in range(FAN)]
+        parents = now.groupBy(F.expr(f"index div {FAN}").alias("index"), "version").agg(*[F.max(F.when(F.col("index") % FAN == i, F.col("hash"))).alias(c) for i, c in enumerate(slots)])
+        filled = carried(parents, ["index"], "version", slots)
+        now = saved(filled.select("index", "version", F.sha2(F.concat(*[F.coalesce(c, F.lit(EMPTY)) for c in slots]), 256).alias("hash")))
+        top //= FAN
+        if not top:
+            break
+    return now.select("version", F.col("hash").alias("root"))
+
+
+def state_root(leaves: DataFrame) -> DataFrame:
+    """(root) of a state's leaves (leaf_seq, origin_tip, authority_tip), as `versioned_roots` has it."""
+    leaf = F.concat_ws("|", "leaf_seq", F.coalesce("origin_tip", F.lit(-1)), "authority_tip")
+    return versioned_roots(leaves.select(F.col("leaf_seq").alias("index"), F.lit(0).cast("long").alias("version"), F.sha2(leaf, 256).alias("hash"))).select("root")
+
+
 def root(nodes: DataFrame) -> DataFrame:
     """(size, root) of the tree: the one node of its highest level; nothing for an empty log."""
     size = nodes.where("level = 0").agg(F.count("*").alias("size"))

@@ -76,9 +76,9 @@ def paths(entries: DataFrame) -> DataFrame:
     return rows.withColumn("path", path).drop("_moved", "_member")
 
 
-def fold_leaves(entries: DataFrame) -> DataFrame:
-    """(leaf_seq, origin_tip, authority_tip) after all entries of `paths`. Sequences only rise, so the last write of a tip
-    is its maximum: the ordered fold is a grouped maximum, whatever batches the entries come in.
+def leaf_writes(entries: DataFrame) -> DataFrame:
+    """(sequence_number, leaf_seq, origin_tip, authority_tip): the writes of tips that entries of `paths` make, null where
+    a tip stays.
 
     Paths A and B move the target's origin tip (an intermediate target's too); path C moves its authority tip, but an
     amendment of the scope itself its origin tip."""
@@ -91,20 +91,52 @@ def fold_leaves(entries: DataFrame) -> DataFrame:
         .when(F.col("path").isin("path_a", "path_b") | amendment, F.array(write(F.col("target_seq"), seq, none), write(F.col("intermediate_seq"), seq, none)))
         .when(F.col("path") == "path_c", F.array(write(F.col("target_seq"), none, seq)))
     )
-    rows = entries.select(F.inline(writes)).where("leaf_seq is not null")
-    leaves = rows.groupBy("leaf_seq").agg(F.max("origin_tip").alias("origin_tip"), F.max("authority_tip").alias("authority_tip"))
+    return entries.select("sequence_number", F.inline(writes)).where("leaf_seq is not null")
+
+
+def fold_leaves(entries: DataFrame) -> DataFrame:
+    """(leaf_seq, origin_tip, authority_tip) after all entries of `paths`. Sequences only rise, so the last write of a tip
+    is its maximum: the ordered fold is a grouped maximum, whatever batches the entries come in."""
+    leaves = leaf_writes(entries).groupBy("leaf_seq").agg(F.max("origin_tip").alias("origin_tip"), F.max("authority_tip").alias("authority_tip"))
     return leaves.where("authority_tip is not null")
 
 
-def commitments(mutations: DataFrame, width: int) -> DataFrame:
-    """(id, range_start_seq, range_end_seq, mutations_json, prior_root, post_root) a batch of sequences: the prior root
-    is the one after the batch before."""
-    per = mutations.groupBy(F.expr(f"sequence_number div {width}").alias("id")).agg(
-        F.min("sequence_number").alias("range_start_seq"), F.max("sequence_number").alias("range_end_seq"),
-        F.to_json(F.array_sort(F.collect_list(F.struct("sequence_number", "leaf")))).alias("mutations_json"))
-    per = per.withColumn("post_root", F.sha2("mutations_json", 256))
-    return per.withColumn("prior_root", F.coalesce(F.lag("post_root").over(Window.orderBy("id")), F.sha2(F.lit(""), 256)))
+def commitments(writes: DataFrame, width: int) -> DataFrame:
+    """(id, range_start_seq, range_end_seq, mutations_json, prior_root, post_root) of every batch of `width` sequences that
+    moves a leaf, of writes as `leaf_writes` gives. Roots are those of the state tree over all leaves after the batch,
+    and after the batch before; see `merkle.versioned_roots`. A leaf without an authority tip is none yet."""
+    from .merkle import EMPTY, versioned_roots
+    from .windows import carried
+
+    rows = writes.withColumn("id", F.expr(f"sequence_number div {width}"))
+    per = rows.groupBy("id", "leaf_seq").agg(F.max("origin_tip").alias("o"), F.max("authority_tip").alias("a"))
+    over = Window.partitionBy("leaf_seq").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = per.select("id", "leaf_seq", F.max("o").over(over).alias("origin_tip"), F.max("a").over(over).alias("authority_tip")).where("authority_tip is not null")
+    leaf = F.concat_ws("|", "leaf_seq", F.coalesce("origin_tip", F.lit(-1)), "authority_tip")
+    roots = versioned_roots(now.select(F.col("leaf_seq").alias("index"), F.col("id").alias("version"), F.sha2(leaf, 256).alias("hash")))
+    listed = now.groupBy("id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("leaf_seq", "origin_tip", "authority_tip")))).alias("mutations_json"))
+    ends = rows.groupBy("id").agg(F.min("sequence_number").alias("range_start_seq"), F.max("sequence_number").alias("range_end_seq"))
+    out = ends.join(listed, "id").join(roots.select(F.col("version").alias("id"), F.col("root").alias("post_root")), "id")
+    out = carried(out.withColumn("prior_root", F.col("post_root")), [], "id", ["prior_root"], inclusive=False)
+    return out.withColumn("prior_root", F.coalesce("prior_root", F.lit(EMPTY)))
 
 
 def cosign_age(heads: DataFrame, now) -> DataFrame:
     return heads.agg((F.unix_timestamp(F.lit(now)) - F.unix_timestamp(F.max("created_at").cast("timestamp"))).alias("seconds"))
+
+
+def redriven(journal: DataFrame, now_ns, age_ns: int, most: int = 10) -> DataFrame:
+    """(hash, op, attempts) for rows that have been pending for longer than `age_ns`: submitted to the sequencer again
+    with one attempt more, or handed to a person once there have been `most`."""
+    stale = journal.where((F.col("state") == PENDING) & (F.lit(now_ns) - F.col("last_err_ns") > age_ns))
+    again = F.col("attempts") + 1
+    return stale.select("hash", F.when(again >= most, "manual").otherwise("sequence").alias("op"), again.cast("int").alias("attempts"))
+
+
+def replayed(rows: DataFrame, mark: int, fails, limit: int = 1000) -> DataFrame:
+    """Of rows after the mark, the next `limit` in order up to the first that fails, each with mark: where the next replay
+    begins. The failing row and all after it wait."""
+    batch = rows.where(F.col("sequence_number") > mark).orderBy("sequence_number").limit(limit).withColumn("_fails", fails)
+    stop = batch.agg(F.min(F.when(F.col("_fails"), F.col("sequence_number"))).alias("_stop"))
+    done = batch.join(F.broadcast(stop)).where("_stop is null or sequence_number < _stop").drop("_fails", "_stop")
+    return done.join(F.broadcast(done.agg(F.max("sequence_number").alias("mark"))))

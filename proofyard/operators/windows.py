@@ -26,6 +26,32 @@ def with_previous(rows: DataFrame, seq: str, width: int = WIDTH) -> DataFrame:
     return rows.withColumn("prev", inside).join(last, "_b").withColumn("prev", F.coalesce("prev", "_before")).drop("_b", "_before")
 
 
+def carried(rows: DataFrame, keys: list[str], order: str | list[str], columns: list[str], inclusive: bool = True, width: int = 4096) -> DataFrame:
+    """`rows` with null `columns` filled from the last row before that has them, in an order that begins with whole
+    numbers; if not `inclusive`, all of them so. Buckets of `width` numbers share a window, and one row a bucket carries
+    over."""
+    order = [order] if isinstance(order, str) else order
+    rows = rows.withColumn("_b", F.expr(f"{order[0]} div {width}"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    ends = rows.groupBy(*keys, "_b").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_{c}") for c in columns])
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "_b", *[F.last(f"_{c}", ignorenulls=True).over(over).alias(f"_{c}") for c in columns])
+    out = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).join(before, [*keys, "_b"])
+    return out.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop("_b", *[f"_{c}" for c in columns])
+
+
+def delegation_asof(lookups: DataFrame, entries: DataFrame) -> DataFrame:
+    """(ord, did, at, sequence_number) of lookups (ord, did, at): the latest live delegation to the DID before sequence
+    `at`, null where there is none; a later delegation counts from its own sequence on, so nothing is to be invalidated."""
+    given = entries.where("delegate_did is not null and status = 0").select(F.col("delegate_did").alias("did"), F.col("sequence_number").alias("at"), F.col("sequence_number").alias("found"), F.lit(None).cast("long").alias("ord"))
+    asked = lookups.select("did", "at", F.lit(None).cast("long").alias("found"), "ord")
+    # a delegation counts for what is after it: lookups come first at a sequence
+    both = given.withColumn("at", F.col("at") * 2 + 1).unionByName(asked.withColumn("at", F.col("at") * 2))
+    both = both.groupBy("did", "at").agg(F.max("found").alias("found"), F.collect_list("ord").alias("ords"))
+    filled = carried(both, ["did"], "at", ["found"])
+    return filled.select(F.explode("ords").alias("ord"), "did", F.expr("at div 2").alias("at"), F.col("found").alias("sequence_number"))
+
+
 def prefix_end(rows: DataFrame, cursor: int, seq: str = "sequence_number", width: int = WIDTH) -> DataFrame:
     """One row, last: the highest s such that all of cursor + 1 .. s are there; the cursor itself if there is none."""
     ahead = rows.where(F.col(seq) > cursor).select(seq).distinct()
@@ -62,13 +88,23 @@ def gap_ranges(rows: DataFrame, seq: str = "sequence_number", width: int = WIDTH
 def chain_check(events: DataFrame) -> DataFrame:
     """(originator, lamport, verdict) of events that break their chain: a previous hash that is not the event before (64
     zeros for the first), or a clock that does not rise from above 0."""
-    w = Window.partitionBy("originator").orderBy("lamport", "event_id")
-    rows = events.withColumns({"_id": F.lag("event_id").over(w), "_clock": F.lag("lamport").over(w)})
+    rows = carried(events.withColumns({"_id": F.col("event_id"), "_clock": F.col("lamport")}), ["originator"], ["lamport", "event_id"], ["_id", "_clock"], inclusive=False)
     link = F.col("prev_hash") == F.coalesce("_id", F.lit("0" * 64))
     clock = F.col("lamport") > F.coalesce("_clock", F.lit(0))
     return rows.select("originator", "lamport", F.when(~clock, "clock").when(~F.coalesce(link, F.lit(False)), "link").alias("verdict")).where("verdict is not null")
 
 
+def chained(events: DataFrame, heads: DataFrame) -> DataFrame:
+    """Events (originator, ord, kind, body) as rows to append to their chains, after `heads` (originator, event_id,
+    lamport): with lamport, event_id (hash of what the row says) and prev_hash (the id before; 64 zeros for the first)."""
+    rows = events.join(heads.select("originator", F.col("event_id").alias("_head"), F.col("lamport").alias("_clock")), "originator", "left")
+    nth = F.row_number().over(Window.partitionBy("originator").orderBy("ord"))
+    rows = rows.withColumn("lamport", (F.coalesce("_clock", F.lit(0)) + nth).cast("long"))
+    rows = rows.withColumn("event_id", F.sha2(F.concat_ws("|", "originator", F.col("lamport").cast("string"), "kind", "body"), 256))
+    rows = carried(rows.withColumn("prev_hash", F.col("event_id")), ["originator"], "lamport", ["prev_hash"], inclusive=False)
+    return rows.withColumn("prev_hash", F.coalesce("prev_hash", "_head", F.lit("0" * 64))).drop("_head", "_clock")
+
+
 def ghost_classify(rows: DataFrame) -> DataFrame:
     """(sequence_number, canonical_hash, class): of the rows of one hash the lowest sequence is primary, later ones are
     ghosts; a repeated (sequence, hash) is a replay and is reported once more as such. The lowest of a hash is a grouped

@@ -47,17 +47,17 @@ def heads_with_sigs(spark, d):
     return rows.select("tree_size", "hash_algo", n.alias("sigs"), F.array_min(signers).alias("first_signer"), F.array_max(signers).alias("last_signer"), F.get(F.col("sigs"), F.lit(0))["signature"].alias("top_signature"))
 
 
-@query("""SELECT sequence_number, id, range_start_seq, range_end_seq FROM f_entries, f_ranges WHERE sequence_number % 9 = 2 AND sequence_number BETWEEN range_start_seq AND range_end_seq
+@query("""SELECT sequence_number, id, range_start_seq, range_end_seq FROM f_entries, f_ranges WHERE sequence_number BETWEEN range_start_seq AND range_end_seq
 QUALIFY row_number() OVER (PARTITION BY sequence_number ORDER BY created_at DESC, id DESC) = 1""")
 def covering_commitment(spark, d):
-    return joins.covering(fx.entries(spark, d).where("sequence_number % 9 = 2").select("sequence_number"), fx.ranges(spark, d))
+    return joins.covering(fx.entries(spark, d).select("sequence_number"), fx.ranges(spark, d))
 
 
-@query("""WITH p AS (SELECT CASE WHEN sequence_number % 4 = 0 THEN 'did:log:shard1' ELSE 'did:log:main' END AS log_did, sequence_number FROM f_entries WHERE sequence_number % 5 = 1)
+@query("""WITH p AS (SELECT CASE WHEN sequence_number % 4 = 0 THEN 'did:log:shard1' ELSE 'did:log:main' END AS log_did, sequence_number FROM f_entries)
 SELECT p.log_did, p.sequence_number, coalesce(e.shard_did, r.shard_did) AS shard_did, CASE WHEN e.shard_did IS NOT NULL THEN 'exact' WHEN r.shard_did IS NOT NULL THEN 'range' ELSE 'none' END AS how
 FROM p LEFT JOIN f_shards e ON e.shard_did = p.log_did LEFT JOIN f_shards r ON p.sequence_number BETWEEN r.range_start_seq AND r.range_end_seq""")
 def resolve_shard(spark, d):
-    p = fx.entries(spark, d).where("sequence_number % 5 = 1").select(F.when(F.col("sequence_number") % 4 == 0, "did:log:shard1").otherwise(fx.LOG).alias("log_did"), "sequence_number")
+    p = fx.entries(spark, d).select(F.when(F.col("sequence_number") % 4 == 0, "did:log:shard1").otherwise(fx.LOG).alias("log_did"), "sequence_number")
     return joins.resolve_shard(p, fx.shards(spark, d))
 
 
@@ -79,10 +79,10 @@ def wal_vs_tree(spark, d):
     return joins.wal_vs_tree(j.where("sequence % 50 <> 5"), tree)
 
 
-@query("SELECT o_orderkey AS committed_through_seq, CASE WHEN o_orderkey % 30 = 4 THEN 'no head' WHEN o_orderkey % 20 = 3 THEN 'diverged' ELSE 'equal' END AS verdict FROM orders WHERE o_orderkey % 10 < 5")
+@query("SELECT o_orderkey AS committed_through_seq, CASE WHEN o_orderkey % 30 = 4 THEN 'no head' WHEN o_orderkey % 20 = 3 THEN 'diverged' ELSE 'equal' END AS verdict FROM orders")
 def root_vs_head(spark, d):
     o = F.col("o_orderkey")
-    roots = fx.table(spark, d, "orders").where("o_orderkey % 10 < 5").select(o.alias("committed_through_seq"), F.sha2(F.concat(F.when(o % 20 == 3, "bad|").otherwise("smt|"), o.cast("string")), 256).alias("current_root"))
+    roots = fx.table(spark, d, "orders").select(o.alias("committed_through_seq"), F.sha2(F.concat(F.when(o % 20 == 3, "bad|").otherwise("smt|"), o.cast("string")), 256).alias("current_root"))
     return joins.root_vs_head(roots, fx.heads(spark, d).where("(tree_size - 1) % 30 <> 4"))
 
 

@@ -111,11 +111,11 @@ def raw_entry_route(spark, d):
 
 
 def _keys(spark, d):
-    u = fx.table(spark, d, "customer").where("c_custkey < 400")
+    u = fx.table(spark, d, "customer")
     return u.select(F.col("c_custkey").alias("ord"), F.sha2(F.concat_ws("|", F.lit("leaf"), F.col("c_custkey").cast("string")), 256).alias("leaf_key"))
 
 
-@query("SELECT c_custkey AS ord, sha256('leaf|' || c_custkey) AS leaf_key, origin_tip, authority_tip, l.leaf_key IS NOT NULL AS exists FROM customer LEFT JOIN f_leaves l ON l.leaf_key = sha256('leaf|' || c_custkey) WHERE c_custkey < 400")
+@query("SELECT c_custkey AS ord, sha256('leaf|' || c_custkey) AS leaf_key, origin_tip, authority_tip, l.leaf_key IS NOT NULL AS exists FROM customer LEFT JOIN f_leaves l ON l.leaf_key = sha256('leaf|' || c_custkey)")
 def smt_leaf_get(spark, d):
     return lookups.keyed_batch(fx.leaves(spark, d).drop("user_id"), "leaf_key", _keys(spark, d))
 
@@ -204,9 +204,9 @@ def gossip_event_get(spark, d):
     return g.join(F.broadcast(g.agg(F.min("event_id").alias("event_id"))), "event_id").select("originator", "lamport", "kind", "event_id")
 
 
-@query(f"SELECT a.o AS originator, coalesce(arg_max(event_id, lamport), '{fx.ZERO}') AS event_id, coalesce(max(lamport), 0) AS lamport FROM (SELECT 'did:conv:' || o_orderkey AS o FROM orders WHERE o_orderkey < 500) a LEFT JOIN f_gossip ON originator = a.o GROUP BY 1")
+@query(f"SELECT a.o AS originator, coalesce(arg_max(event_id, lamport), '{fx.ZERO}') AS event_id, coalesce(max(lamport), 0) AS lamport FROM (SELECT 'did:conv:' || o_orderkey AS o FROM orders) a LEFT JOIN f_gossip ON originator = a.o GROUP BY 1")
 def gossip_head(spark, d):
-    asked = fx.table(spark, d, "orders").where("o_orderkey < 500").select(F.concat(F.lit("did:conv:"), F.col("o_orderkey").cast("string")).alias("originator"))
+    asked = fx.table(spark, d, "orders").select(F.concat(F.lit("did:conv:"), F.col("o_orderkey").cast("string")).alias("originator"))
     return lookups.gossip_heads(fx.gossip(spark, d), asked)
 
 

@@ -86,12 +86,45 @@ def ghost_validity(spark, d):
     return m.valid_ghosts(g.withColumns({"log_did": F.lit(fx.LOG), "time_us": F.when(F.col("ghost_seq") % 10 == 3, 0).otherwise(1)})).select("ghost_seq", "valid")
 
 
-@query("SELECT tree_size, hash_algo, 'did:log:foreign' AS source_log, sha256(root_hash || '|' || tree_size) AS anchor FROM f_heads WHERE tree_size % 1000 = 0")
+@query("SELECT tree_size, hash_algo, 'did:log:foreign' AS source_log, sha256(root_hash || '|' || tree_size) AS anchor FROM f_heads")
 def anchor_rows(spark, d):
-    h = fx.heads(spark, d).where("tree_size % 1000 = 0")
+    h = fx.heads(spark, d)
     return h.select("tree_size", "hash_algo", F.lit("did:log:foreign").alias("source_log"), F.sha2(F.concat_ws("|", "root_hash", F.col("tree_size").cast("string")), 256).alias("anchor"))
 
 
+_ROOT = """WITH RECURSIVE t AS (SELECT 0 AS level, list(from_hex(sha256(from_hex('00' || canonical_hash))) ORDER BY sequence_number) AS row FROM f_entries
+UNION ALL SELECT level + 1, [CASE WHEN 2 * i + 1 < len(row) THEN from_hex(sha256(from_hex('01' || hex(row[2 * i + 1]) || hex(row[2 * i + 2])))) ELSE row[2 * i + 1] END FOR i IN range(0, (len(row) + 1) // 2)] FROM t WHERE len(row) > 1)"""
+
+
+@query(f"""{_ROOT} SELECT n AS size, '{fx.LOG}' || chr(10) || n || chr(10) || to_base64(row[1]) || chr(10) AS value, '{fx.LOG}' AS origin, lower(hex(row[1])) AS root FROM t, (SELECT count(*) AS n FROM f_entries) WHERE len(row) = 1""")
+def checkpoint_publish(spark, d):
+    """The head as a note, and what reading the note gives."""
+    from ..sources.store import checkpoint_notes, parse_checkpoints
+
+    notes = checkpoint_notes(m.root(_nodes(spark, d)), fx.LOG)
+    return notes.join(parse_checkpoints(notes), "size")
+
+
+@query("""SELECT sequence_number, CASE WHEN sequence_number % 100 < 40 THEN 'did:log:a' WHEN sequence_number % 100 < 80 THEN 'did:log:b' END AS shard_did,
+CASE WHEN sequence_number % 100 >= 80 THEN 'no_shard' WHEN sequence_number % 17 = 4 THEN 'missing' WHEN sequence_number % 19 = 3 THEN 'corrupt' ELSE 'ok' END AS verdict FROM f_documents""")
+def archived_entries(spark, d):
+    """Entries of two archived shards by the index of their ranges, from their stores; some are lost or damaged there."""
+    from ..sources.store import archived, read_shards, write_entries
+    from .streams import folder
+
+    path, i = folder(spark), F.col("sequence_number")
+    # sequences are dealt out so that each shard has one range of places
+    docs = fx.documents(spark, d).withColumn("place", i % 100 * 1_000_000 + i).select(F.col("place").alias("sequence_number"), "canonical_hash", "data", i.alias("own"))
+    kept = docs.where("own % 17 <> 4").withColumn("data", F.when(F.col("own") % 19 == 3, F.concat("data", F.lit(b"x"))).otherwise(F.col("data"))).drop("own")
+    ranges = {"a": (0, 40_000_000 - 1), "b": (40_000_000, 80_000_000 - 1)}
+    for name, (lo, hi) in ranges.items():
+        write_entries(kept.where(F.col("sequence_number").between(lo, hi)), f"{path}/{name}")
+    listed = spark.createDataFrame([(f"did:log:{n}", lo, hi, f"{path}/{n}") for n, (lo, hi) in ranges.items()], "shard_did string, range_start_seq long, range_end_seq long, location string")
+    listed.agg(F.to_json(F.collect_list(F.struct(*listed.columns))).alias("value")).coalesce(1).write.text(f"{path}/index")
+    got = archived(spark, docs.select("sequence_number", "canonical_hash"), read_shards(spark, f"{path}/index"))
+    return got.select(F.expr("sequence_number % 1000000").alias("sequence_number"), "shard_did", "verdict")
+
+
 def rebuilt(index, bundles, objects):
     """(sequence_number, canonical_hash, verdict): each row of the index against its entry in the bundles of hashes and
     the hash of its whole bytes in the store; missing ones are corrupt."""

@@ -40,11 +40,11 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("SELECT 'did:log:' || (sequence_number % 3) AS log_did, sequence_number // 3 AS sequence_number, canonical_hash FROM f_entries WHERE sequence_number < 900", python=True)
+@query("SELECT 'did:log:' || (sequence_number % 3) AS log_did, sequence_number // 3 AS sequence_number, canonical_hash FROM f_entries", python=True)
 def stream_commit_ordered(spark, d):
     path = folder(spark)
     i = F.col("sequence_number")
-    staged = fx.entries(spark, d).where("sequence_number < 900").select(F.concat(F.lit("did:log:"), (i % 3).cast("string")).alias("log_did"), F.expr("sequence_number div 3").alias("sequence_number"), "canonical_hash", F.xxhash64(i).alias("o"))
+    staged = fx.entries(spark, d).select(F.concat(F.lit("did:log:"), (i % 3).cast("string")).alias("log_did"), F.expr("sequence_number div 3").alias("sequence_number"), "canonical_hash", F.xxhash64(i).alias("o"))
     return drained(loops.commit_ordered(as_stream(staged, path + "/in", order="o").drop("o")), path)
 
 
@@ -77,19 +77,18 @@ def stream_admit(spark, d):
     return spark.read.parquet(path + "/yes").select("sequence_number", F.lit(True).alias("accepted")).unionByName(spark.read.parquet(path + "/no").select("sequence_number", F.lit(False).alias("accepted")))
 
 
-@query("SELECT sequence_number % 10 = 0 AS own, sequence_number // 10 * 10 AS leaf, max(sequence_number) AS tip FROM f_entries WHERE sequence_number % 10 IN (0, 2, 3) GROUP BY 1, 2")
+@query("SELECT sequence_number % 10 = 0 AS own, sequence_number // 10 * 10 AS leaf, max(sequence_number) AS tip FROM f_entries GROUP BY 1, 2")
 def stream_build(spark, d):
     path = folder(spark)
     i, m = F.col("sequence_number"), F.col("sequence_number") % 10
-    rows = fx.entries(spark, d).where("sequence_number % 10 in (0, 2, 3)").select(i, m.alias("m"))
+    rows = fx.entries(spark, d).select(i, m.alias("m"))
 
     def fold(batch: DataFrame) -> DataFrame:
         leaf = F.when(F.col("m") == 0, F.col("sequence_number") * 2).otherwise((F.col("sequence_number") - F.col("m")) * 2 + 1)
         return batch.groupBy(leaf.alias("leaf_seq")).agg(F.max("sequence_number").alias("origin_tip"), F.min("sequence_number").alias("authority_tip"))
 
     loops.build(as_stream(rows, path + "/in", order="sequence_number"), fold, path + "/out", path + "/state").awaitTermination()
-    last = spark.read.parquet(path + "/out")
-    last = last.join(F.broadcast(last.agg(F.max("batch_id").alias("batch_id"))), "batch_id")
+    last = loops.built(spark, path + "/out")
     return last.select((F.col("leaf_seq") % 2 == 0).alias("own"), F.expr("leaf_seq div 2").alias("leaf"), F.col("origin_tip").alias("tip"))
 
 
@@ -101,6 +100,57 @@ def stream_ship(spark, d):
     return spark.read.parquet(path + "/out").select("sequence_number", "canonical_hash")
 
 
+@query("SELECT sequence_number, canonical_hash, CASE WHEN sequence_number % 29 = 0 THEN 'manual' ELSE 'shipped' END AS state FROM f_documents")
+def stream_ship_retry(spark, d):
+    """Some rows fail once or twice and go out later; some always fail and end with a person."""
+    path, i = folder(spark), F.col("sequence_number")
+    fails = (i % 29 == 0) | (i % 13 == 0) & (F.col("attempts") < 2)
+    docs = fx.documents(spark, d).select("sequence_number", "canonical_hash", "data")
+    loops.ship(as_stream(docs, path + "/in", order="sequence_number"), path + "/out", path + "/state", fails, 4).awaitTermination()
+    loops.shipped_rest(spark, path + "/out", fails, 4)
+    sent = spark.read.parquet(path + "/out").select("sequence_number", "canonical_hash", F.lit("shipped").alias("state"))
+    return sent.unionByName(spark.read.parquet(path + "/out_manual").select("sequence_number", "canonical_hash", F.lit("manual").alias("state")))
+
+
+@query("SELECT 'split_index' AS projection, schema_id || ':' || split_id AS key, sequence_number FROM f_splits UNION ALL SELECT 'entry_lookup', signer_did, sequence_number FROM f_splits WHERE sequence_number % 2 = 0")
+def stream_project(spark, d):
+    path = folder(spark)
+    of = {
+        "split_index": lambda b: b.select(F.concat_ws(":", "schema_id", "split_id").alias("key"), "sequence_number"),
+        "entry_lookup": lambda b: b.where("sequence_number % 2 = 0").select(F.col("signer_did").alias("key"), "sequence_number"),
+    }
+    loops.project(as_stream(fx.splits(spark, d), path + "/in", order="sequence_number"), of, path + "/out", path + "/state").awaitTermination()
+    rows = [spark.read.parquet(f"{path}/out/{name}").select(F.lit(name).alias("projection"), "key", "sequence_number") for name in of]
+    return rows[0].unionByName(rows[1])
+
+
+@query("""SELECT 'did:log:main' AS originator, tree_size, least(root_hash, sha256(root_hash)) AS root_a, greatest(root_hash, sha256(root_hash)) AS root_b
+FROM f_heads JOIN (SELECT tree_size, count(DISTINCT signer) AS k FROM f_sigs GROUP BY 1) USING (tree_size) WHERE k >= 3 AND tree_size % 50 = 1""", python=True)
+def stream_head_monitor(spark, d):
+    path = folder(spark)
+    signers = fx.sigs(spark, d).groupBy("tree_size").agg(F.countDistinct("signer").alias("signers"))
+    h = fx.heads(spark, d).join(signers, "tree_size").select(F.lit(fx.LOG).alias("originator"), "tree_size", "root_hash", "signers")
+    forged = h.where("tree_size % 50 = 1").withColumn("root_hash", F.sha2("root_hash", 256))
+    heads = as_stream(h.unionByName(forged).withColumn("o", F.xxhash64("root_hash")), path + "/in", order="o").drop("o")
+    return drained(loops.monitor_heads(heads, 3), path)
+
+
+@query("SELECT sequence_number, CASE WHEN sequence_number % 97 = 13 THEN 'skipped' ELSE 'diverged' END AS verdict FROM f_entries WHERE sequence_number % 97 = 13 OR sequence_number % 101 = 5")
+def stream_integrity(spark, d):
+    """The journal's hashes as they come against the tree's, which has holes; some have been changed."""
+    path = folder(spark)
+    tree = fx.holed(spark, d).select("sequence_number", F.col("canonical_hash").alias("tree_hash"))
+
+    def check(batch: DataFrame) -> DataFrame:
+        rows = batch.join(tree, "sequence_number", "left")
+        verdict = F.when(F.col("tree_hash").isNull(), "skipped").when(F.col("canonical_hash") != F.col("tree_hash"), "diverged")
+        return rows.select("sequence_number", verdict.alias("verdict")).where("verdict is not null")
+
+    rows = fx.entries(spark, d).select("sequence_number", F.when(F.col("sequence_number") % 101 == 5, F.sha2("canonical_hash", 256)).otherwise(F.col("canonical_hash")).alias("canonical_hash"))
+    loops.audit(as_stream(rows, path + "/in", order="sequence_number"), check, path + "/out", path + "/state").awaitTermination()
+    return spark.read.parquet(path + "/out").select("sequence_number", "verdict")
+
+
 @query("SELECT signer_did, schema_ref, count(*) AS n, max(sequence_number) AS last FROM f_entries GROUP BY 1, 2")
 def stream_counts(spark, d):
     path = folder(spark)

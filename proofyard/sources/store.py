@@ -74,15 +74,17 @@ def _split_bundles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at, k = 0, 0
             while at + 2 <= len(data):
                 n = int.from_bytes(data[at : at + 2], "big")
-                if at + 2 + n > len(data):
-                    break
-                out.append((index * TILE + k, bytes(data[at + 2 : at + 2 + n])))
+                whole = at + 2 + n <= len(data)
+                out.append((index * TILE + k, bytes(data[at + 2 : at + 2 + n]) if whole else None))
                 at, k = at + 2 + n, k + 1
+            if at + 1 == len(data):
+                out.append((index * TILE + k, None))
         yield pd.DataFrame(out, columns=["sequence_number", "data"])
 
 
 def bundle_entries(bundles: DataFrame) -> DataFrame:
-    """(sequence_number, data) of bundles (index, data): entries as u16 length and bytes; a cut last one is dropped."""
+    """(sequence_number, data) of bundles (index, data): entries as u16 length and bytes; one that is
+    cut short has null data."""
     schema = T.StructType([T.StructField("sequence_number", T.LongType()), T.StructField("data", T.BinaryType())])
     return bundles.select("index", "data").mapInPandas(_split_bundles, schema)
 
@@ -98,6 +100,31 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("shard_did string, range_start_seq long, range_end_seq long, location string").option("multiLine", "true").json(path)
 
 
+def archived(spark: SparkSession, refs: DataFrame, shards: DataFrame) -> DataFrame:
+    """(sequence_number, canonical_hash, shard_did, data, verdict) of asked (sequence_number, canonical_hash): bytes from the
+    store of the archived shard whose range holds the sequence. Verdict: ok, corrupt (other bytes than the hash says),
+    missing (not in its shard) or no_shard. The index of shards is configuration; each store is read once."""
+    from ..operators.joins import resolve_shard
+
+    listed = shards.select("shard_did", "location").collect()
+    stores = None
+    for row in listed:
+        one = spark.read.parquet(row["location"]).select(F.lit(row["shard_did"]).alias("shard_did"), "sequence_number", "canonical_hash", "data")
+        stores = one if stores is None else stores.unionByName(one)
+    placed = resolve_shard(refs.withColumn("log_did", F.lit("")), shards).select("sequence_number", "canonical_hash", "shard_did")
+    if stores is None:
+        return placed.select("*", F.lit(None).cast("binary").alias("data"), F.lit("no_shard").alias("verdict"))
+    rows = placed.join(stores, ["shard_did", "sequence_number", "canonical_hash"], "left")
+    verdict = F.when(F.col("shard_did").isNull(), "no_shard").when(F.col("data").isNull(), "missing").when(F.sha2("data", 256) == F.col("canonical_hash"), "ok").otherwise("corrupt")
+    return rows.select("sequence_number", "canonical_hash", "shard_did", "data", verdict.alias("verdict"))
+
+
+def checkpoint_notes(roots: DataFrame, origin: str) -> DataFrame:
+    """(size, value): the signed note's text of heads (size, root as hex), without its signatures."""
+    note = F.concat_ws("\n", F.lit(origin), F.col("size").cast("string"), F.base64(F.unhex("root")), F.lit(""))
+    return roots.select("size", note.alias("value"))
+
+
 def jdbc_entries(spark: SparkSession, url: str, table: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
     """A database table read in parallel by ranges of sequences; filters and columns are pushed down to it."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="sequence_number", lowerBound=lower, upperBound=upper, numPartitions=parts, **options)

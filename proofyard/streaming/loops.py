@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.changes import publish
+from ..operators.changes import publish, published
 from ..operators.windows import ranked
+from ..saving import saved
 
 _CODES = "sequence_number long, canonical_hash string"
 
@@ -35,17 +36,19 @@ def admit(submissions: DataFrame, judge, accepted: str, rejected: str, checkpoin
 
 def sequence(pending: DataFrame, out: str, checkpoint: str, **trigger):
     """Give hashes that have none the next sequences, in order of arrival (ord). One writer: the numbers of a batch
-    follow the highest that earlier batches gave. Ranks come from counts of ranges of the order, not from one window."""
+    follow those of the batches before, which a table of one row a batch holds; of earlier batches only the hashes are
+    read, and only of those that are marked. Ranks come from counts of ranges of the order, not from one window."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.groupBy("canonical_hash").agg(F.min("ord").alias("ord"))
         base = 0
-        if _exists(spark, out):
-            done = spark.read.schema(f"{_CODES}, batch_id int").parquet(out).where(F.col("batch_id") != batch_id)
-            first = first.join(done.select("canonical_hash"), "canonical_hash", "left_anti")
-            base = (done.agg(F.max("sequence_number")).first()[0] if not done.isEmpty() else -1) + 1
-        publish(ranked(first, "ord", base).select(F.col("place").alias("sequence_number"), "canonical_hash"), out, batch_id)
+        if done := published(spark, out, batch_id):
+            first = first.join(spark.read.schema(_CODES).parquet(*done).select("canonical_hash"), "canonical_hash", "left_anti")
+            base = spark.read.schema("next long").parquet(*published(spark, out + "_marks", batch_id)).agg(F.max("next")).first()[0]
+        publish(ranked(saved(first), "ord", base).select(F.col("place").alias("sequence_number"), "canonical_hash"), out, batch_id)
+        n = spark.read.schema(_CODES).parquet(f"{out}/batch_id={batch_id}").count()
+        publish(spark.createDataFrame([(base + n,)], "next long"), out + "_marks", batch_id)
 
     return _start(pending, each, checkpoint, trigger)
 
@@ -56,8 +59,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _commit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expected, waiting = state.get if state.exists else (0, "")
-    heap = {int(x.split("=")[0]): x.split("=")[1] for x in waiting.split(",") if x}
+    expected, seqs, hashes = state.get if state.exists else (0, [], [])
+    heap = dict(zip(map(int, seqs), hashes))
     for f in frames:
         for seq, h in zip(f["sequence_number"], f["canonical_hash"]):
             if seq >= expected:
@@ -66,7 +69,7 @@ def _commit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     while expected in heap:
         out.append((key[0], expected, heap.pop(expected)))
         expected += 1
-    state.update((expected, ",".join(f"{s}={h}" for s, h in sorted(heap.items()))))
+    state.update((expected, list(heap), list(heap.values())))
     yield pd.DataFrame(out, columns=["log_did", "sequence_number", "canonical_hash"])
 
 
@@ -74,7 +77,7 @@ def commit_ordered(staged: DataFrame) -> DataFrame:
     """Staged rows (log_did, sequence_number, canonical_hash) in dense order of each log: what arrives early waits in the
     log's state, what arrives again is dropped."""
     return staged.groupBy("log_did").applyInPandasWithState(
-        _commit, f"log_did string, {_CODES}", "expected long, waiting string", "append", GroupStateTimeout.NoTimeout)
+        _commit, f"log_did string, {_CODES}", "expected long, seqs array<long>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def _chain(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,46 +102,108 @@ def append_gossip(events: DataFrame) -> DataFrame:
 
 
 def _second(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seq, signer, done = state.get if state.exists else (-1, "", False)
+    a, b, told = state.get if state.exists else ((-1, ""), (-1, ""), (-1, -1))
+    held = {(int(s), d) for s, d in (a, b) if s >= 0} | {(int(s), d) for f in frames for s, d in zip(f["sequence_number"], f["signer_did"])}
+    two = [*sorted(held)[:2], (-1, ""), (-1, "")][:2]
+    (s, d), (t, e) = two
     out = []
-    for s, d in sorted((int(s), d) for f in frames for s, d in zip(f["sequence_number"], f["signer_did"])):
-        if seq < 0:
-            seq, signer = s, d
-        elif not done and s > seq:
-            done = True
-            if d == signer:
-                out.append((*key, seq, s))
-    state.update((seq, signer, done))
+    if t >= 0 and d == e and (s, t) != tuple(told):
+        out.append((*key, s, t))
+        told = (s, t)
+    state.update((two[0], two[1], told))
     yield pd.DataFrame(out, columns=["schema_id", "split_id", "seq_a", "seq_b"])
 
 
 def scan_equivocations(splits: DataFrame) -> DataFrame:
-    """A finding when a second entry of one signer arrives at a (schema, split); entries arrive in order of sequence."""
+    """A finding when the two earliest entries at a (schema, split) are of one signer. The two lowest sequences are held,
+    whatever order entries arrive in; where an earlier one comes late, the pair is told again as it is then."""
+    pair = "struct<seq:long,signer:string>"
     return splits.groupBy("schema_id", "split_id").applyInPandasWithState(
-        _second, "schema_id string, split_id string, seq_a long, seq_b long", "seq long, signer string, done boolean", "append", GroupStateTimeout.NoTimeout)
+        _second, "schema_id string, split_id string, seq_a long, seq_b long", f"a {pair}, b {pair}, told struct<a:long,b:long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def build(entries: DataFrame, fold, out: str, checkpoint: str, **trigger):
-    """Fold entries into leaves batch by batch. As tips are maxima, a batch's leaves are merged into those before by the
-    same maximum, and one batch gives what many do. The newest complete version is the state."""
+def _monitor(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (first, told) = state.get if state.exists else ("", False)
+    out = []
+    for root in sorted({r for f in frames for r in f["root_hash"]}):
+        first = first or root
+        if root != first and not told:
+            out.append((key[0], key[1], min(first, root), max(first, root)))
+            told = True
+    state.update((first, told))
+    yield pd.DataFrame(out, columns=["originator", "tree_size", "root_a", "root_b"])
+
+
+def monitor_heads(heads: DataFrame, k: int) -> DataFrame:
+    """(originator, tree_size, root_a, root_b) when a second root signed by `k` or more arrives for a size: each log and
+    size is told once, by the first two different roots."""
+    return heads.where(F.col("signers") >= k).groupBy("originator", "tree_size").applyInPandasWithState(
+        _monitor, "originator string, tree_size long, root_a string, root_b string", "root string, told boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def audit(stream: DataFrame, check, out: str, checkpoint: str, **trigger):
+    """What `check` (a batch of rows -> findings) finds in rows as they come, written under the batch's id."""
+    return _start(stream, lambda batch, batch_id: publish(check(batch), out, batch_id) and None, checkpoint, trigger)
+
+
+def project(entries: DataFrame, projections: dict, out: str, checkpoint: str, **trigger):
+    """After a commit, each of the named projections (a batch -> rows) of the committed entries, written to out/<name>
+    under the batch's id, so that a batch that runs again adds nothing."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = fold(batch)
-        path = f"{out}/batch_id={batch_id - 1}"
-        if batch_id and _exists(spark, path):
-            old = spark.read.parquet(path)
-            new = old.unionByName(new).groupBy("leaf_seq").agg(F.max("origin_tip").alias("origin_tip"), F.max("authority_tip").alias("authority_tip"))
-        publish(new, out, batch_id)
+        rows = batch.persist()
+        for name, of in sorted(projections.items()):
+            publish(of(rows), f"{out}/{name}", batch_id)
+        rows.unpersist()
 
     return _start(entries, each, checkpoint, trigger)
 
 
-def ship(sequenced: DataFrame, out: str, checkpoint: str, **trigger):
-    """Write entries' bytes to the store; what is there already is not written again."""
+def build(entries: DataFrame, fold, out: str, checkpoint: str, **trigger):
+    """Fold entries into leaves batch by batch; each batch writes the leaves it moves, and no others. As tips are maxima,
+    `built` merges the batches by the same maximum, and one batch gives what many do."""
+    return _start(entries, lambda batch, batch_id: publish(fold(batch), out, batch_id) and None, checkpoint, trigger)
+
+
+def built(spark: SparkSession, out: str, schema: str = "leaf_seq long, origin_tip long, authority_tip long") -> DataFrame:
+    """The state after all marked batches of `build`."""
+    paths = published(spark, out)
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return rows.groupBy("leaf_seq").agg(F.max("origin_tip").alias("origin_tip"), F.max("authority_tip").alias("authority_tip"))
+
+
+def ship(sequenced: DataFrame, out: str, checkpoint: str, fails=None, most: int = 10, **trigger):
+    """Write entries' bytes to the store; what is there already is not written again.
+
+    Rows for which `fails` (a column that may use attempts) holds are not written: they wait, with one attempt more, and
+    go out with the next batch; after `most` attempts they are handed to a person. Waiting and manual rows lie in
+    out_waiting and out_manual, by batch; `shipped_rest` tries the waiting ones without new input."""
+    return _start(sequenced, lambda batch, batch_id: _ship(batch.sparkSession, batch, out, batch_id, fails, most), checkpoint, trigger)
+
+
+def _ship(spark: SparkSession, batch: DataFrame | None, out: str, batch_id: int, fails, most: int) -> int:
     from ..sources.store import write_entries
 
-    return _start(sequenced, lambda batch, _: write_entries(batch, out) and None, checkpoint, trigger)
+    kinds = "sequence_number long, canonical_hash string, data binary, attempts int"
+    before = f"{out}_waiting/batch_id={batch_id - 1}"
+    rows = spark.read.schema(kinds).parquet(before) if _exists(spark, before + "/_SUCCESS") else spark.createDataFrame([], kinds)
+    if batch is not None:
+        rows = rows.unionByName(batch.select("sequence_number", "canonical_hash", "data", F.lit(0).alias("attempts")))
+    rows = saved(rows.groupBy("sequence_number", "canonical_hash").agg(F.max("attempts").alias("attempts"), F.first("data").alias("data")))
+    failed = F.coalesce(fails if fails is not None else F.lit(False), F.lit(False))
+    write_entries(rows.where(~failed).drop("attempts"), out)
+    again = rows.where(failed).withColumn("attempts", F.col("attempts") + 1).select("sequence_number", "canonical_hash", "data", "attempts")
+    publish(again.where(F.col("attempts") >= most).drop("data"), out + "_manual", batch_id)
+    publish(again.where(F.col("attempts") < most), out + "_waiting", batch_id)
+    return spark.read.schema(kinds).parquet(f"{out}_waiting/batch_id={batch_id}").count()
+
+
+def shipped_rest(spark: SparkSession, out: str, fails=None, most: int = 10) -> None:
+    """Try waiting rows again until they are written or handed to a person, with no pause between."""
+    batches = [int(p.rsplit("=", 1)[1]) for p in published(spark, out + "_waiting")]
+    batch_id = max(batches, default=-1) + 1
+    while batch_id and _ship(spark, None, out, batch_id, fails, most):
+        batch_id += 1
 
 
 def counts(entries: DataFrame) -> DataFrame:

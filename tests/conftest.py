@@ -16,7 +16,8 @@ def spark(tmp_path_factory):
     home = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"file://{home}/warehouse").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", f"file://{home}/warehouse").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{home}/shared").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     from proofyard.shipping import ship

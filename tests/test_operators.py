@@ -140,7 +140,7 @@ def test_tiles_of_files(spark, tmp_path):
     full = store.widest(tiles.where("level = '0'"))
     assert [(r["index"], bytes(r["hash"])) for r in store.tile_hashes(full).orderBy("index").collect()] == [(1234067 * 256 + i, x) for i, x in enumerate(hashes)]
     got = store.bundle_entries(tiles.where("level = 'entries'")).orderBy("sequence_number").collect()
-    assert [(r["sequence_number"], bytes(r["data"])) for r in got] == [(0, b"a"), (1, b"bc")]
+    assert [(r["sequence_number"], r["data"] and bytes(r["data"])) for r in got] == [(0, b"a"), (1, b"bc"), (2, None)]
     assert store.location("s3", "b", "/p/") == "s3a://b/p"
     with pytest.raises(ValueError):
         store.location("ftp", "b")
@@ -218,3 +218,182 @@ def test_progress_of_a_stream_as_rows(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(seen)
     assert sum(r["input_rows"] for r in seen.frame(spark).where("name = 'five'").collect()) == 5
+
+
+# Folds, chains, windows
+
+
+def test_ordered_folds_carry_state_between_batches(spark):
+    from proofyard.operators import ordered
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = spark.createDataFrame([("a", i, i) for i in range(20)] + [("b", i, 1) for i in range(7)], "k string, o long, v long")
+        got = ordered.fold(rows, ["k"], ["o"], lambda: 0, lambda s, r: (s + r[1], (s + r[1],)), "total long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r["k"], r["o"]): r["total"] for r in got} == {**{("a", i): i * (i + 1) // 2 for i in range(20)}, **{("b", i): i + 1 for i in range(7)}}
+
+
+def test_delta_window_accepts_by_prior_tips(spark):
+    from proofyard.operators import ordered
+
+    # strict: only the tip; commutative: one of the last ten; a cold start has no tips
+    rows = [("s", 3, None, False), ("s", 4, 999, False), ("s", 5, 3, False), ("s", 6, 3, False), ("c", 3, None, True), ("c", 4, 3, True), ("c", 5, 3, True), ("c", 6, 999, True), ("n", 1, 7, True)]
+    rows += [("w", i, None, True) for i in range(1, 12)] + [("w", 20, 1, True), ("w", 21, 2, True)]
+    got = {(r["leaf"], r["sequence_number"]): r["reason"] for r in ordered.delta_window(spark.createDataFrame(rows, "leaf string, sequence_number long, prior long, commutative boolean")).collect()}
+    assert [got["s", i] for i in (3, 4, 5, 6)] == ["first", "stale", "tip", "stale"]
+    assert [got["c", i] for i in (3, 4, 5, 6)] == ["first", "tip", "window", "stale"] and got["n", 1] == "stale"
+    assert (got["w", 20], got["w", 21]) == ("stale", "window")
+
+
+def test_breaker_opens_and_tries_once(spark):
+    from proofyard.operators import ordered
+
+    calls = [("d", i, i, False) for i in range(5)] + [("d", 5, 10, True), ("d", 6, 5004, False), ("d", 7, 5005, True), ("d", 8, 10_004, True), ("d", 9, 10_005, False)]
+    got = [(r["state"], r["allowed"]) for r in ordered.breaker(spark.createDataFrame(calls, "k string, o long, at_ms long, ok boolean"), "k", "o").orderBy("o").collect()]
+    assert got == [("closed", True)] * 5 + [("open", False), ("half_open", True), ("open", False), ("half_open", True), ("closed", True)]
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_values_are_carried_over_buckets(spark, width):
+    rows = [("a", 0, None, 5), ("a", 1, 10, None), ("a", 4, None, None), ("a", 9, None, 7), ("b", 2, None, 1)]
+    df = spark.createDataFrame(rows, "k string, o long, x long, y long")
+    got = sorted(map(tuple, windows.carried(df, ["k"], "o", ["x", "y"], width=width).select("k", "o", "x", "y").collect()))
+    assert got == [("a", 0, None, 5), ("a", 1, 10, 5), ("a", 4, 10, 5), ("a", 9, 10, 7), ("b", 2, None, 1)]
+    got = sorted(map(tuple, windows.carried(df, ["k"], "o", ["x", "y"], False, width).select("k", "o", "x", "y").collect()))
+    assert got == [("a", 0, None, None), ("a", 1, None, 5), ("a", 4, 10, 5), ("a", 9, 10, 5), ("b", 2, None, None)]
+
+
+@pytest.mark.parametrize("width", [1, 4, 1000])
+def test_credit_is_given_in_order(spark, width):
+    asks = spark.createDataFrame([("x", i) for i in range(0, 30, 3)] + [("y", i) for i in range(5)] + [("z", 1)], "exchange_did string, o long")
+    credits = spark.createDataFrame([("x", 7), ("y", 50)], "exchange_did string, balance long")
+    got = {(r["exchange_did"], r["o"]): r["admitted"] for r in changes.admit_by_credit(asks, credits, "o", width).collect()}
+    assert got == {**{("x", i): i < 21 for i in range(0, 30, 3)}, **{("y", i): True for i in range(5)}, ("z", 1): False}
+
+
+def test_roots_of_versions_are_those_of_each_state(spark):
+    from hashlib import sha256
+
+    from proofyard.operators import merkle
+
+    def root(leaves, top):
+        row = [leaves.get(i, merkle.EMPTY) for i in range(top + 1)]
+        while True:
+            row = row + [merkle.EMPTY] * (-len(row) % 16)
+            row = ["".join(row[i : i + 16]) for i in range(0, len(row), 16)]
+            row = [merkle.EMPTY if x == merkle.EMPTY * 16 else sha256(x.encode()).hexdigest() for x in row]
+            if len(row) == 1:
+                return row[0]
+
+    writes = [(i * 7 % 300, v, sha256(f"{i}|{v}".encode()).hexdigest()) for v in (0, 1, 5) for i in range(v, 40, v + 1)]
+    got = {r["version"]: r["root"] for r in merkle.versioned_roots(spark.createDataFrame(writes, "index long, version long, hash string")).collect()}
+    top, state, want = max(w[0] for w in writes), {}, {}
+    for v in (0, 1, 5):
+        state.update({i: h for i, w, h in writes if w == v})
+        want[v] = root(state, top)
+    assert got == want
+
+
+# Gates
+
+
+def test_heads_need_a_quorum_and_chains_an_end(spark):
+    from proofyard.operators import admission as a
+
+    base = dict(n_bytes=100, version=1, decodes=True, invariants=True, normalised=True, destination="d", event_time_s=0, signature_ok=True, cosig_verdict=None, embedded_size=None, head_signers=None,
+                chain_depth=None, chain_complete=None, policy_met=None, schema_id=None, n_pointers=0, session_ok=True, stamp_bits=None)
+    cases = [({}, None), ({"embedded_size": 5}, "head_quorum"), ({"embedded_size": 5, "head_signers": 1}, "head_quorum"), ({"embedded_size": 5, "head_signers": 2}, None), ({"invariants": False, "normalised": False}, "bad_invariant"),
+             ({"chain_depth": 3, "chain_complete": True}, None), ({"chain_depth": 3, "chain_complete": False}, "broken_chain"), ({"chain_depth": 9, "chain_complete": False}, "lost_chain"), ({"policy_met": False}, "policy"),
+             ({"session_ok": False}, "unauthenticated"), ({"session_ok": False, "stamp_bits": 7}, "bad_stamp"), ({"session_ok": False, "stamp_bits": 8}, None), ({"decodes": None}, "undecodable")]
+    kinds = "i int, n_bytes int, version int, decodes boolean, invariants boolean, normalised boolean, destination string, event_time_s int, signature_ok boolean, cosig_verdict string, embedded_size long, head_signers long, chain_depth int, chain_complete boolean, policy_met boolean, schema_id string, n_pointers int, session_ok boolean, stamp_bits int"
+    rows = spark.createDataFrame([(i, *{**base, **c}.values()) for i, (c, _) in enumerate(cases)], kinds)
+    got = {r["i"]: r["reject_class"] for r in a.judge(rows, a.gates("d", F.lit(0), [], quorum=2)).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+    assert {e for e, _ in a.CLASSES.values()} <= set(a.ERRORS) and len(a.ERRORS) == 37
+
+
+# Stores and streams
+
+
+def test_cut_bundles_leave_a_row(spark):
+    whole = b"\x00\x02ab\x00\x01c"
+    rows = spark.createDataFrame([(0, bytearray(whole)), (1, bytearray(whole + b"\x00\x05xy")), (2, bytearray(whole + b"\x00"))], "index long, data binary")
+    got = sorted((r["sequence_number"], None if r["data"] is None else bytes(r["data"])) for r in store.bundle_entries(rows).collect())
+    assert got == [(0, b"ab"), (1, b"c"), (256, b"ab"), (257, b"c"), (258, None), (512, b"ab"), (513, b"c"), (514, None)]
+
+
+def test_partial_and_full_tiles(spark, tmp_path):
+    for name, data in (("tile/0/x001/234", b"f" * 64), ("tile/0/005.p/3", b"p" * 96), ("tile/0/005.p/7", b"q" * 224), ("tile/0/006", b"g" * 32), ("tile/0/006.p/9", b"h" * 288), ("note", b"x")):
+        path = tmp_path / "log" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(data)
+    got = {(r["level"], r["index"]): (r["width"], bytes(r["data"][:1])) for r in store.widest(store.read_tiles(spark, f"file://{tmp_path}/log")).collect()}
+    assert got == {("0", 1234): (256, b"f"), ("0", 5): (7, b"q"), ("0", 6): (256, b"g")}
+
+
+def test_peers_feed_arrives_as_a_stream(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "1.json").write_text('{"event_id":"a","originator":"o","kind":"head","lamport":1,"bindings":["x"]}\n')
+    (feed / "2.json").write_text('{"event_id":"b","originator":"o","kind":"head","lamport":2}\n')
+    q = store.peer_feed(spark, f"file://{feed}", 1).writeStream.format("memory").queryName("peer_feed_test").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["event_id"], r["lamport"]) for r in spark.table("peer_feed_test").collect()) == [("a", 1), ("b", 2)]
+
+
+def files(spark, path, batches, kind):
+    for rows in batches:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_equivocations_that_arrive_out_of_order(spark, tmp_path):
+    from proofyard.plans.streams import drained
+
+    kind = "schema_id string, split_id string, sequence_number long, signer_did string"
+    batches = [[("s", "k", 30, "a")], [("s", "k", 20, "b")], [("s", "k", 10, "b")], [("s", "k", 40, "b"), ("s", "l", 2, "c"), ("s", "l", 1, "c")], [("s", "l", 1, "c")]]
+    got = drained(loops.scan_equivocations(files(spark, f"{tmp_path}/in", batches, kind)), str(tmp_path)).collect()
+    assert sorted((r["split_id"], r["seq_a"], r["seq_b"]) for r in got) == [("k", 10, 20), ("l", 1, 2)]
+
+
+def test_ship_goes_on_after_a_restart(spark, tmp_path):
+    kind, out = "sequence_number long, canonical_hash string, data binary", f"{tmp_path}/out"
+    path = f"{tmp_path}/in"
+    fails = (F.col("sequence_number") == 2) & (F.col("attempts") < 2) | (F.col("sequence_number") == 3)
+    files(spark, path, [[(i, f"h{i}", bytearray(b"x")) for i in range(4)]], kind)
+    read = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    loops.ship(read(), out, f"{tmp_path}/state", fails, 3).awaitTermination()
+    assert sorted(r["sequence_number"] for r in spark.read.parquet(out).collect()) == [0, 1]
+    files(spark, path, [[(9, "h9", bytearray(b"y"))]], kind)
+    loops.ship(read(), out, f"{tmp_path}/state", fails, 3).awaitTermination()
+    loops.shipped_rest(spark, out, fails, 3)
+    assert sorted(r["sequence_number"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 9]
+    assert [(r["sequence_number"], r["attempts"]) for r in spark.read.parquet(out + "_manual").collect()] == [(3, 3)]
+
+
+def test_sequences_go_on_after_a_restart_and_unmarked_batches_do_not_count(spark, tmp_path):
+    kind, out, path = "canonical_hash string, ord long", f"{tmp_path}/out", f"{tmp_path}/in"
+    files(spark, path, [[("b", 2), ("a", 1), ("a", 5)], [("c", 3), ("a", 9)]], kind)
+    read = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    loops.sequence(read(), out, f"{tmp_path}/state").awaitTermination()
+    spark.createDataFrame([(77, "z")], "sequence_number long, canonical_hash string").write.parquet(f"{out}/batch_id=9")
+    (tmp_path / "out" / "batch_id=9" / "_SUCCESS").unlink()
+    files(spark, path, [[("z", 1), ("b", 4)]], kind)
+    loops.sequence(read(), out, f"{tmp_path}/state").awaitTermination()
+    got = spark.read.parquet(*changes.published(spark, out)).collect()
+    assert sorted((r["sequence_number"], r["canonical_hash"]) for r in got) == [(0, "a"), (1, "b"), (2, "c"), (3, "z")]
+
+
+def test_migrations_run_in_order_and_refuse_unknown_ones(spark):
+    pending = spark.createDataFrame([(3, "c"), (2, "b")], "version int, description string")
+    one = spark.range(1)
+    seen = []
+    steps = {v: (lambda t, v=v: seen.append(v) or {"x": t["x"].withColumn(f"c{v}", F.lit(v))}) for v in (2, 3)}
+    tables, done = changes.migrate({"x": one}, pending, steps)
+    assert done == seen == [2, 3] and tables["x"].columns == ["id", "c2", "c3"]
+    assert changes.migrate({"x": one}, pending, {}, check_only=True)[1] == [2, 3]
+    with pytest.raises(ValueError):
+        changes.migrate({"x": one}, pending, {2: steps[2]})
