@@ -3,20 +3,22 @@
 Contexts of up to DEPTH words are states of the tree where they repeat and where the next symbol's distribution diverges
 from that of the shorter context. Each state keeps the successors seen at least LEAST times; the discounted rest of its
 mass goes to its parent, down to add-one unigrams over all words of the training texts. A token is scored in the longest
-state that ends where it begins.
+state that ends where it begins. A run of words is looked at in longer contexts only while these may gain by it: n
+occurrences at probability p add at most n * ln(1 / p) to a divergence.
 
 All decisions are by absolute counts, so the tree grows with the corpus; it stays in saved tables, keyed by 64-bit hashes of
 runs of words. A token's log probability is that of its word plus one difference a length of context. The difference is
 the logarithm of the mass a state leaves to its parent, plus a correction where the successor is kept: a text's score is
-a sum over its runs of words of a value that belongs to the run, and one join by key finds all of them.
+a sum over its runs of words of a value that belongs to the run.
 
-What is broadcast is bounded and changes no result: words and values of runs that hold a share of all tokens, which spare
-the join the hot keys, and bit maps of the runs that repeat, which spare it runs that have no row.
+Counts, and what texts ask of the tables, go to their keys as arrays: rows of Spark that hold thousands of entries each,
+dealt by shards of the hash, so that an entry costs its bytes and tasks work on whole arrays. What is broadcast is bounded
+and changes no result: words and values of runs that hold a share of all tokens, and bit maps of the runs that repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,18 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, saved
+from .shared import discard, join_hot, saved
 from .tokens import Words, mix, words
 
 LOOKUP = 1e-6  # least share of tokens of a word looked up in a broadcast table
-RUN_LOOKUP = 4e-6  # and of a run of words
+RUN_LOOKUP = 2e-6  # and of a run of words
 BITS = 26  # of the bit maps' addresses
+BLOCK = 16  # of these, inside a block of a bit map
 LEAST = 2  # least count of a context and of a successor
 GAIN = 4.0  # least Kullback-Leibler divergence of a state from its parent, times its count (nats)
 DEPTH = 3  # words of the longest contexts
 DISCOUNT = 0.75
+HOT = 1000  # a key with more than this share of all tokens (one in HOT) is dealt by the whole run
+SHARD = 1 << 21  # tokens a shard of counts has, about
 END = np.uint64(0x5EED0FE0D0000001)
-_FLUSH = 1 << 20
+FLUSH = 1 << 21  # entries gathered before they are merged and sent
+
+U8, F8, U4, U2 = (np.dtype(x) for x in ("<u8", "<f8", "<u4", "<u2"))
+_DEALT = "shard int, kind int, first long, data binary"
 
 
 class Model(NamedTuple):
@@ -61,7 +69,7 @@ class Tree(NamedTuple):
     vocabulary: DataFrame  # key, n of all words
     runs: list[DataFrame]  # if whole, by length of context from 1: ctx, suf, key, n, size, parent
     states: list[DataFrame]  # if whole: ctx, size, stay of those kept
-    values: DataFrame  # key, n, value
+    values: DataFrame  # key, n, value; a key may have two rows, whose values add up
 
 
 def _tokens(chunk: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -84,119 +92,247 @@ def _key(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
     return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + mix(suf))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ctx, suf = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_key(ctx, suf).view(np.int64)), b.column(2)], ["ctx", "suf", "key", "n"])
+def _longer(run: np.ndarray) -> np.ndarray:
+    """Keys of the runs one word longer that end at each token; the first has none."""
+    return np.concatenate((run[:1], _key(run[:-1], run[1:])))
 
 
-def _map_of(keys: DataFrame) -> np.ndarray:
-    """A bit map of fixed size that has a bit for each key; others may share it."""
-    cells = keys.select(F.expr(f"cast(shiftright(key & {(1 << BITS) - 1}, 6) as int)").alias("cell"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), dtype=np.uint64)
-    out[got["cell"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+# Arrays as rows
+
+
+def _deal(shard: np.ndarray, kind: int, first: int, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """One row a shard: its entries of all columns, column after column, in the order they come."""
+    order = np.argsort(shard, kind="stable")
+    names, begins = np.unique(shard[order], return_index=True)
+    cols, ends = [c[order] for c in cols], np.append(begins[1:], len(order))
+    data = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(begins, ends)]
+    n = len(names)
+    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, first, np.int64)), pa.array(data, pa.binary())], ["shard", "kind", "first", "data"])
+
+
+def _cut(data: bytes, kinds: tuple[np.dtype, ...]) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(k.itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * k.itemsize
     return out
 
 
-def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = (keys & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
-    return (bits[cell] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    for b in batches:
+        for kind, first, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            yield kind, first, data.as_buffer()
 
 
-def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct keys, what goes with them, and sums of their counts (last)."""
-    key, *more, count = (np.concatenate(x) for x in zip(*parts))
-    key, first, place = np.unique(key, return_index=True, return_inverse=True)
-    return key, *[x[first] for x in more], np.bincount(place, weights=count, minlength=len(key)).astype(np.int64)
+def _shards_of(rows: DataFrame, total: int) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD + 1)
 
 
-def _counted(keys_of):
-    """Partial counts of the keys (with what goes with them) that `keys_of` draws from each chunk, merged within a
-    partition up to a bound. Gives what goes with the keys, or the keys if nothing does."""
+def _dealt_table(table: DataFrame, columns: list[tuple[str, np.dtype]], shards: int, kind: int = 0) -> DataFrame:
+    """A table keyed by `key` as rows of arrays, dealt by key."""
+    kinds = [k for _, k in columns]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64 if k == U8 else k, copy=False).view(k) for i, k in enumerate(kinds)]
+                yield _deal(cols[0] % np.uint64(shards), kind, 0, cols)
+
+    return table.select(*[c for c, _ in columns]).mapInArrow(deal, _DEALT)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
 
-        def out(key: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-            cols = more if len(more) > 1 else (key, *more)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["ctx", "suf", "n"] if len(cols) == 3 else ["key", "n"])
+def _sums(key: np.ndarray, count: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, sums of their counts, and what goes with them."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    return key[new], np.add.reduceat(count[order].astype(np.int64), new) if len(new) else np.empty(0, np.int64), *[m[order][new] for m in more]
 
+
+def _counted(keys_of: Callable, shards: int, hot: np.ndarray | None = None):
+    """Counts of the keys that `keys_of` draws from each chunk, or of the runs that its pairs (ctx, suf) are, merged
+    within FLUSH entries and dealt: keys by themselves, runs by suf, or by the whole run where suf is hot."""
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        if len(held[0]) == 1:
+            key, n = _sums(np.concatenate([h[0] for h in held]), np.ones(sum(len(h[0]) for h in held), np.int64))
+            return _deal(key % np.uint64(shards), 1, 0, [key, n.astype(U4)])
+        ctx, suf = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        key, n, ctx, suf = _sums(_key(ctx, suf), np.ones(len(ctx), np.int64), ctx, suf)
+        shard = np.where(_find(hot, suf) >= 0, key, suf) % np.uint64(shards)
+        order = np.argsort(suf, kind="stable")  # alike ones side by side
+        return _deal(shard[order], 1, 0, [ctx[order], suf[order], n[order].astype(U4)])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for chunk in words(batch.column(0)):
-                drawn = keys_of(chunk)
-                held.append(_merged([(*drawn, np.ones(len(drawn[0]), np.int64))]))
+                held.append(keys_of(chunk))
                 size += len(held[-1][0])
-                if size > _FLUSH:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > _FLUSH // 2:
-                        yield out(*held[0])
-                        held, size = [], 0
-        if held:
-            yield out(*_merged(held))
+                if size > FLUSH:
+                    yield sent(held)
+                    held, size = [], 0
+        if size:
+            yield sent(held)
 
     return counted
 
 
-def _longer(run: np.ndarray) -> np.ndarray:
-    """Keys of the runs one word longer that end at each token; the first has none."""
-    return np.concatenate((run[:1], _key(run[:-1], run[1:])))
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of dealt counts."""
+    keys, counts, size = [], [], 0
+    for _, _, data in _rows(batches):
+        key, n = _cut(data, (U8, U4))
+        keys.append(key)
+        counts.append(n)
+        size += len(key)
+        if size > 2 * FLUSH:
+            key, n = _sums(np.concatenate(keys), np.concatenate(counts))
+            keys, counts, size = [key], [n], 0
+    if keys:
+        key, n = _sums(np.concatenate(keys), np.concatenate(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+
+def _repeated(hot: np.ndarray, hot_p: np.ndarray):
+    """(ctx, suf, key, n, parent) of runs counted LEAST times or more whose suf is in the table (key, p) of open runs
+    that comes with them, or hot."""
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, held, size = [(hot, hot_p)], [], 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            ctx, suf, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return _sums(_key(ctx, suf), n, ctx, suf)
+
+        for kind, _, data in _rows(batches):
+            if kind == 0:
+                tables.append(tuple(_cut(data, (U8, F8))))
+                continue
+            held.append(_cut(data, (U8, U8, U4)))
+            size += len(held[-1][0])
+            if size > 2 * FLUSH:
+                _, n, ctx, suf = merged()
+                held, size = [(ctx, suf, n)], 0
+        if not held:
+            return
+        key, n, ctx, suf = merged()
+        known, p = (np.concatenate([t[i] for t in tables]) for i in (0, 1))
+        order = np.argsort(known, kind="stable")
+        known, p = known[order], p[order]
+        where = _find(known, suf)
+        ok = (where >= 0) & (n >= LEAST)
+        key, n, ctx, suf, where = (x[ok] for x in (key, n, ctx, suf, where))
+        for at in range(0, len(key), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            longs = [pa.array(x[part].view(np.int64)) for x in (ctx, suf, key, n)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(p[where[part]])], ["ctx", "suf", "key", "n", "parent"])
+
+    return repeated
+
+
+# Bit maps
+
+
+def _map_of(keys: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that has a bit for each key; others may share it."""
+
+    def addresses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << BITS) - 1) for b in batches]
+        if got:
+            at = np.unique(np.concatenate(got))
+            yield _deal(at >> np.uint64(BLOCK), 0, 0, [(at & np.uint64((1 << BLOCK) - 1)).astype(U2)])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            for shard, data in zip(b.column(0).to_pylist(), b.column(3)):
+                blocks.setdefault(shard, np.zeros(1 << BLOCK, bool))[np.frombuffer(data.as_buffer(), U2)] = True
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in blocks.values()], pa.binary())], ["block", "bits"])
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = keys.select("key").mapInArrow(addresses, _DEALT).repartition(parts, "shard").mapInArrow(merged, "block int, bits binary")
+    out = np.zeros((1 << (BITS - BLOCK), 1 << (BLOCK - 3)), dtype=np.uint8)
+    for row in found.toArrow().to_pylist():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = (keys & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
+    return (bits[cell] >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
 def _runs_of(shared, k: int):
-    """Runs of k + 1 words both of whose parts of k words may repeat."""
+    """Runs of k + 1 words: their first k may repeat, their last k may repeat and be open."""
 
     def keys_of(chunk: Words) -> tuple[np.ndarray, ...]:
+        seen, open_ = shared.value
         run, doc = _tokens(chunk)
         for _ in range(k - 1):
             run = _longer(run)
-        may = _in_map(shared.value, run)
-        at = k + np.flatnonzero((doc[k:] == doc[:-k]) & may[k:] & may[k - 1 : -1])
-        return _key(run[at - 1], run[at]), run[at - 1], run[at]
+        ctx, suf = run[k - 1 : -1], run[k:]
+        at = np.flatnonzero(doc[k:] == doc[:-k])
+        at = at[_in_map(open_, suf[at])]
+        at = at[_in_map(seen, ctx[at])]
+        return ctx[at], suf[at]
 
     return keys_of
 
 
+def _common(table: DataFrame, least: float, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and a column of those whose count has a share of all, which bounds their number. Rows of one key
+    add up."""
+    got = table.where(F.col("n") >= max(LEAST, least)).select("key", column).toArrow()
+    key, value = got["key"].to_numpy().view(np.uint64), got[column].to_numpy()
+    key, place = np.unique(key, return_inverse=True)
+    return key, np.bincount(place, value, minlength=len(key)).astype(value.dtype)
+
+
 def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
     """The tree of a table's `text` column; its runs and states are kept besides its values if it is asked for whole."""
     spark = texts.sparkSession
     texts = texts.select("text")
-    vocabulary = saved(texts.mapInArrow(_counted(lambda chunk: (_tokens(chunk)[0],)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = texts.mapInArrow(_counted(lambda chunk: (_tokens(chunk)[0],), 4 * parts), _DEALT)
+    vocabulary = saved(drawn.repartition(parts, "shard").mapInArrow(_vocabulary, "key long, n long"))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shorter = vocabulary.where(F.col("n") >= LEAST).select("key", "n", ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("p"))
+    may_gain = lambda n, p: n * -F.log(p) >= GAIN
+    shorter = vocabulary.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
+    shorter = shorter.select("key", "n", "p", may_gain(F.col("n"), F.col("p")).alias("open"))
+    shards = _shards_of(texts, total)
     runs, states, values, done = [], [], [], []
     for k in range(1, depth + 1):
-        may = spark.sparkContext.broadcast(_map_of(shorter))
-        counts = texts.mapInArrow(_counted(_runs_of(may, k)), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-        counts = saved(counts.where(F.col("n") >= LEAST).mapInArrow(_keyed, "ctx long, suf long, key long, n long"))
+        may = spark.sparkContext.broadcast((_map_of(shorter), _map_of(shorter.where("open"))))
+        hot, hot_p = _common(shorter.where("open"), total / HOT, "p")
+        counts = texts.mapInArrow(_counted(_runs_of(may, k), 4 * shards, hot), _DEALT)
+        dealt = _dealt_table(shorter.where("open"), [("key", U8), ("p", F8)], 4 * shards).unionByName(counts).repartition(shards, "shard")
+        rows = saved(dealt.mapInArrow(_repeated(hot, hot_p), "ctx long, suf long, key long, n long, parent double"))
         may.destroy()
         spark.sparkContext._jvm.System.gc()  # the shuffle's files go with its last reference
-        rows = counts.join(shorter.select(F.col("key").alias("suf"), F.col("p").alias("parent")), "suf")
-        rows = saved(rows.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("size")), "ctx").select("ctx", "suf", "key", "n", "size", "parent"))
-        discard(counts)
-        share = F.col("n") / F.col("size")
-        tested = rows.groupBy("ctx", "size").agg(
-            F.sum(share * F.log(share / F.col("parent"))).alias("gain"), F.sum(share).alias("held"), F.sum("parent").alias("above"), F.sum((F.col("n") - DISCOUNT) / F.col("size")).alias("mass"))
-        rest, rest_above = F.greatest(1 - F.col("held"), F.lit(1e-12)), F.greatest(1 - F.col("above"), F.lit(1e-12))
-        kept = saved(tested.where(F.col("size") * (F.col("gain") + rest * F.log(rest / rest_above)) >= GAIN).select("ctx", "size", (1 - F.col("mass")).alias("stay")))
-        p = F.when(F.col("stay").isNotNull(), (F.col("n") - DISCOUNT) / F.col("size") + F.col("stay") * F.col("parent")).otherwise(F.col("parent"))
+        n = F.col("n").cast("double")
+        tested = rows.groupBy("ctx").agg(
+            F.sum(n * F.log(n / F.col("parent"))).alias("told"), F.sum("n").alias("held"), F.sum("parent").alias("above"), F.count("*").alias("times"))
+        tested = tested.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("size")), "ctx")
+        held, size = F.col("held") / F.col("size"), F.col("size").cast("double")
+        rest, rest_above = F.greatest(1 - held, F.lit(1e-12)), F.greatest(1 - F.col("above"), F.lit(1e-12))
+        gain = F.col("told") - F.col("held") * F.log(size) + size * rest * F.log(rest / rest_above)
+        kept = tested.where(gain >= GAIN).select("ctx", "size", (1 - (F.col("held") - DISCOUNT * F.col("times")) / size).alias("stay"), "times")
+        kept = saved(kept)
+        p = F.when(F.col("stay").isNotNull(), (n - DISCOUNT) / F.col("size") + F.col("stay") * F.col("parent")).otherwise(F.col("parent"))
         value = F.when(F.col("stay").isNotNull(), F.log10(p / F.col("parent") / F.col("stay")))
-        shorter = saved(rows.join(kept.select("ctx", "stay"), "ctx", "left").select("key", "n", p.alias("p"), value.alias("value")))
+        longer = join_hot(rows, kept, ["ctx"], "times", 100 * total, "left").select("key", "n", p.alias("p"), value.alias("value"))
+        shorter = saved(longer.withColumn("open", may_gain(n, F.col("p"))))
         values += [kept.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.log10("stay").alias("value")), shorter.where("value is not null").select("key", "n", "value")]
-        runs.append(rows)
-        states.append(kept)
+        if whole:
+            runs.append(saved(rows.join(shorter.select("key"), "key").join(kept.select("ctx", "size"), "ctx", "left")))
+            states.append(kept)
+        discard(rows)
         done += [shorter, kept]
-        if not whole:
-            discard(rows)
     every = values[0]
     for more in values[1:]:
         every = every.unionByName(more)
-    every = saved(every.groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value")))
-    if not whole:
-        discard(*done)
-    spark.sparkContext._jvm.System.gc()
     return Tree(total, distinct, vocabulary, runs, states, every)
 
 
@@ -206,7 +342,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     found = tree.vocabulary.where(F.col("n") >= LEAST).toPandas().sort_values("key")
     word, count = found["key"].to_numpy(), found["n"].to_numpy()
     a = max(1, len(word))
-    one, two = (r.join(s.select("ctx", "stay"), "ctx").toPandas() for r, s in zip(tree.runs, tree.states))
+    one, two = (r.drop("size").join(s.select("ctx", "size", "stay"), "ctx").toPandas() for r, s in zip(tree.runs, tree.states))
     stay1 = np.ones(a)
     stay1[_find(word, one["ctx"].to_numpy())] = one["stay"]
     code = _find(word, one["ctx"].to_numpy()) * a + _find(word, one["suf"].to_numpy())
@@ -231,31 +367,29 @@ class Known(NamedTuple):
     depth: int
 
 
-def _common(table: DataFrame, least: float, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and a column of those whose count has a share of all, which bounds their number."""
-    got = table.where(F.col("n") >= max(LEAST, least)).select("key", column).toArrow()
-    key = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    return key[order], got[column].to_numpy()[order]
+WORD, RUN, ASKED_WORD, ASKED_RUN, SCORED = range(5)  # kinds of rows
+
 
+def _asked(key: np.ndarray, doc: np.ndarray, kind: int, first: int, shards: int) -> pa.RecordBatch:
+    """What documents ask of the tables: distinct keys of each, and how often they are there."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
+    times = np.diff(np.append(new, len(key)))
+    return _deal(key[new] % np.uint64(shards), kind, first, [key[new], doc[new].astype(U4), times.astype(U4)])
 
-def _listed(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-    """Distinct keys of each document and how often each is there."""
-    order = np.lexsort((keys, doc))
-    h, d = keys[order], doc[order]
-    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.empty(0, np.int64)
-    times = np.diff(np.append(cut, len(h))).astype(np.int32)
-    edge = pa.array(np.searchsorted(d[cut], np.arange(n + 1)).astype(np.int32))
-    return pa.ListArray.from_arrays(edge, pa.array(h[cut].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(times))
 
+def _scored(shared, shards: int):
+    """Rows of a batch: kind SCORED with what is known at once (base, score, n_tokens, n_known by document), and what is
+    asked of the tables; documents are numbered from `first`, their rid."""
 
-def _scored(shared):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known_root = np.log10((m.count + 1) / m.bottom)
         for batch in batches:
-            for chunk in words(batch.column("text")):
-                n = chunk.hi - chunk.lo
+            rid = batch.column(0).to_numpy()
+            for chunk in words(batch.column(1)):
+                n, first = chunk.hi - chunk.lo, int(rid[chunk.lo])
                 hashes, doc = _tokens(chunk)
                 place = _find(m.word, hashes)
                 known = place >= 0
@@ -271,43 +405,81 @@ def _scored(shared):
                     keys.append(run[at[~have]])
                     docs.append(doc[at[~have]])
                     run = _longer(run)
-                other, times = _listed(hashes[~known], doc[~known], n)
-                runs, run_times = _listed(np.concatenate(keys), np.concatenate(docs), n)
+                if not known.all():
+                    yield _asked(hashes[~known], doc[~known], ASKED_WORD, first, shards)
+                if sum(map(len, keys)):
+                    yield _asked(np.concatenate(keys), np.concatenate(docs), ASKED_RUN, first, shards)
                 base = np.bincount(doc, root, minlength=n)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rid").slice(chunk.lo, n), batch.column("id").slice(chunk.lo, n), batch.column("held").slice(chunk.lo, n),
-                     pa.array(np.bincount(doc, minlength=n).astype(np.int64)), pa.array(np.bincount(doc, known, minlength=n).astype(np.int64)),
-                     pa.array(base), pa.array(base + more), other, times, runs, run_times],
-                    ["rid", "id", "held", "n_tokens", "n_known", "base", "score", "other", "times", "runs", "run_times"],
-                )
+                data = [base, base + more, np.bincount(doc, minlength=n).astype(F8), np.bincount(doc, known, minlength=n)]
+                yield _deal(np.full(n, first % shards, np.int64), SCORED, first, data)
 
     return scored
 
 
+_SUMS = "rid long, base double, score double, n_tokens double, n_known double"
+
+
+def _answered(bottom: int):
+    """(rid, base, score, n_tokens, n_known): parts of the documents' sums, from tables and what is asked of them."""
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, list] = {WORD: [], RUN: []}
+        asked = []
+
+        def out(rid, *cols) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(c) for c in cols)], [part.split()[0] for part in _SUMS.split(", ")])
+
+        for kind, first, data in _rows(batches):
+            if kind in tables:
+                tables[kind].append(_cut(data, (U8, F8)))
+            elif kind == SCORED:
+                cols = _cut(data, (F8, F8, F8, F8))
+                yield out(first + np.arange(len(cols[0])), *cols)
+            else:
+                asked.append((kind, first, data))
+        ready = {}
+        for kind, parts in tables.items():
+            key, value = (np.concatenate([np.empty(0, d), *[x[i] for x in parts]]) for i, d in ((0, U8), (1, F8)))
+            key, place = np.unique(key, return_inverse=True)
+            ready[kind] = key, np.bincount(place, value, minlength=len(key))
+        for kind, first, data in asked:
+            key, doc, times = _cut(data, (U8, U4, U4))
+            n = int(doc.max()) + 1
+            have, value = ready[WORD if kind == ASKED_WORD else RUN]
+            where = _find(have, key)
+            there = where >= 0
+            found = np.where(there, value[where] if len(value) else 0.0, 0.0)
+            if kind == ASKED_WORD:
+                log = np.bincount(doc, times * np.log10((found + 1) / bottom), minlength=n)
+                cols = [log, log, np.zeros(n), np.bincount(doc, times * there, minlength=n)]
+            else:
+                cols = [np.zeros(n), np.bincount(doc, times * found, minlength=n), np.zeros(n), np.zeros(n)]
+            some = np.flatnonzero(np.bincount(doc, minlength=n))
+            yield out(first + some, *[c[some] for c in cols])
+
+    return answered
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2, depth: int = DEPTH) -> DataFrame:
     """One row per row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     The tree learns from documents whose crc32(id as text) mod `folds` is not `held_fold`; a null id counts as the empty
     text. Null texts are empty: they consist of the end token alone. Unseen words get the add-one share of a count of 0.
-    Repeated rows are each scored, and each learned from. Other columns are ignored; an empty table gives none.
+    Repeated rows are each scored, and each learned from. Contexts are of up to `depth` words, any number. Other columns
+    are ignored; an empty table gives none. `docs` is to come from files, whose rows keep their order when read again.
     """
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (fold == held_fold).alias("held"), F.col(text_col).alias("text"))
     tree = grown(rows.where(~F.col("held")), depth)
     bottom, vocabulary, values = tree.total + tree.distinct + 1, tree.vocabulary, tree.values
-    kind = docs.schema[id_col].dataType.simpleString()
     known = Known(bottom, *_common(vocabulary, LOOKUP * tree.total, "n"), *_common(values, RUN_LOOKUP * tree.total, "value"), _map_of(values), depth)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    scored = saved(rows.mapInArrow(_scored(shared), f"rid long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, other array<long>, times array<int>, runs array<long>, run_times array<int>"))
-    rare = scored.select("rid", F.explode(F.arrays_zip("other", "times")).alias("x")).select("rid", F.col("x.other").alias("key"), F.col("x.times").alias("times"))
-    rare = rare.join(vocabulary, "key", "left").groupBy("rid").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(bottom)))).alias("more"),
-    )
-    deep = scored.select("rid", F.explode(F.arrays_zip("runs", "run_times")).alias("x")).select("rid", F.col("x.runs").alias("key"), F.col("x.run_times").alias("times"))
-    deep = deep.join(values, "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("value")).alias("deep"))
-    more, deep_sum = F.coalesce("more", F.lit(0.0)), F.coalesce("deep", F.lit(0.0))
-    return scored.drop("other", "times", "runs", "run_times").join(rare, "rid", "left").join(deep, "rid", "left").select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more + deep_sum).alias("score"),
+    shards = _shards_of(docs, tree.total)
+    dealt = rows.select("rid", "text").mapInArrow(_scored(shared, 4 * shards), _DEALT)
+    dealt = dealt.unionByName(_dealt_table(vocabulary, [("key", U8), ("n", F8)], 4 * shards, WORD)).unionByName(_dealt_table(values, [("key", U8), ("value", F8)], 4 * shards, RUN))
+    parts = dealt.repartition(shards, "shard").mapInArrow(_answered(bottom), _SUMS)
+    sums = parts.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("base", "score", "n_tokens", "n_known")])
+    return rows.select("rid", "id", "held").join(sums, "rid").select(
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )

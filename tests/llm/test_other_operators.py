@@ -472,11 +472,11 @@ def brute_tree_scores(rows, depth):
     texts = {i: [*words(t), None] for i, t, *_ in rows}
     n = Counter(tuple(t[j - k : j + 1]) for i, t in texts.items() if not held[i] for k in range(depth + 1) for j in range(k, len(t)))
     total, distinct = sum(c for g, c in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
-    after = {}
+    repeated = {}
     for g, c in n.items():
         if len(g) > 1 and c >= pst.LEAST:
-            after.setdefault(g[:-1], {})[g[-1]] = c
-    stay = {}
+            repeated.setdefault(g[:-1], {})[g[-1]] = c
+    after, stay, open_ = {}, {}, {}
 
     def p(ctx, w):
         if not ctx:
@@ -487,7 +487,17 @@ def brute_tree_scores(rows, depth):
         c = after[ctx].get(w, 0)
         return (c - pst.DISCOUNT if c else 0) / n[ctx] + stay[ctx] * low
 
-    for ctx in sorted(after, key=len):
+    def may_gain(g):
+        if g not in open_:
+            c, known = n[g], len(g) == 1 or g[-1] in after.get(g[:-1], {})
+            open_[g] = c >= pst.LEAST and known and c * -math.log(p(g[:-1], g[-1])) >= pst.GAIN
+        return open_[g]
+
+    for ctx in sorted(repeated, key=len):
+        # a successor counts while its run in the shorter context may gain
+        after[ctx] = {w: c for w, c in repeated[ctx].items() if may_gain((*ctx[1:], w))}
+        if not after[ctx]:
+            continue
         size, above = n[ctx], {w: p(ctx[1:], w) for w in after[ctx]}
         gain = sum(c / size * math.log(c / size / above[w]) for w, c in after[ctx].items())
         rest, rest_above = (max(1 - x, 1e-12) for x in (sum(after[ctx].values()) / size, sum(above.values())))
