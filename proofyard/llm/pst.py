@@ -13,7 +13,7 @@ a sum over its runs of words of a value that belongs to the run.
 
 Counts, and what texts ask of the tables, go to their keys as arrays: rows of Spark that hold thousands of entries each,
 dealt by shards of the hash, so that an entry costs its bytes and tasks work on whole arrays. What is broadcast is bounded
-and changes no result: words and values of runs that hold a share of all tokens, and bit maps of the runs that repeat.
+and changes no result: words that hold a share of all tokens, values of the commonest runs, bit maps of runs that repeat.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, join_hot, saved
+from .shared import discard, saved
 from .tokens import Words, mix, words
 
-LOOKUP = 1e-6  # least share of tokens of a word looked up in a broadcast table
-RUN_LOOKUP = 2e-6  # and of a run of words
+LOOKUP = 1 << 20  # most words, the commonest, that are looked up in a broadcast table
+RUN_LOOKUP = 1 << 21  # most values of runs, the commonest, that are looked up so
 BITS = 26  # of the bit maps' addresses
 BLOCK = 16  # of these, inside a block of a bit map
 LEAST = 2  # least count of a context and of a successor
@@ -79,7 +79,7 @@ def _tokens(chunk: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
-    """Places in a sorted array, -1 where absent."""
+    """Places in a sorted array, -1 where absent. Fast if `what` is sorted too."""
     if not len(where):
         return np.full(len(what), -1, dtype=np.int64)
     at = np.searchsorted(where, what)
@@ -87,6 +87,30 @@ def _find(where: np.ndarray, what: np.ndarray) -> np.ndarray:
     return np.where(where[at] == what, at, -1)
 
 
+class Lookup:
+    """Places of hashes in an array of distinct ones: a table addressed by their low bits, and a sorted array of those
+    that found their place taken."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.mask = keys, np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)
+        slot = (keys & self.mask).astype(np.int64)
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        self.table[slot] = np.arange(len(keys), dtype=np.int32)
+        lost = np.flatnonzero(self.table[slot] != np.arange(len(keys)))
+        self.lost = lost[np.argsort(keys[lost])]
+
+    def find(self, what: np.ndarray) -> np.ndarray:
+        """Places, -1 where absent."""
+        if not len(self.keys):
+            return np.full(len(what), -1, np.int64)
+        at = self.table[(what & self.mask).astype(np.int64)].astype(np.int64)
+        wrong = np.flatnonzero((at >= 0) & (self.keys[at] != what))
+        if len(wrong):
+            there = _find(self.keys[self.lost], what[wrong])
+            at[wrong] = np.where(there >= 0, self.lost[there] if len(self.lost) else -1, -1)
+        return at
+
+
 def _key(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
     """Of a run of words, from those of all but its last and of all but its first."""
     return mix(ctx * np.uint64(0x9E3779B97F4A7C15) + mix(suf))
@@ -100,20 +124,26 @@ def _longer(run: np.ndarray) -> np.ndarray:
 # Arrays as rows
 
 
-def _deal(shard: np.ndarray, kind: int, first: int, cols: list[np.ndarray]) -> pa.RecordBatch:
-    """One row a shard: its entries of all columns, column after column, in the order they come."""
-    order = np.argsort(shard, kind="stable")
-    names, begins = np.unique(shard[order], return_index=True)
-    cols, ends = [c[order] for c in cols], np.append(begins[1:], len(order))
-    data = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(begins, ends)]
-    n = len(names)
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, first, np.int64)), pa.array(data, pa.binary())], ["shard", "kind", "first", "data"])
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """Which of `shards` ranges of equal width a key lies in: sorted keys come shard by shard."""
+    return ((key >> np.uint64(40)) * np.uint64(shards)) >> np.uint64(24)
 
 
-def _cut(data: bytes, kinds: tuple[np.dtype, ...]) -> list[np.ndarray]:
+def _deal(shard: np.ndarray, kind: int, first: int, cols: list[np.ndarray], whole: int | None = None) -> pa.RecordBatch:
+    """One row for each run of equal shards: its entries of all columns, column after column, and of each column byte
+    after byte, so that bytes that are alike lie together and compress; a column that repeats itself stays `whole`."""
+    begins = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.empty(0, np.int64)
+    ends = np.append(begins[1:], len(shard))
+    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T for c in cols]
+    data = [b"".join((cols[i][a:b] if i == whole else c[:, a:b]).tobytes() for i, c in enumerate(planes)) for a, b in zip(begins, ends)]
+    n = len(begins)
+    return pa.RecordBatch.from_arrays([pa.array(shard[begins].astype(np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, first, np.int64)), pa.array(data, pa.binary())], ["shard", "kind", "first", "data"])
+
+
+def _cut(data: bytes, kinds: tuple[np.dtype, ...], whole: int | None = None) -> list[np.ndarray]:
     n, at, out = len(data) // sum(k.itemsize for k in kinds), 0, []
-    for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
+    for i, k in enumerate(kinds):
+        out.append(np.frombuffer(data, k, n, at) if i == whole else np.ascontiguousarray(np.frombuffer(data, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n).T).view(k).reshape(n))
         at += n * k.itemsize
     return out
 
@@ -136,14 +166,16 @@ def _dealt_table(table: DataFrame, columns: list[tuple[str, np.dtype]], shards:
         for b in batches:
             if b.num_rows:
                 cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64 if k == U8 else k, copy=False).view(k) for i, k in enumerate(kinds)]
-                yield _deal(cols[0] % np.uint64(shards), kind, 0, cols)
+                order = np.argsort(cols[0])
+                cols = [c[order] for c in cols]
+                yield _deal(_shard(cols[0], shards), kind, 0, cols)
 
     return table.select(*[c for c, _ in columns]).mapInArrow(deal, _DEALT)
 
 
 def _sums(key: np.ndarray, count: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, sums of their counts, and what goes with them."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
     return key[new], np.add.reduceat(count[order].astype(np.int64), new) if len(new) else np.empty(0, np.int64), *[m[order][new] for m in more]
@@ -156,12 +188,12 @@ def _counted(keys_of: Callable, shards: int, hot: np.ndarray | None = None):
     def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         if len(held[0]) == 1:
             key, n = _sums(np.concatenate([h[0] for h in held]), np.ones(sum(len(h[0]) for h in held), np.int64))
-            return _deal(key % np.uint64(shards), 1, 0, [key, n.astype(U4)])
+            return _deal(_shard(key, shards), 1, 0, [key, n.astype(U4)])
         ctx, suf = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         key, n, ctx, suf = _sums(_key(ctx, suf), np.ones(len(ctx), np.int64), ctx, suf)
-        shard = np.where(_find(hot, suf) >= 0, key, suf) % np.uint64(shards)
-        order = np.argsort(suf, kind="stable")  # alike ones side by side
-        return _deal(shard[order], 1, 0, [ctx[order], suf[order], n[order].astype(U4)])
+        by = np.where(_find(hot, suf) >= 0, key, suf)
+        order = np.argsort(by)
+        return _deal(_shard(by[order], shards), 1, 0, [ctx[order], suf[order], n[order].astype(U4)], whole=1)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -209,7 +241,7 @@ def _repeated(hot: np.ndarray, hot_p: np.ndarray):
             if kind == 0:
                 tables.append(tuple(_cut(data, (U8, F8))))
                 continue
-            held.append(_cut(data, (U8, U8, U4)))
+            held.append(_cut(data, (U8, U8, U4), whole=1))
             size += len(held[-1][0])
             if size > 2 * FLUSH:
                 _, n, ctx, suf = merged()
@@ -247,7 +279,7 @@ def _map_of(keys: DataFrame) -> np.ndarray:
         blocks: dict[int, np.ndarray] = {}
         for b in batches:
             for shard, data in zip(b.column(0).to_pylist(), b.column(3)):
-                blocks.setdefault(shard, np.zeros(1 << BLOCK, bool))[np.frombuffer(data.as_buffer(), U2)] = True
+                blocks.setdefault(shard, np.zeros(1 << BLOCK, bool))[_cut(data.as_buffer(), (U2,))[0]] = True
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in blocks.values()], pa.binary())], ["block", "bits"])
 
@@ -290,19 +322,33 @@ def _common(table: DataFrame, least: float, column: str) -> tuple[np.ndarray, np
     return key, np.bincount(place, value, minlength=len(key)).astype(value.dtype)
 
 
+def _commonest(values: DataFrame, most: int, column: str = "value") -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and a column of those that occur most often, `most` at most: those above the least count, an eighth of
+    a power of two, that few enough reach."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = values.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect()
+    least, held = None, 0
+    for row in sizes:
+        held += row["rows"]
+        if held > most:
+            break
+        least = row["step"]
+    return _common(values.where(step >= least if least is not None else F.lit(False)), 0, column)
+
+
 def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
     """The tree of a table's `text` column; its runs and states are kept besides its values if it is asked for whole."""
     spark = texts.sparkSession
     texts = texts.select("text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = texts.mapInArrow(_counted(lambda chunk: (_tokens(chunk)[0],), 4 * parts), _DEALT)
-    vocabulary = saved(drawn.repartition(parts, "shard").mapInArrow(_vocabulary, "key long, n long"))
+    draw = _counted(lambda chunk: (_tokens(chunk)[0],), 4 * parts)
+    vocabulary = saved(texts.mapInArrow(draw, _DEALT).repartition(parts, "shard").mapInArrow(_vocabulary, "key long, n long"))
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     may_gain = lambda n, p: n * -F.log(p) >= GAIN
     shorter = vocabulary.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
     shorter = shorter.select("key", "n", "p", may_gain(F.col("n"), F.col("p")).alias("open"))
     shards = _shards_of(texts, total)
-    runs, states, values, done = [], [], [], []
+    runs, states, values = [], [], []
     for k in range(1, depth + 1):
         may = spark.sparkContext.broadcast((_map_of(shorter), _map_of(shorter.where("open"))))
         hot, hot_p = _common(shorter.where("open"), total / HOT, "p")
@@ -310,6 +356,7 @@ def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
         dealt = _dealt_table(shorter.where("open"), [("key", U8), ("p", F8)], 4 * shards).unionByName(counts).repartition(shards, "shard")
         rows = saved(dealt.mapInArrow(_repeated(hot, hot_p), "ctx long, suf long, key long, n long, parent double"))
         may.destroy()
+        del counts, dealt
         spark.sparkContext._jvm.System.gc()  # the shuffle's files go with its last reference
         n = F.col("n").cast("double")
         tested = rows.groupBy("ctx").agg(
@@ -318,19 +365,22 @@ def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
         held, size = F.col("held") / F.col("size"), F.col("size").cast("double")
         rest, rest_above = F.greatest(1 - held, F.lit(1e-12)), F.greatest(1 - F.col("above"), F.lit(1e-12))
         gain = F.col("told") - F.col("held") * F.log(size) + size * rest * F.log(rest / rest_above)
-        kept = tested.where(gain >= GAIN).select("ctx", "size", (1 - (F.col("held") - DISCOUNT * F.col("times")) / size).alias("stay"), "times")
+        kept = tested.where(gain >= GAIN).select("ctx", "size", (1 - (F.col("held") - DISCOUNT * F.col("times")) / size).alias("stay"))
         kept = saved(kept)
         p = F.when(F.col("stay").isNotNull(), (n - DISCOUNT) / F.col("size") + F.col("stay") * F.col("parent")).otherwise(F.col("parent"))
         value = F.when(F.col("stay").isNotNull(), F.log10(p / F.col("parent") / F.col("stay")))
-        longer = join_hot(rows, kept, ["ctx"], "times", 100 * total, "left").select("key", "n", p.alias("p"), value.alias("value"))
-        shorter = saved(longer.withColumn("open", may_gain(n, F.col("p"))))
-        values += [kept.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.log10("stay").alias("value")), shorter.where("value is not null").select("key", "n", "value")]
+        longer = rows.join(kept, "ctx", "left").select("key", "n", p.alias("p"), value.alias("value"))
+        longer = saved(longer.withColumn("open", may_gain(n, F.col("p"))))
+        valued = kept.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.log10("stay").alias("value")).unionByName(longer.where("value is not null").select("key", "n", "value"))
+        values.append(saved(valued))
         if whole:
-            runs.append(saved(rows.join(shorter.select("key"), "key").join(kept.select("ctx", "size"), "ctx", "left")))
+            runs.append(saved(rows.join(longer.select("key"), "key").join(kept.select("ctx", "size"), "ctx", "left")))
             states.append(kept)
-        discard(rows)
-        done += [shorter, kept]
-    every = values[0]
+        discard(rows, *([] if whole else [kept]), *([] if k == 1 else [shorter]))
+        shorter = longer
+    if depth:
+        discard(shorter)
+    every = values[0] if values else vocabulary.where("false").select("key", "n", F.lit(0.0).alias("value"))
     for more in values[1:]:
         every = every.unionByName(more)
     return Tree(total, distinct, vocabulary, runs, states, every)
@@ -371,12 +421,10 @@ WORD, RUN, ASKED_WORD, ASKED_RUN, SCORED = range(5)  # kinds of rows
 
 
 def _asked(key: np.ndarray, doc: np.ndarray, kind: int, first: int, shards: int) -> pa.RecordBatch:
-    """What documents ask of the tables: distinct keys of each, and how often they are there."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))))
-    times = np.diff(np.append(new, len(key)))
-    return _deal(key[new] % np.uint64(shards), kind, first, [key[new], doc[new].astype(U4), times.astype(U4)])
+    """What documents ask of the tables, each occurrence by itself."""
+    order = np.argsort(key)
+    key = key[order]
+    return _deal(_shard(key, shards), kind, first, [key, doc[order].astype(U4)])
 
 
 def _scored(shared, shards: int):
@@ -386,32 +434,48 @@ def _scored(shared, shards: int):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known_root = np.log10((m.count + 1) / m.bottom)
+        of_words, of_runs = Lookup(m.word), Lookup(m.run)
+        held: dict[int, list] = {ASKED_WORD: [], ASKED_RUN: []}
+        start, size = None, 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if parts:
+                    yield _asked(*(np.concatenate([x[i] for x in parts]) for i in (0, 1)), kind, start, shards)
+                parts.clear()
+
         for batch in batches:
             rid = batch.column(0).to_numpy()
             for chunk in words(batch.column(1)):
                 n, first = chunk.hi - chunk.lo, int(rid[chunk.lo])
+                start = first if start is None else start
                 hashes, doc = _tokens(chunk)
-                place = _find(m.word, hashes)
+                place = of_words.find(hashes)
                 known = place >= 0
                 root = np.where(known, known_root[place] if len(known_root) else 0.0, 0.0)  # of others the part that is missing
-                more, keys, docs, run = np.zeros(n), [], [], hashes
+                more, run = np.zeros(n), hashes
                 for k in range(m.depth + 1):
                     at = np.flatnonzero(_in_map(m.may, run))
                     at = at[at >= k]
                     at = at[doc[at] == doc[at - k]]
-                    where = _find(m.run, run[at])
+                    where = of_runs.find(run[at])
                     have = where >= 0
                     more += np.bincount(doc[at[have]], m.value[where[have]], minlength=n)
-                    keys.append(run[at[~have]])
-                    docs.append(doc[at[~have]])
+                    at = at[~have]
+                    held[ASKED_RUN].append((run[at], doc[at] + (first - start)))
+                    size += len(at)
                     run = _longer(run)
-                if not known.all():
-                    yield _asked(hashes[~known], doc[~known], ASKED_WORD, first, shards)
-                if sum(map(len, keys)):
-                    yield _asked(np.concatenate(keys), np.concatenate(docs), ASKED_RUN, first, shards)
+                at = np.flatnonzero(~known)
+                held[ASKED_WORD].append((hashes[at], doc[at] + (first - start)))
+                size += len(at)
                 base = np.bincount(doc, root, minlength=n)
-                data = [base, base + more, np.bincount(doc, minlength=n).astype(F8), np.bincount(doc, known, minlength=n)]
-                yield _deal(np.full(n, first % shards, np.int64), SCORED, first, data)
+                data = [base, base + more, np.bincount(doc, minlength=n), np.bincount(doc, known, minlength=n)]
+                yield _deal(np.full(n, first % shards, np.int64), SCORED, first, [np.ascontiguousarray(d, F8) for d in data])
+                if size > FLUSH:
+                    yield from sent()
+                    start, size = None, 0
+        if size:
+            yield from sent()
 
     return scored
 
@@ -443,17 +507,17 @@ def _answered(bottom: int):
             key, place = np.unique(key, return_inverse=True)
             ready[kind] = key, np.bincount(place, value, minlength=len(key))
         for kind, first, data in asked:
-            key, doc, times = _cut(data, (U8, U4, U4))
+            key, doc = _cut(data, (U8, U4))
             n = int(doc.max()) + 1
             have, value = ready[WORD if kind == ASKED_WORD else RUN]
             where = _find(have, key)
             there = where >= 0
             found = np.where(there, value[where] if len(value) else 0.0, 0.0)
             if kind == ASKED_WORD:
-                log = np.bincount(doc, times * np.log10((found + 1) / bottom), minlength=n)
-                cols = [log, log, np.zeros(n), np.bincount(doc, times * there, minlength=n)]
+                log = np.bincount(doc, np.log10((found + 1) / bottom), minlength=n)
+                cols = [log, log, np.zeros(n), np.bincount(doc, there, minlength=n)]
             else:
-                cols = [np.zeros(n), np.bincount(doc, times * found, minlength=n), np.zeros(n), np.zeros(n)]
+                cols = [np.zeros(n), np.bincount(doc, found, minlength=n), np.zeros(n), np.zeros(n)]
             some = np.flatnonzero(np.bincount(doc, minlength=n))
             yield out(first + some, *[c[some] for c in cols])
 
@@ -471,8 +535,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (fold == held_fold).alias("held"), F.col(text_col).alias("text"))
     tree = grown(rows.where(~F.col("held")), depth)
+    docs.sparkSession.sparkContext._jvm.System.gc()
     bottom, vocabulary, values = tree.total + tree.distinct + 1, tree.vocabulary, tree.values
-    known = Known(bottom, *_common(vocabulary, LOOKUP * tree.total, "n"), *_common(values, RUN_LOOKUP * tree.total, "value"), _map_of(values), depth)
+    known = Known(bottom, *_commonest(vocabulary, LOOKUP, "n"), *_commonest(values, RUN_LOOKUP), _map_of(values), depth)
     shared = docs.sparkSession.sparkContext.broadcast(known)
     shards = _shards_of(docs, tree.total)
     dealt = rows.select("rid", "text").mapInArrow(_scored(shared, 4 * shards), _DEALT)

@@ -508,7 +508,8 @@ def brute_tree_scores(rows, depth):
 
 def test_tree_grows_with_the_corpus_and_scores_like_counts_in_memory(spark, tmp_path, monkeypatch):
     """A passage that occurs in few documents is learned whatever else the corpus holds, also beyond two words."""
-    monkeypatch.setattr(pst, "RUN_LOOKUP", 1e-3)  # so that most values come by the join
+    monkeypatch.setattr(pst, "RUN_LOOKUP", 20)  # so that most values come by the exchange
+    monkeypatch.setattr(pst, "LOOKUP", 20)
     rng = random.Random(8)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(100)), "en", "s") for i in range(300)]
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2]
