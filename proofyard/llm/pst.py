@@ -31,8 +31,9 @@ from .tokens import Words, mix, words
 
 LOOKUP = 1 << 20  # most words, the commonest, that are looked up in a broadcast table
 RUN_LOOKUP = 1 << 21  # most values of runs, the commonest, that are looked up so
-BITS = 26  # of the bit maps' addresses
-BLOCK = 16  # of these, inside a block of a bit map
+BITS = 28  # of a bit map's addresses at most
+SPARSE = 8  # bits that a key has in a bit map, below that bound
+BLOCK = 16  # bits of an address inside a block of a bit map
 LEAST = 2  # least count of a context and of a successor
 GAIN = 4.0  # least Kullback-Leibler divergence of a state from its parent, times its count (nats)
 DEPTH = 3  # words of the longest contexts
@@ -226,9 +227,13 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
-def _repeated(hot: np.ndarray, hot_p: np.ndarray):
-    """(ctx, suf, key, n, parent) of runs counted LEAST times or more whose suf is in the table (key, p) of open runs
-    that comes with them, or hot."""
+SIZE, RUNS, SPREAD = range(3)  # kinds of rows that a test of contexts reads
+_RUN = (U8, U8, U8, F8)  # ctx, suf, n, parent
+
+
+def _repeated(hot: np.ndarray, hot_p: np.ndarray, wide: np.ndarray, shards: int):
+    """Runs counted LEAST times or more whose suf is in the table (key, p) of open runs that comes with them, or hot:
+    ctx, suf, n, parent, dealt by ctx (RUNS), or by the whole run where ctx is in `wide` (SPREAD)."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, held, size = [(hot, hot_p)], [], 0
@@ -254,23 +259,120 @@ def _repeated(hot: np.ndarray, hot_p: np.ndarray):
         known, p = known[order], p[order]
         where = _find(known, suf)
         ok = (where >= 0) & (n >= LEAST)
-        key, n, ctx, suf, where = (x[ok] for x in (key, n, ctx, suf, where))
-        for at in range(0, len(key), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            longs = [pa.array(x[part].view(np.int64)) for x in (ctx, suf, key, n)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(p[where[part]])], ["ctx", "suf", "key", "n", "parent"])
+        key, n, ctx, suf, parent = (x[ok] for x in (key, n, ctx, suf, p[where]))
+        spread = _find(wide, ctx) >= 0
+        for kind, part, by in ((RUNS, ~spread, ctx), (SPREAD, spread, key)):
+            at = np.flatnonzero(part)
+            at = at[np.argsort(by[at])]
+            yield _deal(_shard(by[at], shards), kind, 0, [ctx[at], suf[at], n[at].view(U8), parent[at]])
 
     return repeated
 
 
+# Tests of contexts
+
+
+def _moments(ctx: np.ndarray, suf: np.ndarray, n: np.ndarray, parent: np.ndarray) -> tuple:
+    """Of runs: distinct ctx, and told, held, above, times of each; and the runs by ctx, with the place of each one's."""
+    n = n.view(np.int64)
+    order = np.argsort(ctx)
+    ctx, suf, n, parent = (x[order] for x in (ctx, suf, n, parent))
+    first = np.concatenate(([True], ctx[1:] != ctx[:-1]))
+    new = np.flatnonzero(first)
+    told, held, above = (np.add.reduceat(x, new) for x in (n * np.log(n / parent), n, parent))
+    return (ctx[new], told, held, above, np.diff(np.append(new, len(ctx)))), (ctx, suf, n, parent), np.cumsum(first) - 1
+
+
+def _stays(told: np.ndarray, held: np.ndarray, above: np.ndarray, times: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The mass that each context leaves to its parent, NaN where it diverges too little to be a state."""
+    rest, rest_above = np.maximum(1 - held / size, 1e-12), np.maximum(1 - above, 1e-12)
+    gain = told - held * np.log(size) + size * rest * np.log(rest / rest_above)
+    return np.where(gain >= GAIN, 1 - (held - DISCOUNT * times) / size, np.nan)
+
+
+def _wide_stays(dealt: DataFrame, wide: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stays of the contexts in `wide`, whose runs are spread: sums of sums, a few hundred."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _rows(batches):
+            (ctx, *more), _, _ = _moments(*_cut(data, _RUN))
+            yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), *(pa.array(x.astype(F8)) for x in more)], ["ctx", "told", "held", "above", "times"])
+
+    parts = dealt.where(F.col("kind") == SPREAD).mapInArrow(sums, "ctx long, told double, held double, above double, times double")
+    got = parts.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in ("told", "held", "above", "times")]).toArrow()
+    out = np.full(len(wide), np.nan)
+    place = _find(wide, got["ctx"].to_numpy().view(np.uint64))
+    out[place] = _stays(*(got[c].to_numpy() for c in ("told", "held", "above", "times")), size[place])
+    return out
+
+
+_TESTED = "key long, n long, p double, value double, open boolean, state boolean"
+
+
+def _tested(wide: np.ndarray, wide_size: np.ndarray, wide_stay: np.ndarray, last: bool, whole: bool):
+    """Runs (key, n, p and open, which the last level has no need of, and value where ctx is a state) and states (their
+    ctx as key, its count, the logarithm of stay as value), of runs and of the counts (SIZE) of their contexts."""
+    names = [part.split()[0] for part in (_TESTED + (_WHOLE if whole else "")).split(", ")]
+
+    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: list = [(np.empty(0, U8), np.empty(0, F8))]
+        held: dict[int, list] = {RUNS: [], SPREAD: []}
+        for kind, _, data in _rows(batches):
+            sizes.append(_cut(data, (U8, F8))) if kind == SIZE else held[kind].append(data)
+
+        def states(ctx: np.ndarray, size: np.ndarray, stay: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(~np.isnan(stay))
+            key, n, none = pa.array(ctx[at].view(np.int64)), pa.array(size[at].astype(np.int64)), pa.nulls(len(at), pa.float64())
+            flag = lambda x: pa.array(np.full(len(at), x))
+            more = [key, pa.nulls(len(at), pa.int64()), pa.array(stay[at])] if whole else []
+            return pa.RecordBatch.from_arrays([key, n, none, pa.array(np.log10(stay[at])), flag(False), flag(True), *more], names)
+
+        def runs(ctx, suf, n, parent, size, stay) -> Iterator[pa.RecordBatch]:
+            kept = ~np.isnan(stay)
+            p = np.where(kept, (n - DISCOUNT) / size + stay * parent, parent)
+            value = np.log10(p / parent / stay)
+            open_ = (n * -np.log(p) >= GAIN) & (not last)
+            key = _key(ctx, suf)
+            for at in range(0, len(key), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                cols = [pa.array(key[part].view(np.int64)), pa.array(n[part]), pa.array(p[part], mask=~open_[part]), pa.array(value[part], mask=~kept[part]), pa.array(open_[part]), pa.array(np.zeros(len(key[part]), bool))]
+                more = [pa.array(ctx[part].view(np.int64)), pa.array(suf[part].view(np.int64)), pa.array(parent[part])] if whole else []
+                yield pa.RecordBatch.from_arrays([*cols, *more], names)
+
+        known, count = (np.concatenate([x[i] for x in sizes]) for i in (0, 1))
+        order = np.argsort(known)
+        known, count = known[order], count[order]
+        here = _find(wide, known)
+        here = here[here >= 0]
+        yield states(wide[here], wide_size[here], wide_stay[here])
+        for data in held[SPREAD]:
+            ctx, suf, n, parent = _cut(data, _RUN)
+            at = _find(wide, ctx)
+            yield from runs(ctx, suf, n.view(np.int64), parent, wide_size[at], wide_stay[at])
+        if held[RUNS]:
+            pieces = [_cut(data, _RUN) for data in held.pop(RUNS)]
+            (ctx, *moments), cols, place = _moments(*(np.concatenate([x[i] for x in pieces]) for i in range(4)))
+            at = _find(known, ctx)  # the bit map lets some through that are not in the table: these are no states
+            size = np.append(count, np.nan)[at]
+            stay = _stays(*moments, size)
+            yield states(ctx, size, stay)
+            yield from runs(*cols, size[place], stay[place])
+
+    return tested
+
+
+_WHOLE = ", ctx long, suf long, parent double"
+
+
 # Bit maps
 
 
 def _map_of(keys: DataFrame) -> np.ndarray:
-    """A bit map of fixed size that has a bit for each key; others may share it."""
+    """A bit map that has a bit for each key; others may share it. Its size is bounded: beyond the bound more share."""
+    bits = min(max((SPARSE * keys.count()).bit_length(), BLOCK), BITS)
 
     def addresses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << BITS) - 1) for b in batches]
+        got = [b.column(0).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1) for b in batches]
         if got:
             at = np.unique(np.concatenate(got))
             yield _deal(at >> np.uint64(BLOCK), 0, 0, [(at & np.uint64((1 << BLOCK) - 1)).astype(U2)])
@@ -285,14 +387,14 @@ def _map_of(keys: DataFrame) -> np.ndarray:
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = keys.select("key").mapInArrow(addresses, _DEALT).repartition(parts, "shard").mapInArrow(merged, "block int, bits binary")
-    out = np.zeros((1 << (BITS - BLOCK), 1 << (BLOCK - 3)), dtype=np.uint8)
+    out = np.zeros((1 << (bits - BLOCK), 1 << (BLOCK - 3)), dtype=np.uint8)
     for row in found.toArrow().to_pylist():
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1).view(np.uint64)
 
 
 def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = (keys & np.uint64((1 << BITS) - 1)) >> np.uint64(6)
+    cell = (keys >> np.uint64(6)) & np.uint64(len(bits) - 1)
     return (bits[cell] >> (keys & np.uint64(63))) & np.uint64(1) != 0
 
 
@@ -354,32 +456,23 @@ def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
         hot, hot_p = _common(shorter.where("open"), total / HOT, "p")
         counts = texts.mapInArrow(_counted(_runs_of(may, k), 4 * shards, hot), _DEALT)
         dealt = _dealt_table(shorter.where("open"), [("key", U8), ("p", F8)], 4 * shards).unionByName(counts).repartition(shards, "shard")
-        rows = saved(dealt.mapInArrow(_repeated(hot, hot_p), "ctx long, suf long, key long, n long, parent double"))
+        wide, wide_size = _common(shorter, total / HOT, "n")
+        found = saved(dealt.mapInArrow(_repeated(hot, hot_p, wide, 4 * shards), _DEALT))
         may.destroy()
         del counts, dealt
         spark.sparkContext._jvm.System.gc()  # the shuffle's files go with its last reference
-        n = F.col("n").cast("double")
-        tested = rows.groupBy("ctx").agg(
-            F.sum(n * F.log(n / F.col("parent"))).alias("told"), F.sum("n").alias("held"), F.sum("parent").alias("above"), F.count("*").alias("times"))
-        tested = tested.join(shorter.select(F.col("key").alias("ctx"), F.col("n").alias("size")), "ctx")
-        held, size = F.col("held") / F.col("size"), F.col("size").cast("double")
-        rest, rest_above = F.greatest(1 - held, F.lit(1e-12)), F.greatest(1 - F.col("above"), F.lit(1e-12))
-        gain = F.col("told") - F.col("held") * F.log(size) + size * rest * F.log(rest / rest_above)
-        kept = tested.where(gain >= GAIN).select("ctx", "size", (1 - (F.col("held") - DISCOUNT * F.col("times")) / size).alias("stay"))
-        kept = saved(kept)
-        p = F.when(F.col("stay").isNotNull(), (n - DISCOUNT) / F.col("size") + F.col("stay") * F.col("parent")).otherwise(F.col("parent"))
-        value = F.when(F.col("stay").isNotNull(), F.log10(p / F.col("parent") / F.col("stay")))
-        longer = rows.join(kept, "ctx", "left").select("key", "n", p.alias("p"), value.alias("value"))
-        longer = saved(longer.withColumn("open", may_gain(n, F.col("p"))))
-        valued = kept.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.log10("stay").alias("value")).unionByName(longer.where("value is not null").select("key", "n", "value"))
-        values.append(saved(valued))
+        told = _tested(wide, wide_size.astype(F8), _wide_stays(found, wide, wide_size.astype(F8)), k == depth, whole)
+        dealt = found.unionByName(_dealt_table(shorter, [("key", U8), ("n", F8)], 4 * shards, SIZE)).repartition(shards, "shard")
+        longer = saved(dealt.mapInArrow(told, _TESTED + (_WHOLE if whole else "")))
+        values.append(longer.where("value is not null").select("key", "n", "value"))
         if whole:
-            runs.append(saved(rows.join(longer.select("key"), "key").join(kept.select("ctx", "size"), "ctx", "left")))
-            states.append(kept)
-        discard(rows, *([] if whole else [kept]), *([] if k == 1 else [shorter]))
-        shorter = longer
-    if depth:
-        discard(shorter)
+            state = longer.where("state").select("ctx", F.col("n").alias("size"), F.col("parent").alias("stay"))
+            runs.append(longer.where("not state").select("ctx", "suf", "key", "n", "parent").join(state.select("ctx", "size"), "ctx", "left"))
+            states.append(state)
+        discard(found)
+        del dealt
+        spark.sparkContext._jvm.System.gc()
+        shorter = longer.where("not state").select("key", "n", "p", "open")
     every = values[0] if values else vocabulary.where("false").select("key", "n", F.lit(0.0).alias("value"))
     for more in values[1:]:
         every = every.unionByName(more)
@@ -488,7 +581,7 @@ def _answered(bottom: int):
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, list] = {WORD: [], RUN: []}
-        asked = []
+        asked: dict[int, list] = {}  # by first: a batch's documents get one row each
 
         def out(rid, *cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(rid), *(pa.array(c) for c in cols)], [part.split()[0] for part in _SUMS.split(", ")])
@@ -500,26 +593,31 @@ def _answered(bottom: int):
                 cols = _cut(data, (F8, F8, F8, F8))
                 yield out(first + np.arange(len(cols[0])), *cols)
             else:
-                asked.append((kind, first, data))
+                asked.setdefault(first, []).append((kind, data))
         ready = {}
         for kind, parts in tables.items():
             key, value = (np.concatenate([np.empty(0, d), *[x[i] for x in parts]]) for i, d in ((0, U8), (1, F8)))
             key, place = np.unique(key, return_inverse=True)
             ready[kind] = key, np.bincount(place, value, minlength=len(key))
-        for kind, first, data in asked:
-            key, doc = _cut(data, (U8, U4))
-            n = int(doc.max()) + 1
-            have, value = ready[WORD if kind == ASKED_WORD else RUN]
-            where = _find(have, key)
-            there = where >= 0
-            found = np.where(there, value[where] if len(value) else 0.0, 0.0)
-            if kind == ASKED_WORD:
-                log = np.bincount(doc, np.log10((found + 1) / bottom), minlength=n)
-                cols = [log, log, np.zeros(n), np.bincount(doc, there, minlength=n)]
-            else:
-                cols = [np.zeros(n), np.bincount(doc, found, minlength=n), np.zeros(n), np.zeros(n)]
-            some = np.flatnonzero(np.bincount(doc, minlength=n))
-            yield out(first + some, *[c[some] for c in cols])
+        for first, parts in asked.items():
+            cols, n = np.zeros((3, 0)), 0  # base, score, n_known
+            seen = np.zeros(0, bool)
+            for kind, data in parts:
+                key, doc = _cut(data, (U8, U4))
+                if (more := int(doc.max()) + 1) > n:
+                    cols, seen, n = np.pad(cols, ((0, 0), (0, more - n))), np.pad(seen, (0, more - n)), more
+                have, value = ready[WORD if kind == ASKED_WORD else RUN]
+                where = _find(have, key)
+                there = where >= 0
+                found = np.where(there, value[where] if len(value) else 0.0, 0.0)
+                seen[doc] = True
+                if kind == ASKED_WORD:
+                    log = np.bincount(doc, np.log10((found + 1) / bottom), minlength=n)
+                    cols += [log, log, np.bincount(doc, there, minlength=n)]
+                else:
+                    cols[1] += np.bincount(doc, found, minlength=n)
+            at = np.flatnonzero(seen)
+            yield out(first + at, cols[0, at], cols[1, at], np.zeros(len(at)), cols[2, at])
 
     return answered
 

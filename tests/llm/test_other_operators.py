@@ -520,6 +520,11 @@ def test_tree_grows_with_the_corpus_and_scores_like_counts_in_memory(spark, tmp_
     want, stay = brute_tree_scores(rows, pst.DEPTH)
     assert {1, 2, 3} <= {len(c) for c in stay}
     assert all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
+    with monkeypatch.context() as m:
+        m.setattr(pst, "BITS", 6)  # bit maps so full that they let every run through
+        m.setattr(pst, "BLOCK", 6)
+        got = {r["doc_id"]: r["score"] for r in pst.score(documents(spark, tmp_path / "full", rows)).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-6 * abs(want[i]) for i in want)
     more = rows + [(1000 + i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(2000)), "en", "s") for i in range(300)]
     short = pst.score(documents(spark, tmp_path / "more", [*more, (held[0] + 10**6, "", "en", "s")])).where(F.col("doc_id") == held[0]).first()
     gap = short["score"] - short["base_score"]
