@@ -155,8 +155,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]
             yield kind, first, data.as_buffer()
 
 
-def _shards_of(rows: DataFrame, total: int) -> int:
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD + 1)
+def _shards_of(rows: DataFrame, total: int) -> tuple[int, int]:
+    """Partitions of an exchange, and shards: these follow the tokens alone, so that however many partitions there are,
+    an array holds as much."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // SHARD + 1), 4 * (total // SHARD + 1)
 
 
 def _dealt_table(table: DataFrame, columns: list[tuple[str, np.dtype]], shards: int, kind: int = 0) -> DataFrame:
@@ -449,20 +451,20 @@ def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
     may_gain = lambda n, p: n * -F.log(p) >= GAIN
     shorter = vocabulary.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 1) / F.lit(float(total + distinct + 1)))
     shorter = shorter.select("key", "n", "p", may_gain(F.col("n"), F.col("p")).alias("open"))
-    shards = _shards_of(texts, total)
+    tasks, shards = _shards_of(texts, total)
     runs, states, values = [], [], []
     for k in range(1, depth + 1):
         may = spark.sparkContext.broadcast((_map_of(shorter), _map_of(shorter.where("open"))))
         hot, hot_p = _common(shorter.where("open"), total / HOT, "p")
-        counts = texts.mapInArrow(_counted(_runs_of(may, k), 4 * shards, hot), _DEALT)
-        dealt = _dealt_table(shorter.where("open"), [("key", U8), ("p", F8)], 4 * shards).unionByName(counts).repartition(shards, "shard")
+        counts = texts.mapInArrow(_counted(_runs_of(may, k), shards, hot), _DEALT)
+        dealt = _dealt_table(shorter.where("open"), [("key", U8), ("p", F8)], shards).unionByName(counts).repartition(tasks, "shard")
         wide, wide_size = _common(shorter, total / HOT, "n")
-        found = saved(dealt.mapInArrow(_repeated(hot, hot_p, wide, 4 * shards), _DEALT))
+        found = saved(dealt.mapInArrow(_repeated(hot, hot_p, wide, shards), _DEALT))
         may.destroy()
         del counts, dealt
         spark.sparkContext._jvm.System.gc()  # the shuffle's files go with its last reference
         told = _tested(wide, wide_size.astype(F8), _wide_stays(found, wide, wide_size.astype(F8)), k == depth, whole)
-        dealt = found.unionByName(_dealt_table(shorter, [("key", U8), ("n", F8)], 4 * shards, SIZE)).repartition(shards, "shard")
+        dealt = found.unionByName(_dealt_table(shorter, [("key", U8), ("n", F8)], shards, SIZE)).repartition(tasks, "shard")
         longer = saved(dealt.mapInArrow(told, _TESTED + (_WHOLE if whole else "")))
         values.append(longer.where("value is not null").select("key", "n", "value"))
         if whole:
@@ -637,10 +639,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     bottom, vocabulary, values = tree.total + tree.distinct + 1, tree.vocabulary, tree.values
     known = Known(bottom, *_commonest(vocabulary, LOOKUP, "n"), *_commonest(values, RUN_LOOKUP), _map_of(values), depth)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    shards = _shards_of(docs, tree.total)
-    dealt = rows.select("rid", "text").mapInArrow(_scored(shared, 4 * shards), _DEALT)
-    dealt = dealt.unionByName(_dealt_table(vocabulary, [("key", U8), ("n", F8)], 4 * shards, WORD)).unionByName(_dealt_table(values, [("key", U8), ("value", F8)], 4 * shards, RUN))
-    parts = dealt.repartition(shards, "shard").mapInArrow(_answered(bottom), _SUMS)
+    tasks, shards = _shards_of(docs, tree.total)
+    dealt = rows.select("rid", "text").mapInArrow(_scored(shared, shards), _DEALT)
+    dealt = dealt.unionByName(_dealt_table(vocabulary, [("key", U8), ("n", F8)], shards, WORD)).unionByName(_dealt_table(values, [("key", U8), ("value", F8)], shards, RUN))
+    parts = dealt.repartition(tasks, "shard").mapInArrow(_answered(bottom), _SUMS)
     sums = parts.groupBy("rid").agg(*[F.sum(c).alias(c) for c in ("base", "score", "n_tokens", "n_known")])
     return rows.select("rid", "id", "held").join(sums, "rid").select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"),
