@@ -63,6 +63,12 @@ def test_codecs_round_trip_and_refuse(spark):
     assert tips.select(codecs.decode_tips(F.lit(b"\x00\x03\x00")).alias("b")).first()["b"] is None
 
 
+def test_tile_paths_of_any_length(spark):
+    wanted = {0: "000", 1234067: "x001/x234/067", 999_999_999: "x999/x999/999", 1_000_014_129: "x001/x000/x014/129", 2**63 - 1: "x009/x223/x372/x036/x854/x775/807"}
+    rows = spark.createDataFrame([(n,) for n in wanted], "n long").select("n", codecs.tile_path("n").alias("path")).collect()
+    assert dict(map(tuple, rows)) == wanted
+
+
 def test_journal_machine_against_a_model(spark):
     import random
 
