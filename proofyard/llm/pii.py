@@ -4,7 +4,8 @@ Every value that a pattern finds is a protected entity. The words around its men
 documents they do, against how many documents of the whole corpus hold them, estimates the pointwise mutual information
 of term and entity. In documents with personal data, a term that carries nearly all of an entity's information content is
 removed; one that carries much of it is generalised to the class of words with its first letters, the smallest that no
-longer tells. Documents without any stay as they are. Everything here is DataFrame functions.
+longer tells. Documents without any stay as they are, unless terms are asked for everywhere: a text that names no value may
+still give one away. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -115,9 +116,9 @@ def _share(together: Column, entity: Column, term: Column, n: int) -> Column:
     return F.log(together * F.lit(float(n)) / (entity * term)) / F.log(F.lit(float(n)) / entity)
 
 
-def _disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
-    """(rid, removed, generalised): the disclosing terms of each document with personal data, the latter with their
-    classes; None if no term discloses.
+def _disclosing(docs: DataFrame, base: DataFrame, everywhere: bool) -> DataFrame | None:
+    """(rid, removed, generalised): the disclosing terms of each document with personal data, or of each `everywhere`,
+    the latter with their classes; None if no term discloses.
 
     A pair counts if its documents are more than chance explains among all pairs tested: documents together times mutual
     information, the logarithm of how much likelier they are than by chance, is at least the logarithm of the pairs."""
@@ -152,17 +153,23 @@ def _disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     telling = telling.select("entity", "term", "mentioned").join(wide, ["entity", "term"], "left")
     # a term that is removed for one entity is not generalised for another
     told = telling.groupBy("term").agg(F.max(F.col("class").isNull()).alias("gone"), F.min_by("class", F.length("class")).alias("class"))
-    per_doc = base.where("words is not null").select("rid", F.explode("words").alias("term")).join(near(saved(told), BROADCAST_ROWS), "term")
+    words = docs.select("rid", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("words")) if everywhere else base.where("words is not null")
+    per_doc = words.select("rid", F.explode("words").alias("term")).join(near(saved(told), BROADCAST_ROWS), "term")
     entry = F.struct("term", "class")
     return saved(per_doc.groupBy("rid").agg(F.collect_list(F.when(F.col("gone"), entry)).alias("removed"), F.collect_list(F.when(~F.col("gone"), entry)).alias("generalised")))
 
 
-def _terms(docs: DataFrame, base: DataFrame) -> DataFrame | None:
-    """(rid, terms): spans of disclosing terms that lie in no base span, with what takes their place."""
-    telling = _disclosing(docs, base)
+def _terms(docs: DataFrame, base: DataFrame, everywhere: bool) -> DataFrame | None:
+    """(rid, terms): spans of disclosing terms that lie in no base span, with what takes their place. `everywhere`, they
+    are of all documents; else of those with base spans only."""
+    telling = _disclosing(docs, base, everywhere)
     if telling is None:
         return None
-    rows = base.where("size(base) > 0").select("rid", "base", "text").join(near(telling, BROADCAST_ROWS), "rid")
+    told = base.select("rid", "base", "text").join(near(telling, BROADCAST_ROWS), "rid")
+    rows = told.where("size(base) > 0")
+    if everywhere:  # the texts of documents without base spans are read again
+        others = saved(told.where("size(base) = 0").drop("text"))
+        rows = rows.unionByName(docs.select("rid", "text").join(near(others, BROADCAST_ROWS), "rid"))
     clear = lambda x: ~F.coalesce(F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])), F.lit(False))
     spans = []
     for kind in TERM_KINDS:
@@ -173,32 +180,32 @@ def _terms(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     return rows.select("rid", F.concat(*spans).alias("terms"))
 
 
-def _all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _all_spans(docs: DataFrame, everywhere: bool) -> tuple[DataFrame, DataFrame | None]:
     """Of rows (rid, id, text): the base spans, saved, and the method's, if any."""
     base = _base(docs.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("base", F.concat(*[_spans(k, F.col(k)) for k in KINDS]))
     # documents with personal data keep their texts and words at hand, so that no text is shuffled for them
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
     has = F.size("base") > 0
     base = saved(base.select("rid", "id", *KINDS, "base", F.when(has, F.col("text")).alias("text"), F.when(has, words).alias("words")))
-    return base, _terms(docs, base)
+    return base, _terms(docs, base, everywhere)
 
 
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", everywhere: bool = False) -> DataFrame:
     """One row per row of `docs`: id, n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans, listed as
     kind:start:end), spans (the same list followed by the method's: removed, then generalised terms), n_terms.
 
     Null texts are empty and have no spans. Repeated rows are each reported and each counted as a document. Terms are
-    marked, wherever they stand, in documents that hold personal data, and in no others. Texts of any length are
-    searched whole. Base spans of different kinds may overlap and all stay; a term inside one is not listed.
+    marked, wherever they stand, in documents that hold personal data, and in no others unless `everywhere` asks for
+    those that a value does not stand in but its terms give away. Texts of any length are searched whole. Base spans of different kinds may overlap and all stay; a term inside one is not listed.
     Other columns are ignored; an empty table gives none. `docs` is to come from files, whose rows keep their order
     when read again.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base, terms = _all_spans(rows)
+    base, terms = _all_spans(rows, everywhere)
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,mark:string>>")
     out = base.withColumn("terms", empty) if terms is None else base.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", empty))
     return out.select(
@@ -207,13 +214,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", everywhere: bool = False) -> DataFrame:
     """`docs` with personal data replaced by its kind in brackets, disclosing terms removed or replaced by their class, as
     in [riv*]; an n_chars column is set to the new length. Where spans overlap the one that begins first counts, of these the longest.
     All columns and rows stay, other texts unchanged; see `find` for the cases."""
     rows = packed(docs)
     text = F.col("row")[text_col]
-    base, terms = _all_spans(rows.select("rid", F.lit(None).cast("string").alias("id"), text.alias("text")))
+    base, terms = _all_spans(rows.select("rid", F.lit(None).cast("string").alias("id"), text.alias("text")), everywhere)
     spans = base.select("rid", F.col("base").alias("spans"))
     if terms is not None:
         spans = base.join(terms, "rid", "left").select("rid", F.concat("base", F.coalesce("terms", F.slice("base", 1, 0))).alias("spans"))

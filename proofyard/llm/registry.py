@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(table(spark, sf_dir, "documents"), everywhere=True)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

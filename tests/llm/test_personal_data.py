@@ -91,6 +91,23 @@ def test_sanitised_texts(spark, tmp_path):
     assert all(got[i] == before[i] for i in range(1500))
 
 
+def test_terms_are_found_in_documents_without_values(spark, tmp_path):
+    import corpus_pipeline
+
+    from proofyard.llm import registry
+
+    rows = [*corpus(), (3002, "Élise met zebulon, not Zebulonia", "en", "s"), (3003, None, "en", "s")]
+    docs = documents(spark, tmp_path, rows)
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    got = {r["doc_id"]: r for r in registry.op1_personal_data(spark, f"{tmp_path}/sf").collect()}
+    assert len(got) == len(rows)
+    assert got[3002]["spans"] == "removed:10:17" and got[3002]["n_terms"] == 1 and got[3002]["n_email"] == 0
+    assert got[3000]["spans"] == "email:24:37,removed:5:12" and got[3003]["spans"] == got[3001]["spans"] == ""
+    clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.sanitise(spark, spark.read.parquet(f"{tmp_path}/sf/documents.parquet"), f"{tmp_path}/sf").collect()}
+    assert clean[3002] == "Élise met , not Zebulonia" and clean[3000] == "Here  sits, mail [EMAIL]" and clean[3003] is None
+    assert all(clean[r[0]] == r[1] for r in rows[:1500])
+
+
 def test_odd_rows(spark, tmp_path):
     docs = documents(spark, tmp_path)
     assert pii.find(docs).count() == len(ROWS)
