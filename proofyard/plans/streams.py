@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state, windows
+from ..saving import saved
 from ..streaming import loops
 from . import fixtures as fx
 from .admission import submissions
@@ -23,8 +24,9 @@ def folder(spark: SparkSession) -> str:
 
 def as_stream(df: DataFrame, path: str, order: str, parts: int = 3) -> DataFrame:
     """Rows written as `parts` files one after the other, by ranges of `order`, and read back as a stream of one file a
-    batch in the order of writing."""
+    batch in the order of writing. The rows are computed once, by all tasks, before each file is written by one."""
     spark = df.sparkSession
+    df = saved(df)
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if df.schema[order].dataType.simpleString() != "string" else []
     edges = [float("-inf"), *cuts, float("inf")]
     for lo, hi in zip(edges, edges[1:]):

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,6 +17,7 @@ from ..operators.windows import ranked
 from ..saving import saved
 
 _CODES = "sequence_number long, canonical_hash string"
+SIZES = 4096  # of a log that share one row of a monitor's state
 
 
 def _start(stream: DataFrame, each, checkpoint: str, trigger: dict | None = None):
@@ -58,6 +61,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _pack(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of a state: compressed columns."""
+    table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpack(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(held)).read_pandas()
+
+
 def _commit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     expected, seqs, hashes = state.get if state.exists else (0, [], [])
     heap = dict(zip(map(int, seqs), hashes))
@@ -123,22 +138,25 @@ def scan_equivocations(splits: DataFrame) -> DataFrame:
 
 
 def _monitor(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (first, told) = state.get if state.exists else ("", False)
-    out = []
-    for root in sorted({r for f in frames for r in f["root_hash"]}):
-        first = first or root
-        if root != first and not told:
-            out.append((key[0], key[1], min(first, root), max(first, root)))
-            told = True
-    state.update((first, told))
-    yield pd.DataFrame(out, columns=["originator", "tree_size", "root_a", "root_b"])
+    new = pd.concat(list(frames), ignore_index=True)[["tree_size", "root_hash"]].dropna().drop_duplicates().sort_values(["tree_size", "root_hash"], ignore_index=True)
+    held = _unpack(state.get[0]) if state.exists else pd.DataFrame({"tree_size": np.zeros(0, np.int64), "first": np.zeros(0, object), "told": np.zeros(0, bool)})
+    fresh = new.drop_duplicates("tree_size").rename(columns={"root_hash": "first"})
+    fresh = fresh[~fresh["tree_size"].isin(held["tree_size"])].assign(told=False)
+    held = pd.concat([held, fresh], ignore_index=True) if len(held) else fresh
+    seen = new.merge(held, on="tree_size")
+    second = seen[(seen["root_hash"] != seen["first"]) & ~seen["told"].astype(bool)].drop_duplicates("tree_size")
+    state.update((_pack(held.assign(told=held["told"].astype(bool) | held["tree_size"].isin(second["tree_size"]))),))
+    x, y = second["first"], second["root_hash"]
+    yield pd.DataFrame({"originator": key[0], "tree_size": second["tree_size"], "root_a": x.where(x < y, y), "root_b": y.where(x < y, x)})
 
 
 def monitor_heads(heads: DataFrame, k: int) -> DataFrame:
     """(originator, tree_size, root_a, root_b) when a second root signed by `k` or more arrives for a size: each log and
-    size is told once, by the first two different roots."""
-    return heads.where(F.col("signers") >= k).groupBy("originator", "tree_size").applyInPandasWithState(
-        _monitor, "originator string, tree_size long, root_a string, root_b string", "root string, told boolean", "append", GroupStateTimeout.NoTimeout)
+    size is told once, by the first two different roots. Neighbouring sizes of a log are judged together and share a row
+    of state."""
+    rows = heads.where((F.col("signers") >= k) & F.col("tree_size").isNotNull()).withColumn("sizes", F.floor(F.col("tree_size") / SIZES))
+    return rows.groupBy("originator", "sizes").applyInPandasWithState(
+        _monitor, "originator string, tree_size long, root_a string, root_b string", "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def audit(stream: DataFrame, check, out: str, checkpoint: str, **trigger):

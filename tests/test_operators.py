@@ -365,6 +365,46 @@ def test_equivocations_that_arrive_out_of_order(spark, tmp_path):
     assert sorted((r["split_id"], r["seq_a"], r["seq_b"]) for r in got) == [("k", 10, 20), ("l", 1, 2)]
 
 
+def test_rows_of_a_stream_are_computed_once(spark, tmp_path):
+    from proofyard.plans.streams import as_stream
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        calls.add(1)
+        return i
+
+    rows = spark.range(900).select(counted("id").alias("o")).where("o >= 0")
+    as_stream(rows, f"{tmp_path}/in", order="o")
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 900 and calls.value <= 1800  # twice where the filter stands apart
+
+
+def test_a_monitor_holds_many_sizes_in_a_row_of_state(spark, tmp_path):
+    import random
+
+    from proofyard.plans.streams import drained
+    from proofyard.streaming.metrics import Progress
+
+    kind = "originator string, tree_size long, root_hash string, signers long"
+    rng = random.Random(5)
+    rows = [(o, n, f"{rng.randrange(3)}", rng.choice([2, 3, 4])) for n in range(3000) for o in ("a", "b") for _ in range(3)]
+    rng.shuffle(rows)
+    batches = [rows[i::4] for i in range(4)]
+    first, want = {}, {}
+    for batch in batches:
+        for o, n, root, k in sorted(batch):
+            if k >= 3 and first.setdefault((o, n), root) != root:
+                want.setdefault((o, n), tuple(sorted((first[o, n], root))))
+    seen = Progress()
+    spark.streams.addListener(seen)
+    got = [tuple(r) for r in drained(loops.monitor_heads(files(spark, f"{tmp_path}/in", batches, kind), 3), str(tmp_path)).collect()]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(seen)
+    assert sorted(got) == sorted((*key, *roots) for key, roots in want.items()) and len(got) > 1000
+    assert max(r[4] for r in seen.rows) == 2
+
+
 def test_ship_goes_on_after_a_restart(spark, tmp_path):
     kind, out = "sequence_number long, canonical_hash string, data binary", f"{tmp_path}/out"
     path = f"{tmp_path}/in"
