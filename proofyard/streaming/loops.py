@@ -74,25 +74,24 @@ def _unpack(held: bytes) -> pd.DataFrame:
 
 
 def _commit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    expected, seqs, hashes = state.get if state.exists else (0, [], [])
-    heap = dict(zip(map(int, seqs), hashes))
-    for f in frames:
-        for seq, h in zip(f["sequence_number"], f["canonical_hash"]):
-            if seq >= expected:
-                heap.setdefault(int(seq), h)
-    out = []
-    while expected in heap:
-        out.append((key[0], expected, heap.pop(expected)))
-        expected += 1
-    state.update((expected, list(heap), list(heap.values())))
-    yield pd.DataFrame(out, columns=["log_did", "sequence_number", "canonical_hash"])
+    expected, waiting = state.get if state.exists else (0, None)
+    names = ["sequence_number", "canonical_hash"]
+    rows = pd.concat([*([] if waiting is None else [_unpack(waiting)]), *(f[names] for f in frames)], ignore_index=True)
+    rows = rows[rows["sequence_number"] >= expected].drop_duplicates("sequence_number").sort_values("sequence_number", ignore_index=True)  # the first to arrive stays
+    rows["sequence_number"] = rows["sequence_number"].astype("int64")
+    gap = rows["sequence_number"].to_numpy() != expected + np.arange(len(rows))
+    n = int(gap.argmax()) if gap.any() else len(rows)
+    state.update((expected + n, _pack(rows[n:]) if n < len(rows) else None))
+    out = rows[:n]
+    out.insert(0, "log_did", key[0])
+    yield out
 
 
 def commit_ordered(staged: DataFrame) -> DataFrame:
     """Staged rows (log_did, sequence_number, canonical_hash) in dense order of each log: what arrives early waits in the
-    log's state, what arrives again is dropped."""
+    log's state, in one value, what arrives again is dropped."""
     return staged.groupBy("log_did").applyInPandasWithState(
-        _commit, f"log_did string, {_CODES}", "expected long, seqs array<long>, hashes array<string>", "append", GroupStateTimeout.NoTimeout)
+        _commit, f"log_did string, {_CODES}", "expected long, waiting binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def _chain(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
