@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,24 @@ def blocked(rows: DataFrame, key: list[str], member: str, count: str, size: int,
     return rows.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", member)
 
 
+def _parts(rest: str, size: int) -> tuple[Column, Column]:
+    """Blocks that those outside a bucket's largest group fill, and those inside."""
+    return tuple(F.greatest(F.ceil(x / size).cast("int"), F.lit(1)) for x in (F.col(rest), F.col("n") - F.col(rest)))
+
+
+def copies_across(rest: str, size: int) -> Column:
+    """Rows that `blocked_across` makes of a bucket."""
+    small, large = _parts(rest, size)
+    return (F.col("n") - F.col(rest)) * small + F.col(rest) * (large + small)
+
+
 def blocked_across(rows: DataFrame, key: list[str], member: str, rest: str, most: str, size: int, partitions: int) -> DataFrame:
     """As `blocked`, for buckets whose members fall into groups, where only members of different groups are compared.
 
     `most` marks members of the bucket's largest group, `rest` and `n` hold how many are in it and in the bucket.
     Members of the largest group are not compared with each other: each goes to as many blocks as the others fill, each
     other to as many as the bucket fills. A stranger in a bucket of n is copied n / size times, the n only once."""
-    small, large = (F.greatest(F.ceil(x / size).cast("int"), F.lit(1)) for x in (F.col(rest), F.col("n") - F.col(rest)))
+    small, large = _parts(rest, size)
     own = F.pmod(F.xxhash64(member), F.when(F.col(most), large).otherwise(small)).cast("int")
     rows = rows.withColumns({"_own": own, "_small": small, "_large": large})
     # blocks of the largest group have negative numbers

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocked_across, runs
+from .blocks import blocked_across, copies_across, runs
 from .graph import components
 from .shared import discard, join_hot, near, packed, saved, unpacked
 from .tokens import mix, shingles, words
@@ -165,20 +165,21 @@ def _close(most: int):
                 far = np.bitwise_count(lanes[part][:, None, :] ^ lanes[right][None, :, :]).sum(axis=2, dtype=np.int64)
                 x, y = np.nonzero((far <= most) & (comp[part][:, None] != comp[right][None, :]))
                 has[part[x]] = has[right[y]] = True
-            yield f.loc[has, ["rep", "t", "band", "comp"]]
+            yield f.loc[has, ["rep", "comp", "whole", "key", "t"]]
 
     return close
 
 
 def _across(most: int, percent: int):
     """Links that join different components inside a block: of the pairs with close sketches the closest first, each on
-    its whole sets, until all are joined or compared. A pair is left to the first band that it shares."""
+    its whole sets, until all are joined or compared. In buckets of one band a pair is left to the first band that it
+    shares."""
 
     def across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in runs(frames):
             ids, comp, side, t = f["rep"].to_numpy(), f["comp"].to_numpy(), f["side"].to_numpy(), int(f["t"].iloc[0])
             lanes = f[_LANE_NAMES].to_numpy().view(np.uint64)
-            bands = np.frombuffer(b"".join(f["codes"]), np.int64).reshape(len(f), -1)[:, :t]
+            bands = np.frombuffer(b"".join(f["codes"]), np.int64).reshape(len(f), -1)[:, :t] if t else np.empty((len(f), 0), np.int64)
             one_block = f["i"].iloc[0] == f["j"].iloc[0]
             left = np.arange(len(f)) if one_block else np.flatnonzero(side == 0)
             right = left if one_block else np.flatnonzero(side == 1)
@@ -225,8 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that repeat an id are one document, each row reported. Other columns of `docs` are ignored; an empty table gives none.
 
     Equal sets are folded into the smallest id by a grouped minimum first. Of the rest, every member of a band's bucket
-    meets the smallest member; then only members of buckets that still hold different components meet, in blocks of
-    bounded size that carry the whole sets and give back links, not pairs. No document is left out.
+    meets the smallest member; then only members of buckets that still hold different components meet, buckets around one
+    component as one, in blocks of bounded size that carry the whole sets and give back links, not pairs. No document is
+    left out.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -269,12 +271,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = saved(components(links))
 
     labelled = members.drop("pivot").join(near(comp, BROADCAST_ROWS).withColumnRenamed("id", "rep"), "rep", "left").select("rep", "t", "band", F.coalesce("component_id", "rep").alias("comp"))
-    rows = _open(saved(labelled), BANDS * total)
-    rows = blocked_across(rows.join(near(reps.select("rep", *lanes), BROADCAST_ROWS), "rep"), ["band"], "rep", "rest", "most", SKETCHES, parts)
-    flagged = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "band", "comp", *lanes).mapInPandas(_close(most), "rep long, t int, band long, comp long").distinct())
+    rows = _open(_buckets(saved(labelled), BANDS * total, SKETCHES), BANDS * total)
+    rows = blocked_across(rows.join(near(reps.select("rep", *lanes), BROADCAST_ROWS), "rep"), ["whole", "key"], "rep", "rest", "most", SKETCHES, parts)
+    rows = rows.select("bucket", "i", "j", "side", "rep", "comp", "whole", "key", "t", *lanes).mapInPandas(_close(most), "rep long, comp long, whole boolean, key long, t int")
+    flagged = saved(rows.distinct())
     rows = _open(flagged, BANDS * total)
-    rows = sets.join(near(rows, BROADCAST_ROWS), "rep")
-    rows = blocked_across(rows, ["band"], "rep", "rest", "most", BLOCK, parts)
+    rows = sets.withColumnRenamed("codes", "all").join(near(rows, BROADCAST_ROWS), "rep").withColumn("codes", F.when(F.col("t") > 0, F.col("all"))).drop("all")
+    rows = blocked_across(rows, ["whole", "key"], "rep", "rest", "most", BLOCK, parts)
     found = saved(rows.select("bucket", "i", "j", "side", "rep", "t", "comp", "codes", "members", *lanes).mapInPandas(_across(most, percent), "a long, b long").repartition(few))
     if not found.isEmpty():
         comp = saved(components(links.unionByName(found)))
@@ -286,13 +289,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _open(labelled: DataFrame, total: int) -> DataFrame:
-    """Those members (rep, t, band, comp) whose band holds different components: with the band's n members, the rest of
-    these that are outside its largest component, and `most` for members inside."""
-    sizes = labelled.groupBy("band", "comp").agg(F.count("*").alias("size"))
-    bands = sizes.groupBy("band").agg(F.count("*").alias("comps"), F.sum("size").alias("n"), F.max(F.struct("size", "comp")).alias("top"))
-    bands = saved(bands.where("comps > 1").select("band", "n", (F.col("n") - F.col("top.size")).alias("rest"), F.col("top.comp").alias("largest"), F.col("n").alias("held")))
-    return saved(join_hot(labelled, bands, ["band"], "held", total).withColumn("most", F.col("comp") == F.col("largest")).drop("largest"))
+def _sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets that hold different components: their n members, the rest of these outside the largest component, this
+    component, and n again as held."""
+    sizes = rows.groupBy(*keys, "comp").agg(F.count("*").alias("size"))
+    found = sizes.groupBy(*keys).agg(F.count("*").alias("comps"), F.sum("size").alias("n"), F.max(F.struct("size", "comp")).alias("top"))
+    return found.where("comps > 1").select(*keys, "n", (F.col("n") - F.col("top.size")).alias("rest"), F.col("top.comp").alias("largest"), F.col("n").alias("held"))
+
+
+def _buckets(labelled: DataFrame, total: int, size: int) -> DataFrame:
+    """Those members (rep, t, band, comp) whose band holds different components, as rep, comp, whole, key, t.
+
+    Documents of a group share many bands and would meet in each. Bands with one largest component are therefore one
+    bucket (whole, key is the component, t = 0), which holds a document once, unless fewer copies are made band by band
+    (key is the band), as where a long chain of documents has strangers all along it."""
+    bands = saved(_sizes(labelled, ["band"]))
+    rows = saved(join_hot(labelled, bands.select("band", F.col("largest").alias("key"), "held"), ["band"], "held", total))
+    once = saved(rows.select("rep", "comp", "key").distinct())
+    apart = bands.groupBy(F.col("largest").alias("key")).agg(F.sum(copies_across("rest", size)).alias("apart"), F.sum("n").alias("times"))
+    keys = saved(_sizes(once, ["key"]).join(apart, "key").select("key", "held", "times", (copies_across("rest", size) <= F.col("apart")).alias("whole")))
+    together = join_hot(once, keys.where("whole").select("key", "held"), ["key"], "held", total).select("rep", "comp", F.lit(True).alias("whole"), "key", F.lit(0).alias("t"))
+    by_band = join_hot(rows, keys.where("not whole").select("key", "times"), ["key"], "times", total).select("rep", "comp", F.lit(False).alias("whole"), F.col("band").alias("key"), "t")
+    return saved(together.unionByName(by_band))
+
+
+def _open(rows: DataFrame, total: int) -> DataFrame:
+    """Members of buckets (whole, key) that hold different components: with the bucket's n members, the rest of these that
+    are outside its largest component, and `most` for members inside."""
+    found = saved(_sizes(rows, ["whole", "key"]))
+    return saved(join_hot(rows, found, ["whole", "key"], "held", total).withColumn("most", F.col("comp") == F.col("largest")).drop("largest"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

@@ -11,7 +11,7 @@ from test_near_dedup import brute, closure, family
 from proofyard.llm import embed_dedup, minhash_dedup
 from proofyard.llm.blocks import blocked_across
 from proofyard.llm.graph import components
-from proofyard.llm.shared import join_hot
+from proofyard.llm.shared import join_hot, saved
 
 
 def test_vectors_under_one_id_are_separate(spark):
@@ -90,3 +90,29 @@ def test_components_of_hubs(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(5000, 6000 + i) for i in range(2000)] + [(2999, 5000), (9000, 9001)]
     got = {r["id"]: r["component_id"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: c for i, c in closure({x for e in edges for x in e}, edges).items() if i != c}
+
+
+def test_documents_of_a_group_meet_once_not_once_a_band(spark, tmp_path, monkeypatch):
+    """A group whose members share many bands, with strangers near it, is copied as one bucket."""
+    given, blocks = [], minhash_dedup.blocked_across
+
+    def counting(rows, *args):
+        given.append((rows.count(), rows.select("rep").distinct().count()))
+        return blocks(rows, *args)
+
+    monkeypatch.setattr(minhash_dedup, "blocked_across", counting)
+    rows = family(4, 1, 150, 90)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(documents(spark, tmp_path, rows), k=4).collect()}
+    assert got == brute(rows, 4)
+    assert len(given) == 2 and given[0][1] > 100 and all(n <= 4 * documents for n, documents in given)
+
+
+def test_buckets_of_a_group_and_of_a_chain(spark):
+    """Bands around one component are one bucket where this takes fewer copies; pairs that share a band share a bucket."""
+    group = [(i, t, 100 + t, 0 if i < 60 else i) for t in range(24) for i in range(80) if (i + t) % 5]
+    chain = [(1000 + 5 * b + i, 3, 5000 + b, 1000 if i < 4 else 1004 + 5 * b) for b in range(300) for i in range(5)]
+    rows = minhash_dedup._buckets(saved(spark.createDataFrame(group + chain, "rep long, t int, band long, comp long")), 10**6, 8).collect()
+    assert sum(r["rep"] < 80 for r in rows) == 80 and all(r["whole"] and r["key"] == 0 and r["t"] == 0 for r in rows if r["rep"] < 80)
+    assert sorted((r["rep"], r["key"], r["t"]) for r in rows if r["rep"] >= 80) == sorted((i, b, t) for i, t, b, _ in chain) and not any(r["whole"] for r in rows if r["rep"] >= 80)
+    got = minhash_dedup._open(saved(spark.createDataFrame(rows, "rep long, comp long, whole boolean, key long, t int")), 10**6).where("whole").collect()
+    assert {(r["n"], r["rest"], r["most"]) for r in got} == {(80, 20, True), (80, 20, False)}
