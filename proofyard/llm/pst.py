@@ -378,6 +378,7 @@ def grown(texts: DataFrame, depth: int = DEPTH, whole: bool = False) -> Tree:
             states.append(kept)
         discard(rows, *([] if whole else [kept]), *([] if k == 1 else [shorter]))
         shorter = longer
+        spark.sparkContext._jvm.System.gc()  # those of the joins too, before the next pass writes its own
     if depth:
         discard(shorter)
     every = values[0] if values else vocabulary.where("false").select("key", "n", F.lit(0.0).alias("value"))
