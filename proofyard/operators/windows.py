@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..saving import saved
 from ..schemas import GHOST, LIVE
 
 WIDTH = 65_536
@@ -67,6 +68,25 @@ def prefix_end(rows: DataFrame, cursor: int, seq: str = "sequence_number", width
     return inside.agg(F.max(seq).alias("hi")).join(F.broadcast(reach)).select(F.coalesce("hi", "base").alias("last"))
 
 
+def prefix_ends(rows: DataFrame, key: str, first: str, seq: str = "sequence_number", width: int = WIDTH) -> DataFrame:
+    """(key, next, again), one row a key: the lowest sequence that is not there from `first` on, a column that is the same in
+    all rows of a key, and how many rows from there on repeat a sequence. Whole buckets are judged by their counts; of each
+    key only the bucket after these has its rows in a window."""
+    rows = rows.where(F.col(seq) >= F.col(first)).select(key, F.col(first).alias("_f"), F.col(seq).alias("_s"))
+    ahead = rows.groupBy(key, "_f", "_s").agg(F.count("*").alias("_c"))
+    full = ahead.groupBy(key, "_f", _bucket("_s", width).alias("_b")).agg(F.count("*").alias("_n"), F.sum("_c").alias("_c"))
+    by = Window.partitionBy(key).orderBy("_b")
+    nth = F.expr(f"_f div {width}") + F.row_number().over(by) - 1
+    ok = (F.col("_b") == nth) & (F.col("_n") == (F.col("_b") + 1) * width - F.greatest(F.col("_b") * width, F.col("_f")))
+    whole = full.withColumn("_ok", ok).withColumn("_ok", F.min("_ok").over(by))
+    end = F.coalesce(F.max(F.when(F.col("_ok"), (F.col("_b") + 1) * width)), F.col("_f"))
+    base = saved(whole.groupBy(key, "_f").agg(end.alias("next"), F.sum(F.col("_c") - F.col("_n")).alias("again")).drop("_f"))
+    edge = rows.join(base.select(F.col(key).alias("_key"), "next"), F.col(key).eqNullSafe(F.col("_key"))).where(f"_s >= next and _s < next + {width}")
+    inside = edge.select(key, "next", "_s").distinct().withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("_s")) - 1)
+    reach = inside.where("_s = next + _k").select(key, (F.col("_s") + 1).alias("next"), F.lit(0).cast("long").alias("again"))
+    return base.unionByName(reach).groupBy(key).agg(F.max("next").alias("next"), F.max("again").alias("again"))
+
+
 def contiguous_prefix(rows: DataFrame, cursor: int, seq: str = "sequence_number", width: int = WIDTH) -> DataFrame:
     """Rows from cursor + 1 up to the first gap; none if that is missing."""
     end = prefix_end(rows, cursor, seq, width)

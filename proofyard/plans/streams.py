@@ -15,6 +15,8 @@ from . import fixtures as fx
 from .admission import submissions
 from .registry import query
 
+ROWS = 250_000  # of a batch that one task writes
+
 
 def folder(spark: SparkSession) -> str:
     """A new folder where all executors see it: under the warehouse unless a shared one is named."""
@@ -23,15 +25,21 @@ def folder(spark: SparkSession) -> str:
 
 
 def as_stream(df: DataFrame, path: str, order: str, parts: int = 3) -> DataFrame:
-    """Rows written as `parts` files one after the other, by ranges of `order`, and read back as a stream of one file a
-    batch in the order of writing. The rows are computed once, by all tasks, before each file is written by one."""
+    """Rows written as `parts` batches one after the other, by ranges of `order`, and read back as a stream of these
+    batches in the order of writing. The rows are computed once, by all tasks. Each batch is as many files, one unless there
+    are more than ROWS rows a batch; where a task has none to write, an empty file stands for its."""
     spark = df.sparkSession
     df = saved(df)
+    files = max(1, -(-df.count() // (parts * ROWS)))
     cuts = df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.01) if df.schema[order].dataType.simpleString() != "string" else []
     edges = [float("-inf"), *cuts, float("inf")]
-    for lo, hi in zip(edges, edges[1:]):
-        df.where((F.col(order) > lo) & (F.col(order) <= hi)).coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for batch, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        rows = df.where((F.col(order) > lo) & (F.col(order) <= hi))
+        rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+        rows.sortWithinPartitions(order).write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+        for _ in range(len(spark.read.schema(df.schema).parquet(path).inputFiles()), (batch + 1) * files):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream: DataFrame, path: str) -> DataFrame:
@@ -42,12 +50,13 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query("SELECT 'did:log:' || (sequence_number % 3) AS log_did, sequence_number // 3 AS sequence_number, canonical_hash FROM f_entries", python=True)
+@query("SELECT 'did:log:' || (sequence_number % 3) AS log_did, sequence_number // 3 AS sequence_number, canonical_hash FROM f_entries")
 def stream_commit_ordered(spark, d):
     path = folder(spark)
     i = F.col("sequence_number")
     staged = fx.entries(spark, d).select(F.concat(F.lit("did:log:"), (i % 3).cast("string")).alias("log_did"), F.expr("sequence_number div 3").alias("sequence_number"), "canonical_hash", F.xxhash64(i).alias("o"))
-    return drained(loops.commit_ordered(as_stream(staged, path + "/in", order="o").drop("o")), path)
+    loops.commit(as_stream(staged, path + "/in", order="o").drop("o"), path + "/out", path + "/state").awaitTermination()
+    return loops.committed(spark, path + "/out")
 
 
 @query("SELECT originator, event_id, lamport, 'appended' AS verdict FROM f_gossip", python=True)

@@ -8,15 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import publish, published
-from ..operators.windows import ranked
+from ..operators.windows import WIDTH, prefix_ends, ranked
 from ..saving import saved
 
 _CODES = "sequence_number long, canonical_hash string"
+_STAGED, _MARKS = f"log_did string, {_CODES}", "log_did string, next long, again long"
 SIZES = 4096  # of a log that share one row of a monitor's state
 
 
@@ -61,6 +62,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _pack(rows: pd.DataFrame) -> bytes:
     """Rows as one value of a state: compressed columns."""
     table, out = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
@@ -89,9 +95,60 @@ def _commit(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
 
 def commit_ordered(staged: DataFrame) -> DataFrame:
     """Staged rows (log_did, sequence_number, canonical_hash) in dense order of each log: what arrives early waits in the
-    log's state, in one value, what arrives again is dropped."""
+    log's state, in one value, what arrives again is dropped. A log's waiting rows must fit one task; `commit` takes longer
+    logs."""
     return staged.groupBy("log_did").applyInPandasWithState(
-        _commit, f"log_did string, {_CODES}", "expected long, waiting binary", "append", GroupStateTimeout.NoTimeout)
+        _commit, _STAGED, "expected long, waiting binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """Of the rows of a log's sequence the one that arrived first; of those of one batch the lowest hash, so that a batch
+    that runs again takes the same. Sorted by sequence first, as names of logs begin alike."""
+    by = Window.partitionBy("sequence_number", "log_did").orderBy("late", "canonical_hash")
+    return rows.withColumn("_before", F.lag("late").over(by)).where("_before is null")
+
+
+def commit(staged: DataFrame, out: str, checkpoint: str, width: int = WIDTH, **trigger):
+    """Staged rows (log_did, sequence_number, canonical_hash) in dense order of each log, as `commit_ordered` gives them,
+    written to `out` under the batch's id, for logs of any length: a batch's prefix is found by counts of buckets of
+    `width` sequences. What arrives early waits in out_waiting, each log's next sequence is in out_marks; the folders of
+    the last two batches are kept, as a batch that runs again reads those before it."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("log_did", F.col("sequence_number").cast("long").alias("sequence_number"), "canonical_hash").persist()
+        none = new.limit(0)  # is planned as empty, so that the first batch joins nothing
+
+        def last(name: str, empty: DataFrame) -> DataFrame:
+            path = f"{out}_{name}/batch_id={batch_id - 1}"
+            return spark.read.schema(empty.schema).parquet(path) if _exists(spark, path + "/_SUCCESS") else empty
+
+        rows = last("waiting", none).withColumn("late", F.lit(False)).unionByName(new.withColumn("late", F.lit(True)))
+        done = last("marks", none.select("log_did", F.col("sequence_number").alias("next"))).withColumn("again", F.lit(0).cast("long"))
+        rows = _beside(rows, done).withColumn("first", F.coalesce("next", F.lit(0).cast("long"))).drop("next", "again").where("sequence_number >= first")
+        ends = done.unionByName(prefix_ends(rows, "log_did", "first", width=width))
+        publish(ends.groupBy("log_did").agg(F.max("next").alias("next"), F.max("again").alias("again")), out + "_marks", batch_id)
+        marks = spark.read.schema(_MARKS).parquet(f"{out}_marks/batch_id={batch_id}")
+        once = (lambda r: r) if marks.where("again > 0").isEmpty() else _once  # spares the shuffle where nothing repeats
+        rows, names = _beside(rows, marks), ["log_did", "sequence_number", "canonical_hash"]
+        publish(once(rows.where("sequence_number >= next")).select(names), out + "_waiting", batch_id)
+        publish(once(rows.where("sequence_number < next")).select(names), out, batch_id)
+        new.unpersist()
+        for name in ("waiting", "marks"):
+            _remove(spark, f"{out}_{name}/batch_id={batch_id - 2}")
+
+    return _start(staged, each, checkpoint, trigger)
+
+
+def _beside(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """`rows` with the next sequence of their log, null where it has none yet."""
+    return rows.join(marks.withColumnRenamed("log_did", "_log"), F.col("log_did").eqNullSafe(F.col("_log")), "left").drop("_log")
+
+
+def committed(spark: SparkSession, out: str) -> DataFrame:
+    """The rows of all marked batches of `commit`."""
+    paths = published(spark, out)
+    return spark.read.schema(_STAGED).parquet(*paths) if paths else spark.createDataFrame([], _STAGED)
 
 
 def _chain(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -460,3 +460,50 @@ def test_migrations_run_in_order_and_refuse_unknown_ones(spark):
     assert changes.migrate({"x": one}, pending, {}, check_only=True)[1] == [2, 3]
     with pytest.raises(ValueError):
         changes.migrate({"x": one}, pending, {2: steps[2]})
+
+
+def test_batches_of_many_rows_are_several_files_and_one_batch(spark, tmp_path, monkeypatch):
+    from proofyard.plans import streams
+
+    monkeypatch.setattr(streams, "ROWS", 50)
+    seen = []
+    # from 600 on all rows tie, so that a batch has none
+    stream = streams.as_stream(spark.range(1000).select("id", F.least("id", F.lit(600)).alias("o")), f"{tmp_path}/in", order="o")
+    stream.writeStream.foreachBatch(lambda b, i: seen.append([tuple(r) for r in b.collect()])).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r[0] for b in seen for r in b) == list(range(1000)) and len(seen) == 3
+    assert len(spark.read.parquet(f"{tmp_path}/in").inputFiles()) == 21
+    seen = [b for b in seen if b]
+    assert all(max(r[1] for r in a) < min(r[1] for r in b) for a, b in zip(seen, seen[1:]))
+
+
+def test_commits_by_batches_give_what_arrives_first_in_dense_order(spark, tmp_path):
+    import random
+
+    rng, kind = random.Random(7), "log_did string, sequence_number long, canonical_hash string"
+    rows = [(log, i, f"{log}{i}.{k}") for log in ("a", "b", None) for i in range(-1, 300) for k in range(rng.choice([1, 1, 2])) if (log, i) != ("b", 211)]
+    rng.shuffle(rows)
+    dense = [("c", i, f"c{i}") for i in range(150)]
+    batches = [rows[:300], rows[300:700] + dense[:64], dense[:20] + rows[700:], [("a", 900, "early"), ("b", None, "none"), *dense[64:]], [("b", 211, "x"), ("b", 212, "again")]]
+    heap, after, want = {}, {}, []
+    for batch in batches:
+        held = dict(heap)
+        for log, i, h in batch:
+            if i is not None and i >= after.get(log, 0) and (log, i) not in held:
+                heap[log, i] = min(h, heap.get((log, i), h))
+        now = []
+        for log in ("a", "b", "c", None):
+            while (log, after.get(log, 0)) in heap:
+                i = after.get(log, 0)
+                now.append((log, i, heap.pop((log, i))))
+                after[log] = i + 1
+        want.append(now)
+    key = lambda r: (str(r[0]), *r[1:])
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for i, batch in enumerate(batches):  # a restart before each
+        loops.commit(files(spark, path, [batch], kind), out, f"{tmp_path}/state", width=16).awaitTermination()
+        got = [tuple(r) for r in spark.read.schema(kind).parquet(f"{out}/batch_id={i}").collect()]
+        assert sorted(got, key=key) == sorted(want[i], key=key)
+    assert sorted(map(tuple, loops.committed(spark, out).collect()), key=key) == sorted(sum(want, []), key=key)
+    assert [len(b) > 0 for b in want[1:]] == [True] * 4
+    waiting = spark.read.parquet(f"{out}_waiting").where("batch_id = 4").drop("batch_id")
+    assert [tuple(r) for r in waiting.collect()] == [("a", 900, "early")]
